@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mix, sample, split, tokens
+from . import mix, names, sample, split, tokens
 
 STRATA = ["stage", "subfield"]
 SEED = 20
 
 
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with the entity that it names."""
+    return names.entities(table(spark, d, "article_metadata"), "lead_institution")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(p3_entities(spark, d))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of all texts."""
     return split.split_texts(table(spark, d, "article_texts"), "text_id", "body_text", table(spark, d, "split_limits"))
@@ -78,7 +87,7 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(sizes, "doc_id", mix.plan(sizes, table(spark, d, "mix_targets")), seed=SEED)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p4_rejoined, p6_found, p6_report, p6_sample, p8_ids, p8_decoded, p9_found, p9_report, p9_mixture)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p4_found, p4_pieces, p4_rejoined, p6_found, p6_report, p6_sample, p8_ids, p8_decoded, p9_found, p9_report, p9_mixture)}
 
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _FOLD = "lower(regexp_replace({0}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
