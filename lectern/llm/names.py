@@ -149,10 +149,10 @@ def kind_of(said: set[str]) -> str:
     return ""
 
 
-#: Initials of each kind's words, N for the name and G for the given name.
+#: Initials of each kind's words, 0 for the name and 1 for the given name.
 INITIALS = {
-    "mental health institute": ["GNIMH"], "research centre": ["NRCMBS"], "institute of technology": ["NIT"], "hospital": ["NGH"], "medical college": ["NMC"],
-    "state university": ["NSU"], "college": ["GNC"], "university": ["NU", "UN"],
+    "mental health institute": ["10imh"], "research centre": ["0rcmbs"], "institute of technology": ["0it"], "hospital": ["0gh"], "medical college": ["0mc"],
+    "state university": ["0su"], "college": ["10c"], "university": ["0u", "u0"],
 }
 
 
@@ -188,7 +188,7 @@ def read_name(text: str) -> tuple[str, str, list[str], str]:
         return "", " ".join(re.findall(r"[^\W_]+", flat)), [], ""
     given = next((g for s in segments for g in s[2]), "")
     ends = name[1:2] + name[-1]
-    fits = [p.replace("N", name[0]).replace("G", given[:1]).lower() + ends for p in INITIALS.get(kind, [])]
+    fits = [p.replace("0", name[0]).replace("1", given[:1]) + ends for p in INITIALS.get(kind, [])]
     mark = next((s.lower() for s in shown if s.lower() in fits), "")
     return kind, name, fits, mark
 

@@ -64,7 +64,11 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
-    """Ids of one word."""
+    """Ids of one word. The literal stands in the plan once."""
+    return _let(ranks, lambda r: _fold(word, r))
+
+
+def _fold(word: Column, ranks: Column) -> Column:
     rank = lambda a, b: F.coalesce(_in(ranks, F.concat(a, b)), F.lit(NO_RANK))
     code = F.lower(F.hex(F.encode(word, "UTF-8")))
     count = (F.length(code) / 2).cast("int")
@@ -155,7 +159,7 @@ def encode(texts: DataFrame, key: str, column: str, ranks: dict[bytes, int], emp
     words = settle(encode_words(settle(counts, "words").repartition(partitions), ranks), "encoded")
     most = words.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids").collect()
     frequent = F.from_json(F.lit(_buckets({r["word"]: r["ids"] for r in most})), "array<map<string,array<int>>>")
-    near = worded.withColumn("_ids", F.transform("_words", lambda w: _in(frequent, w)))
+    near = worded.withColumn("_ids", _let(frequent, lambda known: F.transform("_words", lambda w: _in(known, w))))
     rare = (
         near.select(key, F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("_words", "_ids"), lambda x: x["_ids"].isNull()), lambda x: x["_words"]))).alias("word"))
         .join(words.select("word", "ids"), "word")
@@ -176,4 +180,4 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     for p, r in ranks.items():
         pieces[r] = p.hex()
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
+    return F.decode(F.unhex(F.array_join(_let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), "")), "UTF-8")
