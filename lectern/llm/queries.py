@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mix, names, sample, split, tokens
+from . import mix, names, pii, sample, split, tokens
 
 STRATA = ["stage", "subfield"]
 SEED = 20
@@ -87,7 +87,16 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(sizes, "doc_id", mix.plan(sizes, table(spark, d, "mix_targets")), seed=SEED)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p4_found, p4_pieces, p4_rejoined, p6_found, p6_report, p6_sample, p8_ids, p8_decoded, p9_found, p9_report, p9_mixture)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return pii.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p4_found, p4_pieces, p4_rejoined, p6_found, p6_report, p6_sample, p8_ids, p8_decoded, p9_found, p9_report, p9_mixture, p10_found, p10_redacted)}
 
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _FOLD = "lower(regexp_replace({0}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
