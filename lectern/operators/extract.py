@@ -55,7 +55,7 @@ def typed(row: dict) -> dict:
     for k in REQUIRED_KEYS[1:]:
         v = row.get(k)
         if k.endswith("_pct"):
-            out[k] = [(str(a), _number(b)) for a, b in v.items()] if isinstance(v, dict) else []
+            out[k] = {str(a): _number(b) for a, b in v.items()} if isinstance(v, dict) else {}
         elif k == "ses_value":
             out[k] = v if v is None or isinstance(v, str) else json.dumps(v)
         else:
