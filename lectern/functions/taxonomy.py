@@ -32,7 +32,7 @@ def join_list(items: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Trimmed, non-empty tokens of a ';'-joined text; null gives none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_token(text: Column) -> Column:

@@ -99,7 +99,7 @@ def append_frames(frames: DataFrame, folder: str, target_bytes: int) -> DataFram
                         if out is not None:
                             out.close()
                         number, offset = number + 1, 0
-                        out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.zst")
+                        out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.zst", compression=None)
                     out.write(frame)
                     rows.append((file_id, f"{stem}-{number:04d}.zst", offset, len(frame), raw_length, checksum))
                     offset += len(frame)
@@ -127,7 +127,7 @@ def validated(manifest: DataFrame, folder: str) -> DataFrame:
                     if source is not None and source.read(1):
                         raise ValueError(f"{name} is longer than its manifest")
                     name, place = x.store_file, 0
-                    source = fs.open_input_stream(f"{base}/{name}")
+                    source = fs.open_input_stream(f"{base}/{name}", compression=None)
                 if x.offset != place:
                     raise ValueError(f"{name}: a record begins at {x.offset}, not at {place}")
                 frame = source.read(x.length)
@@ -211,7 +211,7 @@ def join_small_files(files: DataFrame, folder: str, kind: str, target_bytes: int
                         if out is not None:
                             out.close()
                         number += 1
-                        out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.{ending}")
+                        out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.{ending}", compression=None)
                         out.write(header)
                         offset = len(header)
                     out.write(piece)

@@ -175,10 +175,11 @@ def _two_codings(spark, d):
 
 
 def _scores(spark, d):
+    """Articles whose doi ends in 0 weren't run, those in 1 failed; no model row is about sample 3."""
     gold, model = _two_codings(spark, d)
-    odd = F.pmod(F.crc32(F.col("doi").cast("binary")), F.lit(10))
-    results = model.select("doi").distinct().where(odd > 0).select("doi", F.when(odd == 1, "error").otherwise("ok").alias("status"), F.lit(True).alias("full_keys"))
-    return score.per_article(gold, model, results)
+    last = F.right("doi", F.lit(1))
+    results = gold.select("doi").distinct().where(last != "0").select("doi", F.when(last == "1", "error").otherwise("ok").alias("status"), F.lit(True).alias("full_keys"))
+    return score.per_article(gold, model.where("sample_id <> 3"), results)
 
 
 def score_per_key(spark, d):
@@ -388,3 +389,20 @@ _FLAGS = " + ".join(f"(CASE WHEN g.{c} IS NOT DISTINCT FROM m.{c} THEN 1 ELSE 0
 _GATES = [(f"coalesce(g.{f} = 1 AND m.{f} = 1, false)", _agree(p)) for f, p in score.CATEGORIES.values()]
 _SES = "coalesce(" + _NUM.format(v="{t}.ses_value") + ", 0.0)"
 _GATES.append(("coalesce(g.ses_reported = 2 AND m.ses_reported = 2, false)", f"abs({_SES.format(t='g')} - {_SES.format(t='m')}) <= 1.0"))
+
+_SCORES = f"""WITH {_VERSIONS}, both_sides AS (
+  SELECT g.doi, m.row_id IS NOT NULL AS there, CASE WHEN m.row_id IS NOT NULL THEN {_FLAGS} ELSE 0 END AS flag_correct,
+    CASE WHEN m.row_id IS NOT NULL THEN {" + ".join(f"CAST({a} AS INT)" for a, _ in _GATES)} ELSE 0 END AS num_total,
+    CASE WHEN m.row_id IS NOT NULL THEN {" + ".join(f"CAST({a} AND {b} AS INT)" for a, b in _GATES)} ELSE 0 END AS num_correct
+  FROM gold g LEFT JOIN (SELECT * FROM model WHERE sample_id <> 3) m USING (doi, sample_id)
+), sums AS (
+  SELECT doi, right(doi, 1) NOT IN ('0', '1') AS ok, count(*) AS n_gold, count(*) FILTER (there) AS n_model, sum(flag_correct)::bigint AS fc, sum(num_total)::bigint AS nt, sum(num_correct)::bigint AS nc FROM both_sides GROUP BY doi
+), scores AS (
+  SELECT doi, n_gold AS n_gold_samples, CASE WHEN ok THEN n_model ELSE 0 END AS n_model_samples, CASE WHEN ok THEN 4 * n_model ELSE 0 END AS flag_total, CASE WHEN ok THEN fc ELSE 0 END AS flag_correct,
+    CASE WHEN ok THEN fc::double / nullif(4 * n_model, 0) ELSE 0.0 END AS reporting_flag_accuracy, CASE WHEN ok THEN nt ELSE 0 END AS num_total, CASE WHEN ok THEN nc ELSE 0 END AS num_correct,
+    ok AND n_gold = n_model AS sample_count_match, ok AS schema_ok FROM sums)
+"""
+SQL["score_per_key"] = _SCORES + "SELECT * FROM scores"
+SQL["score_summary"] = _SCORES + """
+SELECT count(*) AS n_articles, sum(flag_correct)::double / nullif(sum(flag_total), 0) AS reporting_flag_accuracy, sum(num_correct)::double / nullif(sum(num_total), 0) AS numeric_accuracy,
+  count(*) FILTER (sample_count_match)::double / count(*) AS sample_count_match_rate, count(*) FILTER (schema_ok)::double / count(*) AS schema_ok_rate FROM scores"""
