@@ -33,9 +33,9 @@ def texts_of(spark, sample):
     paths = [r["xml_path"] for r in sample.select("xml_path").where("xml_path is not null").distinct().limit(100_001).collect()]
     if len(paths) > 100_000:
         raise ValueError("read large corpora as a table, not file by file")
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:", "").alias("xml_path"), F.col("content").cast("string").alias("xml_text"))
+    files = spark.read.format("binaryFile").load(paths).select(xml_corpus.local_name(F.col("path")).alias("xml_path"), F.col("content").cast("string").alias("xml_text"))
     parsed = parse_articles(files).select("xml_path", F.col("article.extraction_text").alias("text"))
-    return sample.select("doi", "xml_path").join(parsed, "xml_path").select("doi", "text")
+    return sample.select("doi", xml_corpus.local_name(F.col("xml_path")).alias("xml_path")).join(parsed, "xml_path").select("doi", "text")
 
 
 def build_corpus_index(spark, a):
@@ -43,7 +43,7 @@ def build_corpus_index(spark, a):
 
 
 def build_index_search(spark, a):
-    spark.dataSource.register(paged_search.SearchSource)
+    paged_search.register(spark)
     hits = spark.read.format("paged_search").options(url=a.url, start_year=a.start_year, end_year=a.end_year, pause=a.pause).load()
     tables.write_csv(index.from_search(hits, a.corpus_dir), a.out, INDEX_COLUMNS)
 
@@ -51,8 +51,7 @@ def build_index_search(spark, a):
 def sample_articles(spark, a):
     rows = read_index(spark, a.index)
     if a.corpus_dir:
-        files = xml_corpus.list_corpus(spark, a.corpus_dir).select(F.regexp_replace("xml_path", "^file:", "").alias("xml_path"))
-        rows = index.with_file(rows, files)
+        rows = index.with_file(rows, xml_corpus.list_corpus(spark, a.corpus_dir))
     rows = sampling.numbered(rows, ["doi", "xml_path"], "row_no")
     tables.write_csv(sampling.stratified_by_draw(rows, F.col("matched_subfields"), "row_no", a.per_subfield, a.seed), a.out, PILOT_COLUMNS, one_file=True)
 

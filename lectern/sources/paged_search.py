@@ -15,6 +15,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -94,7 +95,7 @@ class SearchReader(DataSourceReader):
 
 
 class SearchSource(DataSource):
-    """spark.dataSource.register(SearchSource); spark.read.format("paged_search")"""
+    """After register(spark): spark.read.format("paged_search")"""
 
     @classmethod
     def name(cls):
@@ -105,3 +106,9 @@ class SearchSource(DataSource):
 
     def reader(self, schema):
         return SearchReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to the session, with filters pushed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SearchSource)

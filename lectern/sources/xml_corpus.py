@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import canonical_path
+
 
 class CorpusNotFoundError(FileNotFoundError):
     """The folder is none, or holds no XML file."""
@@ -22,17 +24,25 @@ def ensure_corpus(spark: SparkSession, folder: str) -> None:
     raise CorpusNotFoundError(f"{folder} is no folder with XML files")
 
 
+def local_name(path: Column) -> Column:
+    """A plain path for a local file, else the URI as it is."""
+    return F.when(path.startswith("file:"), canonical_path(path)).otherwise(path)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.xml")
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(xml_path, xml_text) of the folder's XML files, subfolders left out; in no order."""
     ensure_corpus(spark, folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", False).load(folder)
-    return files.select(F.col("path").alias("xml_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("xml_text"))
+    return _files(spark, folder).select(local_name(F.col("path")).alias("xml_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("xml_text"))
 
 
 def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(xml_path, n_bytes) without reading the files."""
     ensure_corpus(spark, folder)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select(F.col("path").alias("xml_path"), F.col("length").alias("n_bytes"))
+    return _files(spark, folder).select(local_name(F.col("path")).alias("xml_path"), F.col("length").alias("n_bytes"))
 
 
 def corpus_size(spark: SparkSession, folder: str) -> int:

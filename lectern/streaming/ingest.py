@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import from_xml
+from ..sources.xml_corpus import local_name
 
 
 def new_articles(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:
     """A stream of (xml_path, xml_text); each file is read once per checkpoint."""
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xml").option("maxFilesPerTrigger", files_per_batch)
+    source = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    rows = source.schema(schema).load(folder)
-    return rows.select(F.col("path").alias("xml_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("xml_text"))
+    rows = source.schema(schema).load(f"{folder.rstrip('/')}/*.xml")
+    return rows.select(local_name(F.col("path")).alias("xml_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("xml_text"))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:

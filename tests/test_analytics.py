@@ -141,7 +141,7 @@ def test_index_of_a_folder(spark, tmp_path):
     assert sorted(r["doi"] for r in rows) == ["10.1/a", "10.1/f"] and {r["stage"] for r in rows} == {"middle"}
     assert xml_corpus.corpus_size(spark, str(tmp_path)) == 8
     assert [r["xml_path"][-5:] for r in index.rejected(xml_corpus.read_corpus(spark, str(tmp_path))).collect()] == ["e.xml"]
-    out, mark = f"{tmp_path}/out", f"{tmp_path}/mark"
+    out, mark = f"{tmp_path}/sub/out", f"{tmp_path}/sub/mark"
     ingest.ingest(spark, str(tmp_path), out, mark).awaitTermination()
     (tmp_path / "i.xml").write_text(article("10.1/i"))
     ingest.ingest(spark, str(tmp_path), out, mark).awaitTermination()
@@ -184,7 +184,7 @@ def service():
 
 
 def test_search_source(spark, service):
-    spark.dataSource.register(paged_search.SearchSource)
+    paged_search.register(spark)
     hits = spark.read.format("paged_search").options(url=service, start_year=2014, end_year=2016, rows=2, pause=0).load()
     assert hits.count() == 15 and hits.rdd.getNumPartitions() == 3
     rows = index.from_search(hits, "/c").collect()
