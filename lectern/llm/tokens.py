@@ -5,8 +5,8 @@ corpus is encoded once: its bytes are the first pieces, and a fold over them
 merges the pair of lowest rank, leftmost first, until no pair has a rank. Ranks
 come from a literal map in the plan, cut into small maps by CRC so that a
 lookup doesn't scan the vocabulary. The words that occur in most texts (at most
-FREQUENT of them) become a literal map too and are replaced in place; only the
-rest is joined, by word, and no such word is frequent. Decoding looks up each
+FREQUENT of them) become a literal map too and are replaced in place; only texts
+that hold others are shuffled, and those words joined, none of them frequent. Decoding looks up each
 id's bytes in a literal array and concatenates them.
 
 A null text has the ids null_ids, an empty one empty_ids (both [] unless given).
@@ -160,18 +160,26 @@ def encode(texts: DataFrame, key: str, column: str, ranks: dict[bytes, int], emp
     most = words.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids").collect()
     frequent = F.from_json(F.lit(_buckets({r["word"]: r["ids"] for r in most})), "array<map<string,array<int>>>")
     near = worded.withColumn("_ids", _let(frequent, lambda known: F.transform("_words", lambda w: _in(known, w))))
+    fixed = lambda x: F.array(*[F.lit(i) for i in x]).cast("array<int>")
+    near = settle(
+        near.select(
+            key,
+            F.when(F.col("_text").isNull(), F.array(fixed(null_ids))).when(F.col("_text") == "", F.array(fixed(empty_ids))).otherwise(F.col("_ids")).alias("_ids"),
+            F.zip_with("_words", "_ids", lambda w, i: F.when(i.isNull(), w)).alias("_words"),
+        ),
+        "near",
+    )
+    whole = F.forall("_ids", lambda i: i.isNotNull())
+    part = near.where(~whole)
     rare = (
-        near.select(key, F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("_words", "_ids"), lambda x: x["_ids"].isNull()), lambda x: x["_words"]))).alias("word"))
+        part.select(key, F.explode(F.array_distinct(F.array_compact("_words"))).alias("word"))
         .join(words.select("word", "ids"), "word")
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("_rare"))
     )
-    full = near.join(rare.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
+    filled = part.join(rare.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
     ids = F.flatten(F.zip_with("_words", "_ids", lambda w, i: F.coalesce(i, F.try_element_at("_rare", w))))
-    fixed = lambda x: F.array(*[F.lit(i) for i in x]).cast("array<int>")
-    return full.select(
-        key, F.when(F.col("_text").isNull(), fixed(null_ids)).when(F.col("_text") == "", fixed(empty_ids)).otherwise(ids).alias("ids")
-    )
+    return near.where(whole).select(key, F.flatten("_ids").alias("ids")).unionByName(filled.select(key, ids.alias("ids")))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
