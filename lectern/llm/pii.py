@@ -442,9 +442,13 @@ def _fit_ends(text: str, items: list[tuple[int, int, str]]) -> list[tuple[int, i
 
 
 def sample(texts: DataFrame, column: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[str]:
-    """The bounded training sample: distinct texts of lowest hash."""
-    rows = texts.select(F.col(column).alias("t")).where((F.char_length("t") > 0) & (F.char_length("t") <= chars))
-    return [r["t"] for r in rows.select("t", F.xxhash64(F.lit(5), "t").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(docs).collect()]
+    """The bounded training sample: distinct texts of lowest hash. The hashes
+    alone tell which these are, so no other text leaves its task."""
+    rows = texts.select(F.col(column).alias("t")).where((F.char_length("t") > 0) & (F.char_length("t") <= chars)).select("t", F.xxhash64(F.lit(5), "t").alias("h"))
+    last = rows.select("h").distinct().orderBy("h").limit(docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r["t"] for r in rows.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(docs).collect()]
 
 
 def items(texts: DataFrame, key: str, column: str, model: Field | None = None) -> DataFrame:
