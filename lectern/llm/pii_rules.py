@@ -127,7 +127,7 @@ def captioned(text: str) -> list[tuple[int, int, str]]:
             found.append((a, b, "id_number"))
     for a, b in shapes["phone"]:
         before = text[max(0, a - 24) : a]
-        if not _ID_BEFORE.search(before) and not _NO_ID.search(before) and _PHONE_BEFORE.search(before):
+        if len(set(_DIGIT.findall(text[a:b]))) > 1 and not _ID_BEFORE.search(before) and not _NO_ID.search(before) and _PHONE_BEFORE.search(before):
             found.append((a, b, "phone"))
     for caption in NAME_CAPTIONS:
         for m in caption.finditer(text):
