@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..clients.base import ModelClient
 from ..functions.text import build_prompt
 from ..schemas import FACT_COLUMNS, REQUIRED_KEYS, RESULT
+from ..session import ship
 
 
 class ValidationError(ValueError):
@@ -86,6 +87,7 @@ def extract(articles: DataFrame, factory: Callable[[str], ModelClient], model: s
                     out.append((doi, model, "error", str(e) if isinstance(e, ValidationError) else repr(e), None, False))
             yield pd.DataFrame(out, columns=RESULT.fieldNames())
 
+    ship(articles.sparkSession)
     return articles.select("doi", build_prompt(F.col("doi"), F.coalesce("text", F.lit(""))).alias("prompt")).mapInPandas(run, RESULT)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PRIORITY_WORDS
 from ..schemas import METADATA
+from ..session import ship
 
 _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
 _XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
@@ -116,6 +117,7 @@ def metadata(root: ET.Element) -> tuple:
 
 def parse_articles(files: DataFrame, column: str = "xml_text") -> DataFrame:
     """The files' other columns with those of METADATA in a struct named article."""
+    ship(files.sparkSession)
     keep = [c for c in files.columns if c != column]
     names = METADATA.fieldNames()
     prefix = "_a_"

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bound of the schema graph that the driver may hold.
 MAX_EDGES = 20_000
 NODE = pa.struct(
@@ -114,6 +116,7 @@ def schema_graph(records: DataFrame, column: str) -> Graph:
                             todo.extend((key, p) for p in parts)
         yield pd.DataFrame([(a, b, n) for (a, b), n in most.items()], columns=["parent", "child", "most"])
 
+    ship(records.sparkSession)
     rows = (
         records.select(column)
         .mapInPandas(edges, "parent string, child string, most bigint")
