@@ -112,12 +112,12 @@ def word_kind(word: str) -> str | None:
     if word in _GIVEN:
         return "given"
     if len(word) < 4:
-        near = [k for w, k in _SPELLED.items() if len(w) == 4 and len(word) == 3 and k and edit_distance(word, w, 1) <= 1]
+        near = [k for w, k in _SPELLED.items() if k and len(word) > 1 and 3 <= len(w) <= 4 and w[0] == word[0] and edit_distance(word, w, 1) <= 1]
         return near[0] if near else ""
     best = (99, None)
     for w, k in _LONG:
-        most = 1 if len(w) < 6 else 2
-        if len(word) >= len(w) - 2 and abs(len(w) - len(word)) <= most:
+        most = 1 if len(w) < 6 else 2 if len(w) < 9 else 3
+        if len(word) >= len(w) - most and abs(len(w) - len(word)) <= most:
             d = edit_distance(word, w, most)
             if d <= most and d < best[0]:
                 best = (d, k)
