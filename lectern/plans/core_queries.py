@@ -126,9 +126,53 @@ FROM (SELECT *, CASE WHEN regexp_matches(xml_path, '^(?i:file):')
 """
 NAME_SQL = NAME_SQL.replace("array_to_string(list_reduce(", "(list_reduce(").replace("), '') AS name", ")) AS name")
 
+
+def _list(x: str) -> str:
+    """The elements behind a JSON value: those of a list, or the one."""
+    return f"list_filter(CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END, lambda e: json_type(e) <> 'NULL' AND e::varchar NOT IN ('{{}}', '[]'))"
+
+
+def _own(x: str) -> str:
+    """The text of an element, without outer white space."""
+    return f"regexp_replace(coalesce(CASE json_type({x}) WHEN 'OBJECT' THEN json_extract_string({x}, '$.\"#text\"') WHEN 'VARCHAR' THEN json_extract_string({x}, '$') END, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+NODE_SQL = f"""
+WITH RECURSIVE m AS (
+  SELECT rec_id, json_extract(record, '$.article.front."article-meta"') AS m FROM article_raw WHERE json_valid(record)
+), top AS (SELECT rec_id, {_list("json_extract(m, '$.\"article-categories\".\"subj-group\"')")} AS gs FROM m),
+g AS (
+  SELECT rec_id, i::varchar AS path, '' AS up, gs[i] AS g, NULL::varchar AS above FROM top, LATERAL (SELECT unnest(range(1, len(gs) + 1)) AS i)
+  UNION ALL
+  SELECT rec_id, path || '.' || i, path, k[i], label FROM (SELECT rec_id, path, {_own("json_extract(g, '$.subject')")} AS label, {_list("json_extract(g, '$.\"subj-group\"')")} AS k FROM g) s, LATERAL (SELECT unnest(range(1, len(k) + 1)) AS i)
+), groups AS (SELECT rec_id, path, up, above, {_own("json_extract(g, '$.subject')")} AS label, len({_list("json_extract(g, '$.\"subj-group\"')")}) AS n FROM g),
+affs AS (
+  SELECT rec_id, i AS place, trim(json_extract_string(a[i], '$."@id"')) AS id, coalesce(nullif({_own("json_extract(a[i], '$.institution')")}, ''), {_own("a[i]")}) AS label
+  FROM (SELECT rec_id, {_list("json_extract(m, '$.aff')")} AS a FROM m) s, LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)
+), people AS (
+  SELECT rec_id, i AS place, c[i] AS c FROM (
+    SELECT rec_id, flatten(list_transform({_list("json_extract(m, '$.\"contrib-group\"')")}, lambda q: {_list("json_extract(q, '$.contrib')")})) AS c FROM m) s, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i)
+), refs AS (
+  SELECT rec_id, place, i AS n, trim(json_extract_string(x[i], '$."@rid"')) AS rid FROM (
+    SELECT rec_id, place, list_filter({_list("json_extract(c, '$.xref')")}, lambda e: json_extract_string(e, '$."@ref-type"') = 'aff') AS x FROM people) s, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)
+), ids AS (SELECT rec_id, id, min(place) AS aff FROM affs GROUP BY rec_id, id),
+authors AS (
+  SELECT rec_id, place FROM people WHERE json_extract_string(c, '$."@contrib-type"') = 'author'
+  QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY coalesce(json_extract_string(c, '$."@corresp"') = 'yes', false) DESC, place) = 1
+)
+SELECT rec_id, 'subject' AS entity, path AS node_path, up AS parent_path, label FROM groups
+UNION ALL SELECT rec_id, 'subfield', path, up, label FROM groups WHERE above = 'Psychology'
+UNION ALL SELECT rec_id, 'subfield', path, path, label FROM groups WHERE label = 'Psychology' AND n = 0
+UNION ALL SELECT rec_id, 'aff', place::varchar, '', label FROM affs
+UNION ALL SELECT rec_id, 'contrib', place::varchar, '', {_own("json_extract(c, '$.name.surname')")} FROM people
+UNION ALL SELECT rec_id, 'link', r.place::varchar, i.aff::varchar, r.rid FROM refs r JOIN ids i USING (rec_id) WHERE r.rid = i.id
+UNION ALL SELECT rec_id, 'lead', i.aff::varchar, a.place::varchar, f.label FROM authors a JOIN refs r USING (rec_id, place) JOIN ids i USING (rec_id) JOIN affs f USING (rec_id) WHERE r.n = 1 AND r.rid = i.id AND f.place = i.aff
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_names, p5_found, p7_found)}
 
 SQL = {
+    "p1_found": NODE_SQL,
     "p2_names": f"SELECT file_id, name FROM ({NAME_SQL})",
     "p2_found": f"SELECT min(file_id) AS file_id FROM ({NAME_SQL}) WHERE xml_text <> '' GROUP BY name, xml_text",
     "p7_found": """
