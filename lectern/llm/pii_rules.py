@@ -44,7 +44,7 @@ _TOWN = rf"{_W}(?![\w.+-]*\s?(?:@|\(at|\[at|at\s))(?<!\band)(?<!\bwhich)(?<!\bwh
 _LAST = rf"{_W}(?=[.;,\n]|\s\s|$|,?[ ]{_CODE}(?!\d))"
 _EN = (
     r"(?:(?:street|road|avenue|lane|hill|terrace|close|drive|court|crescent|place|square|way|gardens)\b"
-    rf"|(?:st|rd|ave|ln|dr)\b(?:\.(?=[.,]|[ ](?:{_CODE}(?!\d)|{_UNIT})|\n{_LAST}))?)"
+    rf"|(?:st|rd|ave|ln|dr)\b(?:\.(?=[.,;]|[ ](?:{_CODE}(?!\d)|{_UNIT}|and\b)|\n(?:[\d+(]|{_LAST})))?)"
 )
 _STREET = rf"\d+[a-z]?\s{_W}\s{_EN}(?:,?\s{_UNIT})?(?:(?:,\s{_TOWN}|,?\n{_LAST})(?:,?[ ]{_CODE}(?!\d))?|,?[ ]{_CODE}(?!\d))?"
 _BEFORE = r"(?<![\w/-])"
