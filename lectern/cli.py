@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .clients.base import build_client
 from .config import Settings, load_settings
+from .functions import text
 from .functions.taxonomy import split_list
-from .operators import extract, index, sampling, score, trends
+from .operators import diagnostics, extract, index, sampling, score, trends
+from .operators.jats import parse_articles
 from .schemas import FACT_COLUMNS, INDEX_COLUMNS, PILOT_COLUMNS, SCORE_COLUMNS, TEMPLATE_COLUMNS
 from .session import local_session
 from .sources import paged_search, tables, xml_corpus
@@ -28,8 +30,6 @@ def read_index(spark, path: str):
 
 def texts_of(spark, sample):
     """(doi, text) of the sample's files."""
-    from .operators.jats import parse_articles
-
     paths = [r["xml_path"] for r in sample.select("xml_path").where("xml_path is not null").distinct().limit(100_001).collect()]
     if len(paths) > 100_000:
         raise ValueError("read large corpora as a table, not file by file")
@@ -101,6 +101,42 @@ def analyze_trends(spark, a):
                 trends.plot(trends.reporting_rate(facts, flag, g), g, f"{a.out_dir}/{c}_by_{g}.png")
 
 
+def _sampled(spark, a):
+    """(corpus size, parsed articles with their text) of a systematic sample of the folder."""
+    listed = xml_corpus.list_corpus(spark, a.corpus_dir).select("xml_path")
+    chosen = sampling.systematic(listed, a.sample_size, ["xml_path"])
+    files = xml_corpus.read_corpus(spark, a.corpus_dir).join(chosen, "xml_path", "left_semi").withColumn("raw", F.col("xml_text"))
+    return listed.count(), parse_articles(files).cache()
+
+
+def validate_corpus_filter(spark, a):
+    size, parsed = _sampled(spark, a)
+    for table in diagnostics.corpus_report(parsed, size):
+        table.show(100, truncate=False)
+
+
+def diagnose_dates(spark, a):
+    _, parsed = _sampled(spark, a)
+    diagnostics.dates_report(parsed).show(100)
+    rows = parsed.where("article.error is null").select(F.year("article.publication_date").alias("year"), "xml_path", text.cut(F.regexp_extract("raw", r"(?s)<pub-date.*</pub-date>", 0), 600).alias("dates"))
+    sampling.first_n(rows.where(F.col("year").between(2014, 2016)), ["year"], ["xml_path"], 2).show(truncate=False)
+
+
+def diagnose_subjects(spark, a):
+    _, parsed = _sampled(spark, a)
+    diagnostics.subjects_report(parsed).show(100)
+    rows = parsed.where(f"article.error is null and year(article.publication_date) = {int(a.year)} and size(article.psychology_subfields) = 0")
+    rows.orderBy("xml_path").limit(3).select("xml_path", text.cut(F.regexp_extract("raw", r"(?s)<article-categories.*</article-categories>", 0), 2000).alias("categories")).show(truncate=False)
+    kinds = parsed.select(F.explode(F.regexp_extract_all("raw", F.lit('subj-group-type="([^"]*)"'), F.lit(1))).alias("group_type"))
+    diagnostics.frequency(kinds, "group_type").show(100, truncate=False)
+
+
+def probe_search(spark, a):
+    year = f"publication_date:[{a.year}-01-01T00:00:00Z TO {a.year}-12-31T23:59:59Z]"
+    for clause, hits in paged_search.probe(a.url, [*paged_search.CLAUSES, year]):
+        print(hits, clause)
+
+
 def main(args: list[str] | None = None) -> None:
     s = Settings()
     parser = argparse.ArgumentParser(prog="lectern")
@@ -124,6 +160,9 @@ def main(args: list[str] | None = None) -> None:
     command(run_pipeline, ("--index", need), ("--out", need), ("--shard-index", {"type": int, "default": 0}), ("--shard-count", {"type": int, "default": 1}), *model)
     command(merge_shards, ("--glob", need), ("--out", need))
     command(analyze_trends, ("--table", need), ("--out-dir", need), ("--no-plots", {"action": "store_true"}))
+    for f, size in ((validate_corpus_filter, 2000), (diagnose_dates, 4000), (diagnose_subjects, 6000)):
+        command(f, ("--corpus-dir", {"default": s.corpus_dir}), ("--sample-size", {"type": int, "default": size}), ("--year", {"type": int, "default": 2015}))
+    command(probe_search, ("--url", need), ("--year", {"type": int, "default": 2015}))
     a = parser.parse_args(args)
     if a.config:
         for k, v in vars(load_settings(a.config)).items():

@@ -41,3 +41,31 @@ def conditional_counts(rows: DataFrame, group: str, conditions: dict[str, Column
 def frequency(rows: DataFrame, column: str) -> DataFrame:
     """(column, n), most frequent first, null included."""
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+
+
+def corpus_report(parsed: DataFrame, population: int) -> tuple[DataFrame, DataFrame]:
+    """Of parsed articles (struct article): the inclusion funnel, estimated for
+    a population, and the subfields by frequency. Files that don't parse are left out."""
+    from .index import criteria
+
+    rows = parsed.where("article.error is null").select("article.*")
+    c = criteria(journal=F.col("journal"), article_type=F.col("article_type"), date=F.col("publication_date"), subfields=F.col("psychology_subfields"))
+    return funnel(rows, c, population), frequency(rows.select(F.explode("psychology_subfields").alias("subfield")), "subfield")
+
+
+def dates_report(parsed: DataFrame) -> DataFrame:
+    """Articles by year, undated ones under NONE; files that don't parse are left out."""
+    return histogram(parsed.where("article.error is null"), F.year("article.publication_date"))
+
+
+def subjects_report(parsed: DataFrame, node: str = "Psychology") -> DataFrame:
+    """Per year: articles, those with the node, those with a subject that holds
+    its stem, and those without subjects; undated ones are left out."""
+    rows = parsed.where("article.error is null").select(F.year("article.publication_date").alias("year"), "article.subject", "article.psychology_subfields")
+    stem = node[:5].lower()
+    conditions = {
+        "n_node": F.size("psychology_subfields") > 0,
+        "n_stem": F.exists("subject", lambda x: F.contains(F.lower(x), F.lit(stem))),
+        "n_without": F.size("subject") == 0,
+    }
+    return conditional_counts(rows, "year", conditions).orderBy("year")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,12 +39,14 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="lectern-code-"), "lectern_code.zip")
+    folder = tempfile.mkdtemp(prefix="lectern-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "lectern_code.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(here):
+        for at, _, files in os.walk(here):
             for f in files:
                 if f.endswith(".py"):
-                    path = os.path.join(folder, f)
+                    path = os.path.join(at, f)
                     z.write(path, os.path.join("lectern", os.path.relpath(path, here)))
     spark.sparkContext.addPyFile(target)
 
@@ -65,7 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
         inner = sc._jsc.sc().getCheckpointDir()
         found = inner.get() if inner.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         sc.setCheckpointDir(found)
     return found
 
@@ -82,4 +90,16 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     ship(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_settled: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that steps have settled, once their results are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _settled:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)

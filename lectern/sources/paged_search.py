@@ -71,6 +71,16 @@ def pages(url: str, year: int, rows: int, pause: float, timeout: float) -> Itera
         time.sleep(pause)
 
 
+def probe(url: str, clauses: list[str], timeout: float = 60) -> list[tuple[str, int]]:
+    """(clause, hits) with the clauses added one after the other."""
+    out = []
+    for n in range(1, len(clauses) + 1):
+        query = [("q", "*:*"), *[("fq", c) for c in clauses[:n]], ("wt", "json"), ("rows", 0)]
+        with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(query)}", timeout=timeout) as answer:
+            out.append((clauses[n - 1], json.load(answer)["response"]["numFound"]))
+    return out
+
+
 class SearchReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.url = options["url"]

@@ -162,10 +162,10 @@ class _Service(BaseHTTPRequestHandler):
 
     def do_GET(self):  # noqa: N802
         q = parse_qs(urlparse(self.path).query)
-        year = int(q["fq"][-1].split("[")[1][:4])
+        year = int((q["fq"][-1].split("[") + ["2000"])[1][:4])
         self.asked.append(year)
         hits = [{"id": f"10.1/{year}.{i}", "subject": ["/S/Psychology/Perception"] if i else [], "publication_date": f"{year}-05-01T00:00:00Z"} for i in range(5)]
-        start, rows = int(q["start"][0]), int(q["rows"][0])
+        start, rows = int(q.get("start", ["0"])[0]), int(q["rows"][0])
         body = json.dumps({"response": {"numFound": 5, "docs": hits[start : start + rows]}}).encode()
         self.send_response(500 if year == 1999 else 200)
         self.end_headers()
@@ -409,3 +409,16 @@ def test_commands(spark, tmp_path):
     assert spark.read.csv(t("scores.csv"), header=True).count() == 2 and len(list((tmp_path / "texts").glob("*.txt"))) == 2
     assert spark.read.csv(t("all.csv"), header=True).count() == 4
     assert spark.read.csv(t("trends/gender_reporting_rate_by_year.csv"), header=True).first()["reporting_rate_pct"] == "0.0"
+
+
+def test_diagnostic_commands(spark, tmp_path, capfd, service):
+    from lectern import cli
+
+    (tmp_path / "a.xml").write_text(article("10.1/a"))
+    (tmp_path / "b.xml").write_text(article("10.1/b", groups="<subj-group subj-group-type='heading'><subject>Biology</subject></subj-group>", dates_="<pub-date><year>2015</year></pub-date>"))
+    (tmp_path / "c.xml").write_text("<broken")
+    for command in ("validate-corpus-filter", "diagnose-dates", "diagnose-subjects"):
+        cli.main([command, "--corpus-dir", str(tmp_path)])
+    cli.main(["probe-search", "--url", service])
+    said = capfd.readouterr().out
+    assert "Perception" in said and "2016" in said and "heading" in said and said.count("5 doc_type:full") == 1

@@ -215,3 +215,13 @@ def test_output_and_tree_are_published_together(spark, tmp_path):
     assert [p[-9:] for p in incremental.published(spark, root)] == ["v00000000"]
     incremental.publish(rows, rows, root)
     assert [p[-9:] for p in incremental.published(spark, root)] == ["v00000000", "v00000001"]
+
+
+def test_settled_tables_are_kept_until_cleaned(spark):
+    from lectern.session import clean, settle
+
+    rows = settle(spark.range(5))
+    assert rows.count() == 5
+    clean(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(rows.inputFiles()[0]).count()
