@@ -7,15 +7,19 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 #: Most strata whose draws the driver makes.
 MAX_STRATA = 100_000
 
 
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "row_index") -> DataFrame:
     """Row numbers from 0 in a total order, without a single task that gets all
-    rows: the rows are range-sorted, each range is counted, and the ranges'
-    first numbers (one row per partition) are joined back."""
+    rows: the rows are range-sorted and settled (the ranges' bounds are sampled,
+    so they must be drawn once), each range is counted, and the ranges' first
+    numbers (one row per partition) are joined back."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    ranged = settle(ranged, "ranged")
     local = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), 33)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -64,7 +68,8 @@ def stratified_by_hash(rows: DataFrame, strata: Column, key: str, n: int, seed:
 def stratified_by_draw(rows: DataFrame, strata: Column, order: str, n: int, seed: int = 42, wanted: list[str] | None = None) -> DataFrame:
     """n rows of each stratum as one random generator draws them, stratum after
     stratum in first-seen order: only (stratum, size) comes to the driver, which
-    draws places; the places are joined back. Strata with too few rows are left
+    draws places; the places are joined back to rows numbered by a range sort, so
+    a stratum is no one task's. Strata with too few rows are left
     out and use no randomness; named ones (wanted) raise an error."""
     spark = rows.sparkSession
     wide = rows.withColumn("subfield", F.explode(F.array_distinct(strata)))
@@ -79,5 +84,8 @@ def stratified_by_draw(rows: DataFrame, strata: Column, order: str, n: int, seed
             continue
         drawn += [(name, p, len(drawn) + i) for i, p in enumerate(rng.sample(range(size[name]), n))]
     places = spark.createDataFrame(drawn or [("", -1, 0)], "subfield string, _place long, draw_no int")
-    ranked = wide.join(F.broadcast(places.select("subfield").distinct()), "subfield").withColumn("_place", F.row_number().over(Window.partitionBy("subfield").orderBy(order)) - 1)
+    drawn_from = wide.join(F.broadcast(places.select("subfield").distinct()), "subfield")
+    ranked = numbered(drawn_from, ["subfield", order], "_number")
+    firsts = ranked.groupBy("subfield").agg(F.min("_number").alias("_first"))
+    ranked = ranked.join(F.broadcast(firsts), "subfield").withColumn("_place", F.col("_number") - F.col("_first")).drop("_number", "_first")
     return ranked.join(F.broadcast(places), ["subfield", "_place"]).drop("_place")

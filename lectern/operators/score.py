@@ -66,7 +66,7 @@ def per_article(gold: DataFrame, model: DataFrame, results: DataFrame, tolerance
     samples = compare(gold, fine, tolerance, order).groupBy("doi").agg(
         F.count_if("in_gold").alias("n_gold_samples"), F.count_if("in_model").alias("n_model_samples"), F.bool_and(F.col("in_gold") == F.col("in_model")).alias("same_ids"),
         *[F.sum(c).alias(c) for c in ("flag_total", "flag_correct", "num_total", "num_correct")],
-        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "notes"))), lambda x: x["notes"])), "; ").alias("sample_notes"),
+        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("notes") > 0, F.struct("sample_id", "notes")))), lambda x: x["notes"])), "; ").alias("sample_notes"),
     )
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     rate = lambda a, b: F.when(ok, F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0))))

@@ -197,10 +197,10 @@ def tolerance_map_compare(spark, d):
 
 
 def set_match(spark, d):
-    """Per article the samples that report gender and race: the same, and how many in common."""
-    ids = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) == 1, F.col("sample_id"))))
-    sets = facts(spark, d).groupBy("doi").agg(ids("gender_reported").alias("a"), ids("race_reported").alias("b"))
-    return sets.select("doi", (F.col("a") == F.col("b")).alias("same"), F.size(F.array_intersect("a", "b")).alias("common"))
+    """Per article the samples that report gender and race: the same, and how many in common; sets are counted, not collected."""
+    said = lambda c: F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False))
+    samples = facts(spark, d).groupBy("doi", "sample_id").agg(said("gender_reported").alias("a"), said("race_reported").alias("b"))
+    return samples.groupBy("doi").agg(F.bool_and(F.col("a") == F.col("b")).alias("same"), F.count_if(F.col("a") & F.col("b")).cast("int").alias("common"))
 
 
 def json_required_keys(spark, d):

@@ -236,6 +236,12 @@ def test_shards_partition_the_rows(spark):
     assert sorted(hashed) == list(range(101))
 
 
+def test_numbers_are_those_of_the_order(spark):
+    rows = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k")).repartition(7)
+    got = sampling.numbered(rows, ["k"], "n")
+    assert got.where("n <> k").count() == 0 and got.count() == 60_000
+
+
 def test_systematic(spark):
     assert sorted(r["id"] for r in sampling.systematic(spark.range(100).repartition(3), 30, ["id"]).collect()) == list(range(0, 100, 3))
     assert sampling.systematic(spark.range(0), 30, ["id"]).count() == 0
