@@ -225,3 +225,21 @@ def test_settled_tables_are_kept_until_cleaned(spark):
     clean(spark)
     with pytest.raises(Exception):
         spark.read.parquet(rows.inputFiles()[0]).count()
+
+
+def test_packed_subjects_are_those_of_the_articles(spark):
+    """Cells without paths hold the same list as some metadata row of the article."""
+    import os
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    lists = {}
+    for r in spark.read.parquet(f"{d}/article_metadata.parquet").select("doi", "subject").collect():
+        lists.setdefault(r["doi"], []).append(list(r["subject"] or []))
+    dois = {r["row_id"]: r["doi"] for r in spark.read.parquet(f"{d}/demographics_table.parquet").select("row_id", "doi").collect()}
+    cells = {}
+    for r in sorted(core_queries.p5_found(spark, d).where("field_name = 'subject'").collect()):
+        cells.setdefault(r["row_id"], []).append(r["term"])
+    plain = {i: v for i, v in cells.items() if not any(t.startswith("/") for t in v)}
+    assert plain and all(v in lists[dois[i]] for i, v in plain.items())
