@@ -35,9 +35,15 @@ PIECES = "n_pieces int, piece_no int, start_pos int, own_start int, end_pos int,
 def strength(atom: str) -> int:
     """Strength of the boundary after an atom."""
     word = atom.rstrip()
+    if len(atom) - len(word) == 1 and atom[-1] == " ":
+        return _after(word)
     breaks = len(_BREAK.findall(atom[len(word) :])) + (" " in atom[len(word) :])
     if breaks:
         return PARAGRAPH if breaks > 1 else LINE
+    return _after(word)
+
+
+def _after(word: str) -> int:
     last = word.rstrip("\"'”’»)]}」』）")[-1:]
     if last and last in ".!?…。！？":
         return SENTENCE
@@ -47,9 +53,10 @@ def strength(atom: str) -> int:
 def atoms(text: str, most: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the boundary after it); an atom has at most `most` characters."""
     out = []
+    wide = _WIDE.search(text) is not None
     for m in _ATOM.finditer(text):
         a, b, after = m.start(), m.end(), strength(m.group())
-        marks = [x.end() for x in _WIDE.finditer(m.group().rstrip())]
+        marks = [x.end() for x in _WIDE.finditer(m.group().rstrip())] if wide else ()
         for cut in marks:
             if cut < b - m.start() and a < m.start() + cut:
                 kind = SENTENCE if text[m.start() + cut - 1] in "。！？”’」』）" else CLAUSE
@@ -125,12 +132,16 @@ def split_texts(texts: DataFrame, key: str, column: str, limits: DataFrame, by:
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, *[c.split()[0] for c in PIECES.split(", ")]]
         for b in batches:
+            rows: list[tuple] = []
             for k, text, limit, overlap in zip(b[key], b["_text"], b["max_chars"], b["overlap_chars"]):
                 found, run = split(text, int(limit), int(overlap)), longest_run(text)
-                yield pd.DataFrame(
-                    [(k, len(found), i, s, own, e, kind, run, text[s:e]) for i, (s, own, e, kind) in enumerate(found, 1)],
-                    columns=[key, *[c.split()[0] for c in PIECES.split(", ")]],
-                )
+                rows += [(k, len(found), i, s, own, e, kind, run, text[s:e]) for i, (s, own, e, kind) in enumerate(found, 1)]
+                if len(rows) > 1000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return short.unionByName(rows.where(over).mapInPandas(cut, f"{key} {kind}, {PIECES}"))
