@@ -216,34 +216,47 @@ def _cuts(length: int) -> list[tuple[int, int]]:
     return out
 
 
+def letter_mask(name: str) -> int:
+    """A bit per letter that occurs: an edit changes at most two of them, a swap none."""
+    mask = 0
+    for c in name:
+        mask |= 1 << (ord(c) % 61)
+    return mask
+
+
 def segments(names: DataFrame, probe: bool) -> DataFrame:
-    """(key, name): the name's own segments, or the shifted substrings that a
-    name within SEGMENT_EDITS edits could have as a segment."""
+    """(key, name, forms, mask): the name's own segments, or the shifted
+    substrings that a name within SEGMENT_EDITS edits could have as a segment."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = set()
-            for s in b["name"]:
-                for length in range(max(1, len(s) - EDITS), len(s) + EDITS + 1) if probe else [len(s)]:
-                    for i, (at, size) in enumerate(_cuts(length)):
-                        reach = SEGMENT_EDITS if probe else 0
-                        for p in range(max(0, at - reach), min(len(s) - size, at + reach) + 1):
-                            rows.add((f"{length}.{i}.{s[p : p + size]}", s))
-            yield pd.DataFrame(sorted(rows), columns=["key", "name"])
+            for first in range(0, len(b), 500):
+                rows = set()
+                for s, forms in zip(b["name"][first : first + 500], b["forms"][first : first + 500]):
+                    mask = letter_mask(s)
+                    for length in range(max(1, len(s) - EDITS), len(s) + EDITS + 1) if probe else [len(s)]:
+                        for i, (at, size) in enumerate(_cuts(length)):
+                            reach = SEGMENT_EDITS if probe else 0
+                            for p in range(max(0, at - reach), min(len(s) - size, at + reach) + 1):
+                                rows.add((f"{length}.{i}.{s[p : p + size]}", s, forms, mask))
+                if rows:
+                    yield pd.DataFrame(sorted(rows), columns=["key", "name", "forms", "mask"])
 
-    return names.select("name").mapInPandas(cut, "key string, name string")
+    return names.select("name", "forms").mapInPandas(cut, "key string, name string, forms bigint, mask bigint")
 
 
 def near_names(names: DataFrame) -> DataFrame:
     """(name, other, edits): each name with the names of more spellings within
-    its edits. names: name, forms (spellings that have it)."""
-    index = segments(names, False).withColumnRenamed("name", "other")
-    pairs = segments(names, True).join(index, "key").where("name <> other").select("name", "other").distinct()
-    a, b = names.select("name", "forms"), names.select(F.col("name").alias("other"), F.col("forms").alias("other_forms"))
+    its edits. names: name, forms (spellings that have it). What the counts of
+    spellings and the letters rule out is dropped as the index is read, before
+    anything is shuffled again."""
+    index = segments(names, False).select("key", F.col("name").alias("other"), F.col("forms").alias("other_forms"), F.col("mask").alias("other_mask"))
     ranked = (
-        pairs.join(a, "name").join(b, "other")
+        segments(names, True).join(index, "key")
         .where("other_forms > forms or (other_forms = forms and other < name)")
         .where("forms <= 2 or other_forms >= 4 * forms")
+        .where(F.bit_count(F.col("mask").bitwiseXOR(F.col("other_mask"))) <= 2 * EDITS)
+        .select("name", "other", "forms", "other_forms").distinct()
         .where(F.levenshtein("name", "other", 2 * EDITS) >= 0)
     )
 
@@ -254,7 +267,7 @@ def near_names(names: DataFrame) -> DataFrame:
             yield b.assign(edits=d)[[x <= m for x, m in zip(d, most)]]
 
     columns = "name string, other string, forms bigint, other_forms bigint, edits int"
-    return ranked.select("name", "other", "forms", "other_forms").mapInPandas(verify, columns)
+    return ranked.mapInPandas(verify, columns)
 
 
 def settle_roots(parents: DataFrame) -> DataFrame:
