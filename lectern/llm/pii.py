@@ -164,14 +164,14 @@ class Coder:
         return self._joints
 
     @classmethod
-    def learn(cls, texts: list[str]) -> Coder:
+    def learn(cls, texts: list[str], captions: list[list[tuple[int, int, str]]]) -> Coder:
         words, forms = Counter(), Counter()
         for text in texts:
             tokens = TOKEN.findall(text)
             words.update({fold(t) for t in tokens})
             forms.update({form(t) for t in tokens})
         least = max(2, min(COMMON, len(texts) // 150))
-        named = Counter(fold(w) for t in texts for a, b, k in captioned(t) if k == "name" for w in TOKEN.findall(t[a:b]) if w[0].isalpha() and fold(w))
+        named = Counter(fold(w) for t, c in zip(texts, captions) for a, b, k in c if k == "name" for w in TOKEN.findall(t[a:b]) if w[0].isalpha() and fold(w))
         proper = {fold(w) for t in texts for w in cited(t)}
         keep = [w for w, n in words.most_common(MAX_WORDS) if n >= least and w not in proper and not (w[:1].isalpha() and named[w] >= min(2, n / 8) > 0 and len(w) > 3)]
         special = ["<pad>", "<line>", "<9>", "<han>", "<a>", "<.>"]
@@ -251,7 +251,8 @@ def train(texts: list[str], seed: int = 0) -> Field:
     """Weights by gradient steps on the sample's exact chain likelihood; the
     skip edges' by the log odds with which linked tokens share their kind."""
     rng = np.random.default_rng(seed)
-    coder = Coder.learn(texts)
+    captions = [captioned(t) for t in texts]
+    coder = Coder.learn(texts, captions)
     coded = coder.encode(texts)
     n = len(coded.start)
     gold = np.zeros(n, dtype=np.int64)
@@ -259,7 +260,7 @@ def train(texts: list[str], seed: int = 0) -> Field:
     for d, text in enumerate(texts):
         begin = edge[d] + 1
         starts = coded.start[begin : edge[d + 1]]
-        for a, b, k in captioned(text):
+        for a, b, k in captions[d]:
             i, j = begin + np.searchsorted(starts, a), begin + np.searchsorted(starts, b)
             while i < j and coded.end[i] <= a:
                 i += 1
@@ -290,20 +291,22 @@ def train(texts: list[str], seed: int = 0) -> Field:
     for i, j in chunks:
         by_length[j - i].append(i)
     batches = [(t, np.array(s[k : k + 400])) for t, s in by_length.items() for k in range(0, len(s), 400)]
+    held = []
+    for t, s in batches:
+        rows = (s[:, None] + np.arange(t)).ravel()
+        held.append((rows, [np.unique(x[rows], return_inverse=True) for x in ids]))
     grown = [np.full_like(w, 1e-6) for w in weights] + [np.full_like(moves, 1e-6)]
     for _ in range(PASSES):
         for q in rng.permutation(len(batches)):
             t, s = batches[q]
-            rows = (s[:, None] + np.arange(t)).ravel()
+            rows, known = held[q]
             scores = np.zeros((len(rows), N_LABELS))
-            for w, x in zip(weights, ids):
-                scores += w[x[rows]]
+            for w, (seen, place) in zip(weights, known):
+                scores += w[seen][place]
             post, pairs, _ = beliefs(scores.reshape(len(s), t, N_LABELS), model.moves)
             diff = -post.reshape(-1, N_LABELS)
             diff[np.arange(len(rows)), gold[rows]] += 1
-            for w, g, x in zip(weights, grown, ids):
-                own = x[rows]
-                seen, place = np.unique(own, return_inverse=True)
+            for w, g, (seen, place) in zip(weights, grown, known):
                 step = np.stack([np.bincount(place, diff[:, k], len(seen)) for k in range(N_LABELS)], axis=1) - SHRINK * len(rows) * w[seen]
                 g[seen] += step**2
                 w[seen] += STEP * step / np.sqrt(g[seen])
