@@ -21,6 +21,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,11 +120,29 @@ def is_path(text: str) -> bool:
     return len(text) > 1 and text[0] == "/" and not text[1].isspace()
 
 
+class Extent(NamedTuple):
+    """Of all known terms: how many, their summed uses, and the most places
+    (separators and slashes, plus one) and slash-parts that one of them has."""
+
+    count: int
+    total: float
+    places: int
+    parts: int
+
+
+def extent(known: DataFrame) -> Extent:
+    within = lambda chars: F.length(F.regexp_replace("term", f"[^{re.escape(chars)}]", ""))
+    n, total, places, parts = known.agg(F.count(F.lit(1)), F.sum("uses"), F.max(within(SEPARATORS + "/")), F.max(within("/"))).first()
+    # rounded, so that the order of the sum doesn't show
+    return Extent(n, round(total or 0.0, 6), 1 + (places or 0), 1 + (parts or 0))
+
+
 class Segmenter:
-    """Values of a cell by the likeliest path, given expected counts of terms."""
+    """Values of a cell by the likeliest path, given expected counts of terms.
+    total: the uses of the whole column, if counts are only a cell's own terms."""
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) or 1.0
+    def __init__(self, counts: dict[str, float], total: float | None = None):
+        total = total or sum(counts.values()) or 1.0
         self.score = {t: math.log(c / total) for t, c in counts.items() if c > 0}
         self.joined = {t for t in self.score if _SEP.search(t)}
         self.values = lru_cache(maxsize=50_000)(self._values)
@@ -254,51 +273,81 @@ def learn(cells: DataFrame, terms: DataFrame, rounds: int = ROUNDS) -> DataFrame
     known = listed.unionByName(quoted).groupBy("term").agg(F.sum("uses").alias("uses"))
     for _ in range(rounds):
         known = settle(known, "terms")
-        counts = bounded(known)
+        size = extent(known)
+        counts = bounded(known, size)
 
-        def expect(batches: Iterator[pd.DataFrame], counts=counts) -> Iterator[pd.DataFrame]:
-            fixed = Segmenter(counts) if counts is not None else None
+        def expect(batches: Iterator[pd.DataFrame], counts=counts, total=size.total) -> Iterator[pd.DataFrame]:
+            fixed = Segmenter(counts, total) if counts is not None else None
             for b in batches:
                 uses: dict[str, float] = defaultdict(float)
                 own = [None] * len(b) if fixed else b["known"]
                 for cell, near in zip(b["cell"], own):
-                    for t, p in (fixed or Segmenter(dict(near or ()))).expected(cell).items():
+                    for t, p in (fixed or Segmenter(dict(near or ()), total)).expected(cell).items():
                         uses[t] += p
                 if uses:
                     yield pd.DataFrame({"term": list(uses), "uses": list(uses.values())})
 
-        source = distinct if counts is not None else with_known(distinct, known)
+        source = distinct if counts is not None else with_known(distinct, known, size)
         uses = source.mapInPandas(expect, "term string, uses double").groupBy("term").agg(F.sum("uses").alias("uses")).where("uses >= 2")
         known = uses.unionByName(listed).groupBy("term").agg(F.sum("uses").alias("uses"))
     return settle(known, "terms")
 
 
-def bounded(known: DataFrame) -> dict[str, float] | None:
+def bounded(known: DataFrame, size: Extent) -> dict[str, float] | None:
     """The terms as a dictionary, if there are at most MAX_TERMS of them."""
-    if known.count() > MAX_TERMS:
-        return None
-    return {r["term"]: r["uses"] for r in known.collect()}
+    return {r["term"]: r["uses"] for r in known.collect()} if size.count <= MAX_TERMS else None
 
 
-def with_known(cells: DataFrame, known: DataFrame) -> DataFrame:
+def lookups(cell: str, size: Extent) -> set[str]:
+    """All texts that a Segmenter could find among terms of this extent while
+    it reads the cell. A term over n of the smallest spans has n - 1 separators
+    or slashes, so longer runs of spans can't be terms."""
+    cell = cell.strip()
+    if json_list(cell) is not None:
+        return set()
+    texts: set[str] = set()
+    spans: list[tuple[int, int, str | None]] = []
+    for start, end, quoted in pieces(cell):
+        raw = cell[start:end]
+        if quoted is None and "/" in raw and not is_path(raw):
+            cuts = [-1, *[m.start() for m in re.finditer(r"(?<!\\)/", raw)], len(raw)]
+            spans += [(start + a + 1, start + b, None) for a, b in zip(cuts, cuts[1:])]
+        else:
+            spans.append((start, end, quoted))
+
+    def add_terms(path: str) -> None:
+        parts = path.split("/")[1:]
+        texts.update("/".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, min(i + size.parts, len(parts)) + 1))
+
+    run_end, seen = 0, False
+    for i, (start, _, quoted) in enumerate(spans):
+        if quoted is not None:
+            texts.add(quoted)
+            if is_path(quoted):
+                add_terms(quoted)
+            continue
+        if i >= run_end:
+            run_end, seen = next((j for j in range(i, len(spans)) if spans[j][2] is not None), len(spans)), False
+        for j in range(i, min(i + size.places, run_end)):
+            texts.add(unescape(cell[start : spans[j][1]]).strip())
+        longest = unescape(cell[start : spans[run_end - 1][1]]).strip()
+        if not seen and (is_path(longest) or is_path(unescape(cell[start : spans[i][1]]).strip())):
+            # later paths of the run have no other terms than its first
+            seen = True
+            add_terms(longest)
+            for j in range(i, run_end):
+                last = unescape(cell[start : spans[j][1]]).strip().rsplit("/", size.parts)[1:]
+                texts.update("/".join(last[k:]) for k in range(len(last)))
+    return texts
+
+
+def with_known(cells: DataFrame, known: DataFrame, size: Extent) -> DataFrame:
     """Each distinct cell with the terms that occur among its candidates: the
     way without a dictionary in every worker."""
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for cell in b["cell"]:
-                c = cell.strip()
-                found = pieces(c)
-                texts = set(_quoted(cell))
-                for i, (start, _, _) in enumerate(found):
-                    for _, end, _ in found[i : i + MAX_JOINED]:
-                        texts.add(unescape(c[start:end]).strip())
-                for t in list(texts):
-                    parts = t.split("/")
-                    texts.update("/".join(parts[i:j]).strip() for i in range(len(parts)) for j in range(i + 1, min(i + 3, len(parts)) + 1))
-                rows += [(cell, t) for t in texts]
-            yield pd.DataFrame(rows, columns=["cell", "term"])
+            yield pd.DataFrame([(cell, t) for cell in b["cell"] for t in lookups(cell, size)], columns=["cell", "term"])
 
     near = (
         cells.mapInPandas(candidates, "cell string, term string")
@@ -313,11 +362,12 @@ def unpack(table: DataFrame, key: str, fields: list[str], terms: DataFrame) -> D
     """(key, field_name, pos, term): one row per value of the packed columns."""
     cells = long_cells(table, key, fields)
     known = learn(cells, terms)
-    counts = bounded(known)
+    size = extent(known)
+    counts = bounded(known, size)
     if counts is not None:
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cut = Segmenter(counts)
+            cut = Segmenter(counts, size.total)
             for b in batches:
                 yield pd.DataFrame({key: b[key], "field_name": b["field_name"], "values": [list(cut.values(c)) for c in b["cell"]]})
 
@@ -326,9 +376,9 @@ def unpack(table: DataFrame, key: str, fields: list[str], terms: DataFrame) -> D
 
         def split_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"cell": b["cell"], "values": [list(Segmenter(dict(k or ())).values(c)) for c, k in zip(b["cell"], b["known"])]})
+                yield pd.DataFrame({"cell": b["cell"], "values": [list(Segmenter(dict(k or ()), size.total).values(c)) for c, k in zip(b["cell"], b["known"])]})
 
-        parts = with_known(cells.select("cell").distinct(), known).mapInPandas(split_near, "cell string, values array<string>")
+        parts = with_known(cells.select("cell").distinct(), known, size).mapInPandas(split_near, "cell string, values array<string>")
         done = cells.join(parts, "cell")
     return done.select(key, "field_name", F.posexplode("values").alias("at", "term")).select(
         key, "field_name", (F.col("at") + 1).cast("int").alias("pos"), "term"

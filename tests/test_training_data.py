@@ -166,6 +166,32 @@ def test_unpack_by_dictionary_and_by_join(spark, monkeypatch, most):
     assert got == [(1, "u", 1, "A b"), (1, "u", 2, "New"), (2, "u", 1, "C, d and e"), (2, "u", 2, "New"), (2, "v", 1, "x"), (4, "u", 1, "A b"), (4, "u", 2, "New")]
 
 
+def test_frequent_parts_split_the_same_by_dictionary_and_by_join(spark, monkeypatch):
+    cells = [f"Arts; k{i}" for i in range(30)] + [f"Crafts; m{i}" for i in range(30)] + [f"Filler; o{i}" for i in range(250)]
+    cells += ["Arts; Crafts", "Arts; Crafts; Filler", "a/b/c/d/e;x", "x; a/b/c/d/e", "/Arts; Crafts/Filler", "/Filler/a/b/c/d/e; /Arts"]
+    table = spark.createDataFrame(list(enumerate(cells)), "row_id long, u string")
+    terms = spark.createDataFrame([("Arts; Crafts",), ("a/b/c/d/e",)], "term string")
+    got = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(packed, "MAX_TERMS", most)
+        got.append(sorted(tuple(r) for r in packed.unpack(table, "row_id", ["u"], terms).collect()))
+    assert got[0] == got[1]
+    assert [r[3] for r in got[1] if r[0] == 310] == ["Arts; Crafts"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(
+    st.dictionaries(st.text("ab;/ ", min_size=1, max_size=7).map(str.strip).filter(bool), st.sampled_from([2.0, 5.0, 90.0, 4000.0]), max_size=12),
+    st.lists(st.sampled_from(["a", "b", "ab", ";", "; ", "/", " / ", "/a", "\\;", "\\/", '"a;b"', "\t", " "]), max_size=14).map("".join),
+)
+def test_looked_up_terms_are_all_that_a_cell_needs(counts, cell):
+    total = sum(counts.values())
+    size = packed.Extent(len(counts), total, 1 + max((sum(c in packed.SEPARATORS + "/" for c in t) for t in counts), default=0), 1 + max((t.count("/") for t in counts), default=0))
+    own = {t: counts[t] for t in packed.lookups(cell, size) if t in counts}
+    near, whole = packed.Segmenter(own, total), packed.Segmenter(counts, total)
+    assert near.values(cell) == whole.values(cell) and near.expected(cell) == whole.expected(cell)
+
+
 def test_unpack_nothing(spark):
     table = spark.createDataFrame([], "row_id long, u string")
     assert packed.unpack(table, "row_id", ["u"], spark.createDataFrame([], "term string")).count() == 0
