@@ -39,7 +39,6 @@ ROUNDS = 2
 #: Expected uses that a listed term has from the start, and log scores of an
 #: unlisted value, of one of its characters and of a slash without blanks.
 LISTED, NEW_VALUE, NEW_CHAR, BARE_SLASH = 5.0, -12.0, -0.2, -3.0
-MAX_JOINED = 5
 _SEP = re.compile(rf"[{re.escape(SEPARATORS)}]+|(?<=\s)/(?=\s|$)|^/(?=\s)")
 _CLOSES = re.compile(rf"\s*(?:$|[{re.escape(SEPARATORS)}]|/(?=\s|$))")
 _ESCAPE = re.compile(rf"\\([{re.escape(SEPARATORS + QUOTES)}/\\])")
@@ -120,6 +119,11 @@ def is_path(text: str) -> bool:
     return len(text) > 1 and text[0] == "/" and not text[1].isspace()
 
 
+def places(text: str) -> int:
+    """The most spans that the text can be made of."""
+    return 1 + sum(c == "/" or c in SEPARATORS for c in text)
+
+
 class Extent(NamedTuple):
     """Of all known terms: how many, their summed uses, and the most places
     (separators and slashes, plus one) and slash-parts that one of them has."""
@@ -144,27 +148,35 @@ class Segmenter:
     def __init__(self, counts: dict[str, float], total: float | None = None):
         total = total or sum(counts.values()) or 1.0
         self.score = {t: math.log(c / total) for t, c in counts.items() if c > 0}
-        self.joined = {t for t in self.score if _SEP.search(t)}
+        self.places = max(map(places, self.score), default=1)
+        self.parts = 1 + max((t.count("/") for t in self.score), default=0)
         self.values = lru_cache(maxsize=50_000)(self._values)
 
     def word(self, text: str) -> float:
         known = self.score.get(text)
         return known if known is not None else NEW_VALUE + NEW_CHAR * len(text)
 
-    def path(self, text: str) -> tuple[float, bool]:
-        """Score of a path, and whether separators within it belong to its terms."""
+    def path(self, text: str) -> tuple[float, bool, bool]:
+        """Score of a path, whether separators within it belong to its terms,
+        and whether they still could if the text went on."""
         parts = text.split("/")[1:]
         best = [(0.0, True)] + [(-math.inf, False)] * len(parts)
+        whole = 0  # the last place before the open part that terms alone can reach
+        reached = [True] + [False] * len(parts)
         for j in range(1, len(parts) + 1):
-            for i in range(max(0, j - 3), j):
+            for i in range(max(0, j - self.parts), j):
                 term = "/".join(parts[i:j])
-                if j - i > 1 and term not in self.score:
+                known = term in self.score
+                if j - i > 1 and not known:
                     continue
-                clean = term in self.score or not _SEP.search(term)
+                clean = known or not _SEP.search(term)
+                reached[j] |= reached[i] and clean
                 s = best[i][0] + self.word(term)
                 if s > best[j][0]:
                     best[j] = (s, best[i][1] and clean)
-        return best[-1]
+            if reached[j] and j < len(parts):
+                whole = j
+        return *best[-1], places("/".join(parts[whole:])) <= self.places
 
     def edges(self, cell: str) -> tuple[int, list[tuple[int, int, str, float]]]:
         """Number of places and the lattice's edges (from, to, value, score)."""
@@ -183,19 +195,24 @@ class Segmenter:
             if quoted is not None:
                 out.append((i, i + 1, quoted, self.path(quoted)[0] if is_path(quoted) else self.word(quoted)))
                 continue
-            for j in range(i + 1, min(i + MAX_JOINED, len(spans)) + 1):
+            bare = True
+            for j in range(i + 1, len(spans) + 1):
                 if spans[j - 1][2] is not None:
                     break
+                bare = bare and (j == i + 1 or spans[j - 1][3])
                 value = unescape(cell[start : spans[j - 1][1]]).strip()
-                bare = all(x[3] for x in spans[i + 1 : j])
                 if is_path(value):
-                    s, clean = self.path(value)
+                    s, clean, open_ended = self.path(value)
                     if j == i + 1 or clean:
                         out.append((i, j, value, s))
+                    if not open_ended:
+                        break
                 elif j == i + 1:
                     out.append((i, j, value, self.word(value) + BARE_SLASH * spans[i][3]))
-                elif value in self.joined or value in self.score or bare:
-                    out.append((i, j, value, self.word(value)))
+                elif bare or value in self.score:
+                    out.append((i, j, value, self.word(value) + BARE_SLASH * spans[i][3]))
+                elif j - i >= self.places:
+                    break
         return len(spans), out
 
     def _values(self, cell: str) -> tuple[str, ...]:

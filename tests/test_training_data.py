@@ -192,6 +192,18 @@ def test_looked_up_terms_are_all_that_a_cell_needs(counts, cell):
     assert near.values(cell) == whole.values(cell) and near.expected(cell) == whole.expected(cell)
 
 
+@pytest.mark.parametrize(
+    ("cell", "values"),
+    [
+        ("x;P, Q, R, S, T and U;P", ["x", "P, Q, R, S, T and U", "P"]), ("/A, B/C, D/E, F/P;P", ["/A, B/C, D/E, F/P", "P"]), ("/a/b/c/d, e/P;x", ["/a/b/c/d, e/P", "x"]),
+        ("new/words/in/one/long/value;P", ["new/words/in/one/long/value", "P"]), ("/P;/P;/P;/P;/P;/P", ["/P"] * 6), ("/A, B/P/C, D", ["/A, B/P/C, D"]), ("/C, D/P/E, F; /P/A, B", ["/C, D/P/E, F", "/P/A, B"]),
+    ],
+)
+def test_long_terms_and_paths_are_whole(cell, values):
+    counts = {t: packed.LISTED for t in ["P, Q, R, S, T and U", "A, B", "C, D", "E, F", "a/b/c/d, e", "P"]}
+    assert list(packed.Segmenter(counts).values(cell)) == values
+
+
 def test_unpack_nothing(spark):
     table = spark.createDataFrame([], "row_id long, u string")
     assert packed.unpack(table, "row_id", ["u"], spark.createDataFrame([], "term string")).count() == 0
