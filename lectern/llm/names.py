@@ -6,9 +6,10 @@ left beside departments, countries, given names and places that follow). The
 distinguishing names are linked by a pigeonhole segment join: each is cut into
 k+1 segments, shifted substrings are looked up in the inverted index of
 segments, and candidates are verified by banded edit distance with swapped
-neighbours as one edit. A name joins the nearest name that has clearly more
-spellings, so two institutions aren't chained through a misspelling between
-them. Abbreviations that stand alone are resolved by those in brackets beside a
+neighbours as one edit. A name joins the nearest name that has more spellings,
+so two institutions aren't chained through a misspelling between them; names
+whose institutions of one kind show different abbreviations in brackets stay
+apart. How many more spellings the other has doesn't matter. Abbreviations that stand alone are resolved by those in brackets beside a
 name, else by the initials of known names.
 
 Null, empty and blank names link to nothing. Names in which no kind or no
@@ -254,7 +255,6 @@ def near_names(names: DataFrame) -> DataFrame:
     ranked = (
         segments(names, True).join(index, "key")
         .where("other_forms > forms or (other_forms = forms and other < name)")
-        .where("forms <= 2 or other_forms >= 4 * forms")
         .where(F.bit_count(F.col("mask").bitwiseXOR(F.col("other_mask"))) <= 2 * EDITS)
         .select("name", "other", "forms", "other_forms").distinct()
         .where(F.levenshtein("name", "other", 2 * EDITS) >= 0)
@@ -285,8 +285,13 @@ def entities(values: DataFrame, column: str) -> DataFrame:
     """(value, entity): each distinct non-blank value with the entity that it names."""
     read = settle(read_names(values, column), "read")
     named = read.where("kind not in ('', 'abbreviation')")
-    names = settle(named.groupBy("name").agg(F.count(F.lit(1)).alias("forms")), "names")
-    near = near_names(names).groupBy("name").agg(F.min_by("other", F.struct("edits", -F.col("other_forms"), "other")).alias("parent"))
+    letters = F.array_join(F.array_sort(F.split("mark", "")), "")  # BUXY and UBXY are one abbreviation
+    marks = F.collect_set(F.when(F.col("mark") != "", F.concat_ws(":", "kind", letters))).alias("marks")
+    names = settle(named.groupBy("name").agg(F.count(F.lit(1)).alias("forms"), marks), "names")
+    kinds = lambda c: F.transform(c, lambda x: F.substring_index(x, ":", 1))
+    shown = near_names(names).join(names.select("name", "marks"), "name").join(names.select(F.col("name").alias("other"), F.col("marks").alias("other_marks")), "other")
+    apart = F.arrays_overlap(kinds("marks"), kinds("other_marks")) & ~F.arrays_overlap("marks", "other_marks")
+    near = shown.where(~apart).groupBy("name").agg(F.min_by("other", F.struct("edits", -F.col("other_forms"), "other")).alias("parent"))
     roots = settle_roots(names.select("name").join(near, "name", "left").select("name", F.coalesce("parent", "name").alias("parent")))
     known = settle(named.join(roots, "name").withColumn("entity", F.concat_ws(":", "kind", "root")), "known")
     evidence = (

@@ -51,6 +51,23 @@ def test_spellings_are_linked_and_institutions_are_not(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def _forms(name, n):
+    return [f"{p}{name}{s} University" for p in ("", "The ", "the ", "THE ") for s in ("", " ", ",", " -", ";", " .")][:n]
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_a_frequent_second_spelling_is_linked(spark, n):
+    values = _forms("Quarlingen", 8) + _forms("Quaerlingen", n)
+    got = _linked(spark, values)
+    assert len(got) == len(set(got)) == len(values) * (len(values) - 1) // 2
+
+
+def test_look_alikes_with_their_own_abbreviations_stay_apart(spark):
+    a = [*_forms("Brimvalen", 4), "Brimvalen University (BURN)", "University of Brimvalen (UBRN)"]
+    b = [*_forms("Brimvales", 3), "Brimvales University (BURS)"]
+    assert set(_linked(spark, a + b)) == {(x, y) for g in (a, b) for x in g for y in g if x < y}
+
+
 def test_no_names(spark):
     assert _linked(spark, []) == [] and _linked(spark, [None, ""]) == [] and _linked(spark, ["???"]) == []
 
