@@ -74,7 +74,9 @@ def stratified_by_draw(rows: DataFrame, strata: Column, order: str, n: int, seed
     spark = rows.sparkSession
     wide = rows.withColumn("subfield", F.explode(F.array_distinct(strata)))
     seen = first_seen(rows, strata, F.col(order)).withColumnRenamed("token", "subfield")
-    sizes = wide.groupBy("subfield").agg(F.count(F.lit(1)).alias("n")).join(seen, "subfield").orderBy("seen").limit(MAX_STRATA).select("subfield", "n").collect()
+    sizes = wide.groupBy("subfield").agg(F.count(F.lit(1)).alias("n")).join(seen, "subfield").orderBy("seen").limit(MAX_STRATA + 1).select("subfield", "n").collect()
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
     size = {r["subfield"]: r["n"] for r in sizes}
     rng, drawn = random.Random(seed), []
     for name in wanted if wanted is not None else list(size):

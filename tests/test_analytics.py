@@ -218,6 +218,15 @@ def test_stratified_draw_is_that_of_one_generator(population):
         sampling.stratified_by_draw(population, F.col("matched_subfields"), "row_no", 2, wanted=["C"])
 
 
+def test_too_many_strata_are_an_error(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [f"s{i}"]) for i in range(4)], "row_no long, of array<string>")
+    monkeypatch.setattr(sampling, "MAX_STRATA", 4)
+    assert sampling.stratified_by_draw(rows, F.col("of"), "row_no", 1).count() == 4
+    monkeypatch.setattr(sampling, "MAX_STRATA", 3)
+    with pytest.raises(ValueError, match="more than 3 strata"):
+        sampling.stratified_by_draw(rows, F.col("of"), "row_no", 1, wanted=["s3"])
+
+
 def test_stratified_hash(population):
     got = sampling.stratified_by_hash(population, F.col("matched_subfields"), "doi", 2).groupBy("subfield").count().collect()
     assert {r["subfield"]: r["count"] for r in got} == {"A": 2, "B": 2}
