@@ -8,16 +8,20 @@ place of its parent row, and the rows that its references by id lead to.
 
 Records that are not valid JSON, and null ones, have no rows. Absent, null and
 empty parts ([], {}) are no elements below a repeated one; a list of one, in
-whatever way it is stored, is one element. Records nested deeper than the JSON
-reader can follow count as not valid.
+whatever way it is stored, is one element, and lists within lists are one list.
+Records may be nested to any depth. Numbers keep the text they are stored as;
+halves of surrogate pairs come out as "?".
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -28,21 +32,11 @@ from ..session import ship
 
 #: Bound of the schema graph that the driver may hold.
 MAX_EDGES = 20_000
-NODE = pa.struct(
-    [
-        ("relation", pa.string()),
-        ("path", pa.string()),
-        ("outer_path", pa.string()),
-        ("parent_relation", pa.string()),
-        ("parent_path", pa.string()),
-        ("refs", pa.list_(pa.string())),
-        ("cols", pa.map_(pa.string(), pa.string())),
-    ]
-)
-NODE_SQL = (
-    "struct<relation:string,path:string,outer_path:string,parent_relation:string,parent_path:string,"
-    "refs:array<string>,cols:map<string,string>>"
-)
+NODE_SQL = "struct<relation:string,path:string,parent_relation:string,parent_path:string,refs:array<string>,cols:map<string,string>>"
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+_WORD = re.compile("|".join(_WORDS))
 
 
 def _refuse(name: str):
@@ -54,14 +48,87 @@ def read_json(text: str | None):
     if text is None:
         return None, False
     try:
-        return json.loads(text, parse_constant=_refuse), True
-    except (ValueError, RecursionError):
+        return json.loads(text, parse_constant=_refuse, parse_int=str, parse_float=str), True
+    except RecursionError:
+        try:
+            return read_deep(text), True
+        except ValueError:
+            return None, False
+    except ValueError:
         return None, False
 
 
+def _key(text: str, at: int) -> tuple[str, int]:
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, _SPACE.match(text, at + 1).end()
+
+
+def read_deep(text: str):
+    """The value of a JSON text of any depth: open objects and lists are kept on
+    a stack of their own. The slow way, for texts that the library's reader can't follow."""
+    at = _SPACE.match(text).end()
+    stack: list[list] = []
+    while True:
+        c = text[at : at + 1]
+        if c and c in "{[":
+            box = {} if c == "{" else []
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                stack.append([box, None])
+                if c == "{":
+                    stack[-1][1], at = _key(text, at)
+                continue
+            value, at = box, at + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif m := _WORD.match(text, at):
+            value, at = _WORDS[m.group()], m.end()
+        elif m := _NUMBER.match(text, at):
+            value, at = m.group(), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        while True:
+            at = _SPACE.match(text, at).end()
+            if not stack:
+                if at != len(text):
+                    raise ValueError(f"text behind the value at {at}")
+                return value
+            box, key = stack[-1]
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = _SPACE.match(text, at).end()
+                if isinstance(box, dict):
+                    stack[-1][1], at = _key(text, at)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError(f"neither comma nor end at {at - 1}")
+            value = box
+            stack.pop()
+
+
 def _items(value) -> list:
     """The elements behind a key, in order; null and empty ones are none."""
-    return [x for x in (value if isinstance(value, list) else [value]) if x is not None and x != {} and x != []]
+    if not isinstance(value, list):
+        return [] if value is None or value == {} else [value]
+    if any(isinstance(x, list) for x in value):
+        flat, todo = [], [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list):
+                todo.extend(reversed(x))
+            else:
+                flat.append(x)
+        value = flat
+    return [x for x in value if x is not None and x != {}]
 
 
 def _leaf(value) -> str:
@@ -94,6 +161,29 @@ class Graph:
         return found | set(force)
 
 
+def edges_of(value, most: dict[tuple[str, str], int]) -> None:
+    """Take the edges of one record into most."""
+    todo = [("", x) for x in _items(value)]
+    while todo:
+        name, x = todo.pop()
+        if not isinstance(x, dict):
+            continue
+        for key, below in x.items():
+            if key[:1] in ("@", "#"):
+                continue
+            if isinstance(below, str):
+                most.setdefault((name, key), 1)
+                continue
+            parts = _items(below)
+            if parts:
+                edge = (name, key)
+                if most.get(edge, 0) < len(parts):
+                    most[edge] = len(parts)
+                for p in parts:
+                    if isinstance(p, dict):
+                        todo.append((key, p))
+
+
 def schema_graph(records: DataFrame, column: str) -> Graph:
     """One pass over all records; the driver gets one row per distinct edge."""
 
@@ -102,18 +192,8 @@ def schema_graph(records: DataFrame, column: str) -> Graph:
         for b in batches:
             for text in b[column]:
                 value, ok = read_json(text)
-                todo = [("", x) for x in _items(value)] if ok else []
-                while todo:
-                    name, x = todo.pop()
-                    if not isinstance(x, dict):
-                        continue
-                    for key, below in x.items():
-                        if key[:1] in "@#":
-                            continue
-                        parts = _items(below)
-                        if parts:
-                            most[name, key] = max(most.get((name, key), 0), len(parts))
-                            todo.extend((key, p) for p in parts)
+                if ok:
+                    edges_of(value, most)
         yield pd.DataFrame([(a, b, n) for (a, b), n in most.items()], columns=["parent", "child", "most"])
 
     ship(records.sparkSession)
@@ -130,88 +210,136 @@ def schema_graph(records: DataFrame, column: str) -> Graph:
     return Graph({(r["parent"], r["child"]): r["most"] for r in rows})
 
 
-def shred_value(value, relations: set[str], id_key: str = "@id", ref_key: str = "@rid") -> list[dict]:
+class Node(NamedTuple):
+    relation: str
+    path: str
+    parent_relation: str
+    parent_path: str
+    refs: list[str]
+    cols: dict[str, str]
+
+
+def _columns(x, relations: set[str], first: set[str]) -> tuple[dict[str, str], list]:
+    """Inlined columns of an element and the (relation, element) rows right below it."""
+    cols: dict[str, str] = {}
+    later: list = []
+    todo = [(x, "", False)]
+    while todo:
+        x, prefix, copied = todo.pop()
+        if not isinstance(x, dict):
+            cols[prefix or "#text"] = _leaf(x)
+            continue
+        for key, below in x.items():
+            if below is None:
+                continue
+            mark = key[:1]
+            if mark == "@" or mark == "#":
+                cols[(f"{prefix}/{key}" if key != "#text" else prefix) if prefix else key] = below if isinstance(below, str) else _leaf(below)
+                continue
+            name = f"{prefix}/{key}" if prefix else key
+            if key in relations:
+                parts = _items(below)
+                if not copied:
+                    later.extend((key, p) for p in parts)
+                if parts and key in first and key not in prefix.split("/"):
+                    todo.append((parts[0], name, True))
+            elif isinstance(below, str):
+                cols[name] = below
+            else:
+                todo.extend((p, name, copied) for p in _items(below)[::-1])
+    return cols, later
+
+
+def shred_value(value, relations: set[str], first: set[str] = frozenset(), id_key: str = "@id", ref_key: str = "@rid") -> list[Node]:
     """All rows of one record, in document order. path: places among the rows
     of a relation under the same enclosing row of that relation (over the whole
-    record if there is none), joined by '.'."""
-    nodes: list[dict] = []
+    record if there is none), joined by '.'. Relations named in first lend
+    their first row's columns to the row above, beside having rows of their own."""
+    nodes: list[Node] = []
     counts: dict[tuple[str, str], int] = defaultdict(int)
     ids: dict[str, list[str]] = defaultdict(list)
-
-    def inline(x, prefix: str, cols: list, later: list) -> None:
-        todo = [(x, prefix)]
-        while todo:
-            x, prefix = todo.pop()
-            if not isinstance(x, dict):
-                if x is not None:
-                    cols.append((prefix or "#text", _leaf(x)))
-                continue
-            for key, below in x.items():
-                name = f"{prefix}/{key}" if prefix else key
-                if key[:1] in "@#":
-                    if below is not None:
-                        cols.append((f"{prefix}/{key}" if prefix and key != "#text" else prefix or key, _leaf(below)))
-                elif key in relations:
-                    later.extend((key, p) for p in _items(below))
-                else:
-                    todo.extend((p, name) for p in _items(below))
-
     stack = [("", x, "", "", {}) for x in reversed(_items(value))]
     while stack:
         relation, x, parent_relation, parent_path, above = stack.pop()
         outer = above.get(relation, "")
         counts[relation, outer] += 1
         path = f"{outer}.{counts[relation, outer]}" if outer else str(counts[relation, outer])
-        cols: list = []
-        later: list = []
-        inline(x, "", cols, later)
-        own = dict(reversed(cols))
-        nodes.append(
-            {"relation": relation, "path": path, "outer_path": outer, "parent_relation": parent_relation, "parent_path": parent_path, "refs": None, "cols": list(own.items())}
-        )
-        if own.get(id_key, "").strip():
-            ids[own[id_key].strip()].append(f"{relation}:{path}")
-        inside = above | {relation: path}
-        stack.extend((key, p, relation, path, inside) for key, p in reversed(later))
+        cols, later = _columns(x, relations, first)
+        nodes.append(Node(relation, path, parent_relation, parent_path, [], cols))
+        own = cols.get(id_key)
+        if own and (own := own.strip()):
+            ids[own].append(f"{relation}:{path}")
+        if later:
+            inside = above | {relation: path}
+            stack.extend((key, p, relation, path, inside) for key, p in reversed(later))
     for n in nodes:
-        rid = dict(n["cols"]).get(ref_key, "").strip()
-        n["refs"] = ids.get(rid, []) if rid else []
+        rid = n.cols.get(ref_key)
+        if rid and (rid := rid.strip()) in ids:
+            n.refs.extend(ids[rid])
     return nodes
 
 
-def shred(records: DataFrame, key: str, column: str, relations: set[str]) -> DataFrame:
+def _strings(texts: list[str]) -> pa.Array:
+    try:
+        return pa.array(texts, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    out, at = [0], 0
+    for n in sizes:
+        at += n
+        out.append(at)
+    return pa.array(out, pa.int32())
+
+
+def node_lists(records: list[list[Node]]) -> pa.Array:
+    """The records' rows as an Arrow column, built column by column."""
+    nodes = [n for r in records for n in r]
+    refs = pa.ListArray.from_arrays(_offsets([len(n.refs) for n in nodes]), _strings([x for n in nodes for x in n.refs]))
+    cols = pa.MapArray.from_arrays(_offsets([len(n.cols) for n in nodes]), _strings([k for n in nodes for k in n.cols]), _strings([v for n in nodes for v in n.cols.values()]))
+    plain = [_strings([n[i] for n in nodes]) for i in range(4)]
+    rows = pa.StructArray.from_arrays([*plain, refs, cols], names=["relation", "path", "parent_relation", "parent_path", "refs", "cols"])
+    return pa.ListArray.from_arrays(_offsets([len(r) for r in records]), rows)
+
+
+def shred(records: DataFrame, key: str, column: str, relations: set[str], wanted: dict[str, list[str]] | None = None, first: set[str] = frozenset()) -> DataFrame:
     """(key, nodes): one row per valid record, all its relations' rows in an
-    array, so that what stays within a record needs no shuffle."""
+    array, so that what stays within a record needs no shuffle. wanted: the
+    relations and columns to give out, all unless named."""
+    chosen = None if wanted is None else {r: frozenset(c) for r, c in wanted.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, out = [], []
-            for k, text in zip(b.column(0), b.column(1).to_pylist()):
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 value, ok = read_json(text)
                 if ok:
-                    keys.append(k.as_py())
-                    out.append(shred_value(value, relations))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(out, pa.list_(NODE))], names=[key, "nodes"])
+                    nodes = shred_value(value, relations, first)
+                    if chosen is not None:
+                        nodes = [n._replace(cols={k: v for k, v in n.cols.items() if k in chosen[n.relation]}) for n in nodes if n.relation in chosen]
+                    keys.append(k)
+                    out.append(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), node_lists(out)], names=[key, "nodes"])
 
     kind = dict(records.dtypes)[key]
     return records.select(key, column).mapInArrow(run, f"{key} {kind}, nodes array<{NODE_SQL}>")
 
 
-def relation_table(shredded: DataFrame, key: str, relation: str, columns: dict[str, str]) -> DataFrame:
-    """One flat table: key, node_path, parent_relation, parent_path, refs and
-    the inlined columns {name: place within the element}."""
-    return (
-        shredded.select(key, F.explode(F.filter("nodes", lambda x: x["relation"] == relation)).alias("n"))
-        .select(
-            key,
-            F.col("n.path").alias("node_path"),
-            F.col("n.outer_path").alias("outer_path"),
-            F.col("n.parent_relation").alias("parent_relation"),
-            F.col("n.parent_path").alias("parent_path"),
-            F.col("n.refs").alias("refs"),
-            *[text(F.col("n"), place).alias(name) for name, place in columns.items()],
-        )
-    )
+def outer_path(path: Column) -> Column:
+    """The place of the enclosing row of the same relation, '' if there is none."""
+    return F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, ".", -1)) - 1)
+
+
+def target_path(node: Column, relation: str) -> Column:
+    """The place of the first row of a relation that the node's reference leads to, null if there is none."""
+    return F.substring_index(F.try_element_at(F.filter(node["refs"], lambda r: r.startswith(f"{relation}:")), F.lit(1)), ":", -1)
+
+
+def relation_rows(shredded: DataFrame, key: str, relation: str) -> DataFrame:
+    """(key, n): one row per row of a relation."""
+    return shredded.select(key, F.explode(F.filter("nodes", lambda x: x["relation"] == relation)).alias("n"))
 
 
 def text(node: Column, place: str) -> Column:

@@ -9,37 +9,47 @@ from ..functions.paths import canonical_path
 from ..operators import consolidate, incremental, packed, shred
 from ..session import table
 
-#: Elements that the article format lets repeat, and those it has once.
-REPEATED = {"subj-group", "contrib", "aff", "xref"}
-SINGLE = {"subject", "institution", "name", "surname", "given-names"}
+#: Elements that the article format lets repeat, whatever the
+#: records at hand do, and those of which a row above shows the first.
+REPEATED = {"subj-group", "contrib-group", "contrib", "aff", "xref"}
+FIRST = {"subject", "institution", "name", "surname", "given-names"}
 PACKED = ["matched_subfields", "subject", "subject_level_1"]
+GROUP = {"subj-group": ["subject", "@subj-group-type"]}
+AFF = {"aff": ["@id", "institution", "#text", "addr-line"]}
+CONTRIB = {"contrib": ["name/surname", "name/given-names", "@contrib-type", "@corresp"]}
+XREF = {"xref": ["@ref-type", "@rid"]}
 
 
-def shredded_records(spark: SparkSession, d: str) -> DataFrame:
+def shredded_records(spark: SparkSession, d: str, wanted: dict[str, list[str]] | None = None) -> DataFrame:
     raw = table(spark, d, "article_raw")
-    relations = shred.schema_graph(raw, "record").relations(REPEATED) - SINGLE
-    return shred.shred(raw, "rec_id", "record", relations)
+    relations = shred.schema_graph(raw, "record").relations(REPEATED)
+    return shred.shred(raw, "rec_id", "record", relations, wanted, FIRST)
 
 
 def _row(entity: str, node: Column, parent: Column, label: Column) -> Column:
     return F.struct(F.lit(entity).alias("entity"), node.alias("node_path"), parent.alias("parent_path"), label.alias("label"))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of every record: all of a record's rows are in one array, so no shuffle."""
+def group_label(x: Column) -> Column:
+    return shred.text(x, "subject")
+
+
+def aff_label(x: Column) -> Column:
+    return F.when(shred.text(x, "institution") != "", shred.text(x, "institution")).otherwise(shred.text(x, "#text"))
+
+
+def record_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's rows by relation, its Psychology groups and its lead author:
+    all of a record's rows are in one array, so no shuffle."""
     of = lambda name: F.filter("nodes", lambda x: x["relation"] == name)
-    one = shredded_records(spark, d).select(
+    one = shredded_records(spark, d, GROUP | AFF | CONTRIB | XREF).select(
         "rec_id", of("subj-group").alias("g"), of("aff").alias("a"), of("contrib").alias("c"),
         F.filter("nodes", lambda x: (x["relation"] == "xref") & (x["parent_relation"] == "contrib") & (shred.text(x, "@ref-type") == "aff")).alias("x"),
     )
-    group_label = lambda x: shred.text(x, "subject")
-    aff_label = lambda x: F.when(shred.text(x, "institution") != "", shred.text(x, "institution")).otherwise(shred.text(x, "#text"))
-    target = lambda x: F.try_element_at(F.filter(x["refs"], lambda r: r.startswith("aff:")), F.lit(1))
-    place = lambda r: F.substring_index(r, ":", -1)
     one = one.withColumns(
         {
             "psych": F.transform(F.filter("g", lambda x: group_label(x) == "Psychology"), lambda x: x["path"]),
-            "outer": F.transform("g", lambda x: x["outer_path"]),
+            "outer": F.transform("g", lambda x: shred.outer_path(x["path"])),
             "authors": F.filter("c", lambda x: shred.text(x, "@contrib-type") == "author"),
         }
     )
@@ -50,44 +60,73 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
             F.try_element_at("authors", F.lit(1)),
         ),
     )
-    one = one.withColumn("lead_ref", F.try_element_at(F.filter("x", lambda x: x["parent_path"] == F.col("lead.path")), F.lit(1)))
-    one = one.withColumn("lead_aff", target(F.col("lead_ref")))
-    inner = F.filter("g", lambda x: F.array_contains("psych", x["outer_path"]))
+    lead_ref = F.try_element_at(F.filter("x", lambda x: x["parent_path"] == F.col("lead.path")), F.lit(1))
+    return one.withColumn("lead_aff", shred.target_path(lead_ref, "aff"))
+
+
+def _subfields() -> Column:
+    inner = F.filter("g", lambda x: F.array_contains("psych", shred.outer_path(x["path"])))
     leaves = F.filter("g", lambda x: F.array_contains("psych", x["path"]) & ~F.array_contains("outer", x["path"]))
-    leads = F.filter("a", lambda x: x["path"] == place(F.col("lead_aff")))
-    rows = F.concat(
-        F.transform("g", lambda x: _row("subject", x["path"], x["outer_path"], group_label(x))),
-        F.transform(inner, lambda x: _row("subfield", x["path"], x["outer_path"], group_label(x))),
+    return F.concat(
+        F.transform(inner, lambda x: _row("subfield", x["path"], shred.outer_path(x["path"]), group_label(x))),
         F.transform(leaves, lambda x: _row("subfield", x["path"], x["path"], group_label(x))),
+    )
+
+
+def _leads() -> Column:
+    return F.transform(F.filter("a", lambda x: x["path"] == F.col("lead_aff")), lambda x: _row("lead", x["path"], F.col("lead.path"), aff_label(x)))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of every record."""
+    rows = F.concat(
+        F.transform("g", lambda x: _row("subject", x["path"], shred.outer_path(x["path"]), group_label(x))),
+        _subfields(),
         F.transform("a", lambda x: _row("aff", x["path"], F.lit(""), aff_label(x))),
         F.transform("c", lambda x: _row("contrib", x["path"], F.lit(""), shred.text(x, "name/surname"))),
-        F.transform(F.filter("x", lambda x: target(x).isNotNull()), lambda x: _row("link", x["parent_path"], place(target(x)), shred.text(x, "@rid"))),
-        F.transform(leads, lambda x: _row("lead", x["path"], F.col("lead.path"), aff_label(x))),
+        F.transform(F.filter("x", lambda x: shred.target_path(x, "aff").isNotNull()), lambda x: _row("link", x["parent_path"], shred.target_path(x, "aff"), shred.text(x, "@rid"))),
+        _leads(),
+    )
+    return record_parts(spark, d).select("rec_id", F.inline(rows))
+
+
+def _relation(spark: SparkSession, d: str, wanted: dict[str, list[str]], parent: Column, names: list[str]) -> DataFrame:
+    """A flat table: rec_id, node_path, parent_path and the relation's columns."""
+    ((relation, places),) = wanted.items()
+    n = F.col("n")
+    return shred.relation_rows(shredded_records(spark, d, wanted), "rec_id", relation).select(
+        "rec_id", n["path"].alias("node_path"), parent.alias("parent_path"), *[shred.text(n, p).alias(name) for p, name in zip(places, names)], *([shred.target_path(n, "aff").alias("aff_path")] if relation == "xref" else [])
     )
-    return one.select("rec_id", F.inline(rows))
 
 
 def p1_subjects(spark: SparkSession, d: str) -> DataFrame:
     """Flat table of subject groups, pointing to the enclosing group."""
-    return shred.relation_table(shredded_records(spark, d), "rec_id", "subj-group", {"subject": "subject", "group_type": "@subj-group-type"}).drop("refs")
+    return _relation(spark, d, GROUP, shred.outer_path(F.col("n.path")), ["subject", "group_type"])
+
+
+def p1_subfields(spark: SparkSession, d: str) -> DataFrame:
+    """Flat table of psychology subfields, pointing to their Psychology group."""
+    return record_parts(spark, d).select("rec_id", F.inline(_subfields())).select("rec_id", "node_path", "parent_path", F.col("label").alias("subfield"))
+
+
+def p1_leads(spark: SparkSession, d: str) -> DataFrame:
+    """Flat table of lead institutions, pointing to the lead author."""
+    return record_parts(spark, d).select("rec_id", F.inline(_leads())).select("rec_id", "node_path", "parent_path", F.col("label").alias("lead_institution"))
 
 
 def p1_contributors(spark: SparkSession, d: str) -> DataFrame:
-    """Flat table of contributors."""
-    columns = {"surname": "name/surname", "given_names": "name/given-names", "contrib_type": "@contrib-type", "corresp": "@corresp"}
-    return shred.relation_table(shredded_records(spark, d), "rec_id", "contrib", columns).drop("refs")
+    """Flat table of contributors, pointing to their group."""
+    return _relation(spark, d, CONTRIB, F.col("n.parent_path"), ["surname", "given_names", "contrib_type", "corresp"])
 
 
 def p1_affiliations(spark: SparkSession, d: str) -> DataFrame:
     """Flat table of affiliations."""
-    columns = {"aff_id": "@id", "institution": "institution", "own_text": "#text", "addr_line": "addr-line"}
-    return shred.relation_table(shredded_records(spark, d), "rec_id", "aff", columns).drop("refs")
+    return _relation(spark, d, AFF, F.lit(""), ["aff_id", "institution", "own_text", "addr_line"])
 
 
 def p1_references(spark: SparkSession, d: str) -> DataFrame:
-    """Flat table of references, with the rows that they lead to."""
-    columns = {"ref_type": "@ref-type", "rid": "@rid"}
-    return shred.relation_table(shredded_records(spark, d), "rec_id", "xref", columns)
+    """Flat table of references, pointing to their contributor, with the affiliation that they lead to."""
+    return _relation(spark, d, XREF, F.col("n.parent_path"), ["ref_type", "rid"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +176,7 @@ def _own(x: str) -> str:
     return f"regexp_replace(coalesce(CASE json_type({x}) WHEN 'OBJECT' THEN json_extract_string({x}, '$.\"#text\"') WHEN 'VARCHAR' THEN json_extract_string({x}, '$') END, ''), '^\\s+|\\s+$', '', 'g')"
 
 
-NODE_SQL = f"""
+_NODES = f"""
 WITH RECURSIVE m AS (
   SELECT rec_id, json_extract(record, '$.article.front."article-meta"') AS m FROM article_raw WHERE json_valid(record)
 ), top AS (SELECT rec_id, {_list("json_extract(m, '$.\"article-categories\".\"subj-group\"')")} AS gs FROM m),
@@ -145,9 +184,9 @@ g AS (
   SELECT rec_id, i::varchar AS path, '' AS up, gs[i] AS g, NULL::varchar AS above FROM top, LATERAL (SELECT unnest(range(1, len(gs) + 1)) AS i)
   UNION ALL
   SELECT rec_id, path || '.' || i, path, k[i], label FROM (SELECT rec_id, path, {_own("json_extract(g, '$.subject')")} AS label, {_list("json_extract(g, '$.\"subj-group\"')")} AS k FROM g) s, LATERAL (SELECT unnest(range(1, len(k) + 1)) AS i)
-), groups AS (SELECT rec_id, path, up, above, {_own("json_extract(g, '$.subject')")} AS label, len({_list("json_extract(g, '$.\"subj-group\"')")}) AS n FROM g),
+), groups AS (SELECT rec_id, path, up, above, g, {_own("json_extract(g, '$.subject')")} AS label, len({_list("json_extract(g, '$.\"subj-group\"')")}) AS n FROM g),
 affs AS (
-  SELECT rec_id, i AS place, trim(json_extract_string(a[i], '$."@id"')) AS id, coalesce(nullif({_own("json_extract(a[i], '$.institution')")}, ''), {_own("a[i]")}) AS label
+  SELECT rec_id, i AS place, a[i] AS a, trim(json_extract_string(a[i], '$."@id"')) AS id, coalesce(nullif({_own("json_extract(a[i], '$.institution')")}, ''), {_own("a[i]")}) AS label
   FROM (SELECT rec_id, {_list("json_extract(m, '$.aff')")} AS a FROM m) s, LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)
 ), people AS (
   SELECT rec_id, i AS place, c[i] AS c FROM (
@@ -160,7 +199,8 @@ authors AS (
   SELECT rec_id, place FROM people WHERE json_extract_string(c, '$."@contrib-type"') = 'author'
   QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY coalesce(json_extract_string(c, '$."@corresp"') = 'yes', false) DESC, place) = 1
 )
-SELECT rec_id, 'subject' AS entity, path AS node_path, up AS parent_path, label FROM groups
+"""
+NODE_SQL = _NODES + f"""SELECT rec_id, 'subject' AS entity, path AS node_path, up AS parent_path, label FROM groups
 UNION ALL SELECT rec_id, 'subfield', path, up, label FROM groups WHERE above = 'Psychology'
 UNION ALL SELECT rec_id, 'subfield', path, path, label FROM groups WHERE label = 'Psychology' AND n = 0
 UNION ALL SELECT rec_id, 'aff', place::varchar, '', label FROM affs
@@ -169,10 +209,33 @@ UNION ALL SELECT rec_id, 'link', r.place::varchar, i.aff::varchar, r.rid FROM re
 UNION ALL SELECT rec_id, 'lead', i.aff::varchar, a.place::varchar, f.label FROM authors a JOIN refs r USING (rec_id, place) JOIN ids i USING (rec_id) JOIN affs f USING (rec_id) WHERE r.n = 1 AND r.rid = i.id AND f.place = i.aff
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_names, p5_found, p7_found)}
 
-SQL = {
+def _attr(x: str, name: str) -> str:
+    return f"regexp_replace(coalesce(json_extract_string({x}, '$.\"{name}\"'), ''), '^\\s+|\\s+$', '', 'g')"
+
+
+P1_SQL = {
     "p1_found": NODE_SQL,
+    "p1_subjects": f"{_NODES} SELECT rec_id, path AS node_path, up AS parent_path, label AS subject, {_attr('g', '@subj-group-type')} AS group_type FROM groups",
+    "p1_subfields": f"""{_NODES} SELECT rec_id, path AS node_path, up AS parent_path, label AS subfield FROM groups WHERE above = 'Psychology'
+UNION ALL SELECT rec_id, path, path, label FROM groups WHERE label = 'Psychology' AND n = 0""",
+    "p1_leads": f"{_NODES} SELECT rec_id, node_path, parent_path, label AS lead_institution FROM (" + NODE_SQL.removeprefix(_NODES) + ") WHERE entity = 'lead'",
+    "p1_contributors": f"""{_NODES}, cg AS (
+  SELECT rec_id, i AS gi, q[i] AS q FROM (SELECT rec_id, {_list("json_extract(m, '$.\"contrib-group\"')")} AS q FROM m) s, LATERAL (SELECT unnest(range(1, len(q) + 1)) AS i)
+), cs AS (SELECT rec_id, gi, i, k[i] AS c FROM (SELECT rec_id, gi, {_list("json_extract(q, '$.contrib')")} AS k FROM cg) s, LATERAL (SELECT unnest(range(1, len(k) + 1)) AS i))
+SELECT rec_id, (row_number() OVER (PARTITION BY rec_id ORDER BY gi, i))::varchar AS node_path, gi::varchar AS parent_path, {_own("json_extract(c, '$.name.surname')")} AS surname,
+  {_own("json_extract(c, '$.name.\"given-names\"')")} AS given_names, {_attr('c', '@contrib-type')} AS contrib_type, {_attr('c', '@corresp')} AS corresp FROM cs""",
+    "p1_affiliations": f"""{_NODES} SELECT rec_id, place::varchar AS node_path, '' AS parent_path, {_attr('a', '@id')} AS aff_id, {_own("json_extract(a, '$.institution')")} AS institution,
+  {_own('a')} AS own_text, {_own("json_extract(a, '$.\"addr-line\"')")} AS addr_line FROM affs""",
+    "p1_references": f"""{_NODES}, xs AS (SELECT rec_id, place, i, x[i] AS x FROM (SELECT rec_id, place, {_list("json_extract(c, '$.xref')")} AS x FROM people) s, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i))
+SELECT y.rec_id, (row_number() OVER (PARTITION BY y.rec_id ORDER BY place, i))::varchar AS node_path, place::varchar AS parent_path, {_attr('x', '@ref-type')} AS ref_type, {_attr('x', '@rid')} AS rid, ids.aff::varchar AS aff_path
+FROM (SELECT *, trim(json_extract_string(x, '$."@rid"')) AS rid_ FROM xs) y LEFT JOIN ids ON ids.rec_id = y.rec_id AND ids.id = y.rid_
+""",
+}
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_subfields, p1_leads, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_names, p5_found, p7_found)}
+
+SQL = P1_SQL | {
     "p2_names": f"SELECT file_id, name FROM ({NAME_SQL})",
     "p2_found": f"SELECT min(file_id) AS file_id FROM ({NAME_SQL}) WHERE xml_text <> '' GROUP BY name, xml_text",
     "p7_found": """

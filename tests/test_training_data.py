@@ -57,6 +57,57 @@ def test_empty_table_of_records(spark, tmp_path):
     assert core_queries.p1_found(spark, str(tmp_path)).count() == 0
 
 
+def test_repeated_single_elements_are_kept(spark, tmp_path):
+    groups = {"subj-group": {"subject": ["A", "B", {"#text": " C "}]}}
+    people = {"contrib": {"@contrib-type": "author", "name": [{"surname": "First", "given-names": ["X", "Y"]}, {"surname": "Second"}]}}
+    record = _record(**{"article-categories": groups, "contrib-group": people, "aff": {"@id": "a", "institution": ["I", "J"]}})
+    raw = spark.createDataFrame([(1, record), (2, "[]")], "rec_id long, record string")
+    raw.write.parquet(f"{tmp_path}/article_raw.parquet")
+    got = {tuple(r)[1:] for r in core_queries.p1_found(spark, str(tmp_path)).collect()}
+    assert got == {("subject", "1", "", "A"), ("aff", "1", "", "I"), ("contrib", "1", "", "First")}
+    done = core_queries.shredded_records(spark, str(tmp_path))
+    rows = lambda name: [(r["n"]["path"], r["n"]["parent_path"], r["n"]["cols"]) for r in shred.relation_rows(done, "rec_id", name).collect()]
+    assert rows("subject") == [("1", "1", {"#text": "A"}), ("2", "1", {"#text": "B"}), ("3", "1", {"#text": " C "})]
+    assert [c["surname"] for *_, c in rows("name")] == ["First", "Second"] and [c["#text"] for *_, c in rows("institution")] == ["I", "J"]
+    assert [(p, c["#text"]) for _, p, c in rows("given-names")] == [("1", "X"), ("1", "Y")]
+
+
+def test_any_depth_of_nesting():
+    deep = 10_000
+    text = '{"g": {"s": "x", "n": [' * deep + "1.50" + "]}}" * deep
+    with pytest.raises(RecursionError):
+        json.loads(text)
+    value, ok = shred.read_json(text)
+    nodes = shred.shred_value(value, {"g"})
+    assert ok and len(nodes) == deep + 1 and nodes[-1].path.count(".") == deep - 1
+    assert nodes[-1].parent_path == nodes[-2].path and nodes[-1].cols == {"s": "x", "n": "1.50"}
+    assert not shred.read_json(text[:-1])[1] and not shred.read_json(text + "}")[1]
+    assert shred.read_json("[" * 50_000 + "]" * 50_000)[1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4), max_leaves=20), st.sampled_from([None, 1]))
+def test_both_readers_agree(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert shred.read_deep(text) == shred.read_json(text)[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from('{}[]",:0-1.e tru'), max_size=12))
+def test_both_readers_refuse_the_same(text):
+    try:
+        deep = (shred.read_deep(text), True)
+    except ValueError:
+        deep = (None, False)
+    assert deep == shred.read_json(text)
+
+
+def test_odd_texts_in_records(spark):
+    rows = [(1, '{"a": ["\\ud800x", [["y"], 7]]}'), (2, '{"a": ' + "9" * 6000 + "}"), (3, '"text"'), (4, "[1, [2]]")]
+    got = shred.shred(spark.createDataFrame(rows, "k long, nodes string"), "k", "nodes", {"a"})
+    assert {r["k"]: [n["cols"].get("#text") for n in r["nodes"] if n["cols"]] for r in got.collect()} == {1: ["?x", "y", "7"], 2: ["9" * 6000], 3: ["text"], 4: ["1", "2"]}
+
+
 def test_relations_are_repeated_shared_or_recursive():
     g = shred.Graph({("", "a"): 1, ("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("a", "d"): 1, ("d", "d"): 1, ("a", "e"): 1})
     assert g.relations() == {"b", "c", "d"}
