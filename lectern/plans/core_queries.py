@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import canonical_path
 from ..operators import consolidate, incremental, packed, shred
-from ..session import table
+from ..session import scratch, table
 
 #: Elements that the article format lets repeat, whatever the
 #: records at hand do, and those of which a row above shows the first.
@@ -149,10 +149,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending(
-        table(spark, d, "demographics_table"), table(spark, d, "run_log"), table(spark, d, "processed_rows"), ["doi", "sample_id"]
+        table(spark, d, "demographics_table"), table(spark, d, "run_log"), table(spark, d, "processed_rows"), ["doi", "sample_id"], scratch(spark, "taken")
     )
 
 
+def p7_second_run(spark: SparkSession, d: str) -> DataFrame:
+    """What a second run takes up after a first one took up all samples as they
+    were in the middle of the loading times: new and changed samples, by the
+    tree that the first run published."""
+    rows, root = table(spark, d, "demographics_table"), scratch(spark, "runs")
+    middle = rows.agg(F.expr("timestamp_micros(bigint((unix_micros(to_timestamp(min(loaded_at))) + unix_micros(to_timestamp(max(loaded_at)))) div 2))").alias("m")).first()["m"]
+    keys = ["doi", "sample_id"]
+    incremental.take_up(rows.where(F.col("loaded_at") <= F.lit(middle)), root, keys, lambda x: x)
+    version = incremental.take_up(rows, root, keys, lambda x: x)
+    return spark.read.schema("doi string, sample_id int").parquet(f"{version}/output")
+
+
 NAME_SQL = r"""
 SELECT file_id, xml_path, xml_text,
   (CASE WHEN starts_with(plain, '/') THEN '/' ELSE '' END) || array_to_string(list_reduce(
@@ -233,7 +245,7 @@ FROM (SELECT *, trim(json_extract_string(x, '$."@rid"')) AS rid_ FROM xs) y LEFT
 """,
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_subfields, p1_leads, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_names, p5_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_subfields, p1_leads, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_names, p5_found, p7_found, p7_second_run)}
 
 SQL = P1_SQL | {
     "p2_names": f"SELECT file_id, name FROM ({NAME_SQL})",
@@ -255,5 +267,13 @@ WHERE s.row_id IS NULL OR
   IS DISTINCT FROM
   (s.subfield, s.matched_subfields, s.subject_level_1, s.subject, s.publication_date, s.year, s.stage, s.lead_institution,
    s.gender_reported, s.gender_pct, s.race_reported, s.race_pct, s.education_reported, s.education_pct, s.ses_reported, s.ses_value)
+""",
+    "p7_second_run": """
+WITH m AS (SELECT (epoch_us(min(loaded_at)) + epoch_us(max(loaded_at))) // 2 AS m FROM demographics_table),
+cur AS (SELECT * FROM demographics_table QUALIFY row_number() OVER (PARTITION BY doi, sample_id ORDER BY loaded_at DESC, row_id DESC) = 1),
+old AS (SELECT * FROM demographics_table WHERE epoch_us(loaded_at) <= (SELECT m FROM m) QUALIFY row_number() OVER (PARTITION BY doi, sample_id ORDER BY loaded_at DESC, row_id DESC) = 1)
+SELECT c.doi, c.sample_id FROM cur c LEFT JOIN old s ON c.doi IS NOT DISTINCT FROM s.doi AND c.sample_id IS NOT DISTINCT FROM s.sample_id
+WHERE s.row_id IS NULL OR (c.subfield, c.matched_subfields, c.subject_level_1, c.subject, c.publication_date, c.year, c.stage, c.lead_institution, c.gender_reported, c.gender_pct, c.race_reported, c.race_pct, c.education_reported, c.education_pct, c.ses_reported, c.ses_value)
+  IS DISTINCT FROM (s.subfield, s.matched_subfields, s.subject_level_1, s.subject, s.publication_date, s.year, s.stage, s.lead_institution, s.gender_reported, s.gender_pct, s.race_reported, s.race_pct, s.education_reported, s.education_pct, s.ses_reported, s.ses_value)
 """,
 }

@@ -263,47 +263,90 @@ def test_unpack_nothing(spark):
 # ---- new and changed rows
 
 
-def _pending(spark, facts, runs, processed):
+@pytest.fixture
+def root(tmp_path):
+    return f"file://{tmp_path}/versions"
+
+
+def _pending(spark, facts, runs, processed, root):
     f = spark.createDataFrame(facts, "row_id long, doi string, sample_id int, value string, loaded_at int")
     r = spark.createDataFrame(runs, "run_id int, attempt int, started_at int, status string")
     p = spark.createDataFrame(processed, "run_id int, attempt int, row_id long")
-    return sorted((tuple(x) for x in incremental.pending(f, r, p, ["doi", "sample_id"]).collect()), key=str)
+    return sorted((tuple(x) for x in incremental.pending(f, r, p, ["doi", "sample_id"], root).collect()), key=str)
 
 
-def test_pending(spark):
+def test_pending(spark, root):
     facts = [
         (1, "same", 1, "a", 1), (2, "same", 1, "a", 5), (3, "changed", 1, "a", 1), (4, "changed", 1, None, 2), (5, "new", 1, "a", 1), (6, "failed", 1, "a", 1),
         (7, "back", 1, "a", 1), (8, "back", 1, "b", 2), (9, "back", 1, "a", 3), (10, None, None, None, 1), (11, None, None, None, 2), (12, "nulls", 1, "null", 1), (13, "nulls", 1, None, 2),
     ]
     runs = [(1, 1, 1, "ok"), (2, 1, 2, "failed"), (2, 2, 3, "ok"), (3, 1, 4, None)]
     processed = [(1, 1, 1), (1, 1, 3), (2, 1, 6), (3, 1, 5), (1, 1, 7), (2, 2, 8), (1, 1, 10), (1, 1, 12)]
-    assert _pending(spark, facts, runs, processed) == [("back", 1), ("changed", 1), ("failed", 1), ("new", 1), ("nulls", 1)]
+    assert _pending(spark, facts, runs, processed, root) == [("back", 1), ("changed", 1), ("failed", 1), ("new", 1), ("nulls", 1)]
 
 
-def test_pending_of_empty_tables(spark):
-    assert _pending(spark, [], [], []) == []
-    assert _pending(spark, [(1, "a", 1, "x", 1)], [], []) == [("a", 1)]
+def test_pending_of_empty_tables(spark, root):
+    assert _pending(spark, [], [], [], root) == []
+    assert _pending(spark, [(1, "a", 1, "x", 1)], [], [], root + "2") == [("a", 1)]
 
 
-def test_changed_rows_at_any_height(spark, monkeypatch):
+def _digests(spark, n, changed=()):
+    value = F.concat(F.col("id").cast("string"), F.when(F.col("id").isin(list(changed)), "!").otherwise(""))
+    return spark.range(n).select("id", incremental.key_place(["id"]).alias("place"), F.sha2(value, 256).alias("digest"))
+
+
+def test_a_second_run_reads_the_changed_leaves_only(spark, root, monkeypatch):
     monkeypatch.setattr(incremental, "ROWS_PER_LEAF", 4)
-    rows = spark.range(5000).select(
-        "id", incremental.key_place(["id"]).alias("place"), F.sha2(F.col("id").cast("string"), 256).alias("digest"),
-        F.when(F.col("id") % 501 != 0, F.sha2(F.col("id").cast("string"), 256)).alias("saved_digest"),
-    )
-    assert sorted(r["id"] for r in incremental.changed_rows(rows).collect()) == list(range(0, 5000, 501))
-
-
-def test_output_and_tree_are_published_together(spark, tmp_path):
-    root = f"file://{tmp_path}/store"
-    rows = spark.range(3)
-    assert incremental.published(spark, root) == []
-    incremental.publish(rows, rows, root)
-    with pytest.raises(Exception):
-        incremental.publish(rows.select((F.raise_error(F.lit("died"))).alias("x")), rows, root)
-    assert [p[-9:] for p in incremental.published(spark, root)] == ["v00000000"]
-    incremental.publish(rows, rows, root)
-    assert [p[-9:] for p in incremental.published(spark, root)] == ["v00000000", "v00000001"]
+    monkeypatch.setattr(incremental, "LEAVES_PER_PART", 4)
+    first = _digests(spark, 5000)
+    bits = incremental.leaf_bits_for(5000)
+    version = incremental.publish(first.limit(0), first, root, bits)
+    read = []
+    plain = incremental.saved_rows
+    monkeypatch.setattr(incremental, "saved_rows", lambda *a: read.append(plain(*a)) or read[-1])
+    done = incremental.changed_rows(_digests(spark, 5003, [17, 4321]), version)[0]
+    assert sorted(r["id"] for r in done.collect()) == [17, 4321, 5000, 5001, 5002]
+    assert 2 <= read[0].count() <= 5 * 40  # rows of five leaves, of 5,000
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("PartitionFilters: ")[1].startswith("[") and "part" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    same = incremental.changed_rows(_digests(spark, 5000), version)[0]
+    assert same.count() == 0 and read[1].count() == 0
+
+
+def test_changed_rows_at_any_height(spark, root, monkeypatch):
+    for i, per_leaf in enumerate((1, 40, 10_000)):
+        monkeypatch.setattr(incremental, "ROWS_PER_LEAF", per_leaf)
+        version = incremental.publish(None, _digests(spark, 3000), f"{root}{i}", incremental.leaf_bits_for(3000))
+        assert sorted(r["id"] for r in incremental.changed_rows(_digests(spark, 3000, range(0, 3000, 501)), version)[0].collect()) == list(range(0, 3000, 501))
+
+
+def test_runs_skip_and_repeat_nothing(spark, root):
+    facts = lambda rows: spark.createDataFrame(rows, "row_id long, doi string, place string, digest string, loaded_at int").withColumn("saved_digest", F.lit(1))
+    keep = lambda x: x.select("doi")
+    got = lambda v: sorted((r["doi"] for r in spark.read.parquet(f"{v}/output").collect()), key=str)
+    one, two = [(1, "a", "x", None, 1), (2, "b", "x", "y", 1), (3, None, None, None, 1)], [(4, "a", "z", None, 2), (5, "c", "x", None, 1)]
+    assert got(incremental.take_up(facts(one), root, ["doi"], keep)) == [None, "a", "b"]
+    assert incremental.take_up(facts(one), root, ["doi"], keep) is None
+
+    def dies(x):
+        return x.select(F.raise_error(F.lit("died")).alias("doi"))
+
+    with pytest.raises(Exception, match="died"):
+        incremental.take_up(facts(one + two), root, ["doi"], dies)
+    assert len(incremental.published(spark, root)) == 1
+    assert got(incremental.take_up(facts(one + two), root, ["doi"], keep)) == ["a", "c"]
+    assert incremental.take_up(facts(one + two), root, ["doi"], keep) is None
+
+
+def test_a_deleted_version_does_not_block_the_next(spark, root):
+    import shutil
+
+    rows = _digests(spark, 3)
+    for _ in range(2):
+        incremental.publish(rows, rows, root, 4)
+    shutil.rmtree(f"{root.removeprefix('file://')}/v00000000")
+    incremental.publish(rows, rows, root, 4)
+    assert [p[-9:] for p in incremental.published(spark, root)] == ["v00000001", "v00000002"]
 
 
 def test_settled_tables_are_kept_until_cleaned(spark):
