@@ -8,9 +8,16 @@ missing and a repeated header line or byte order mark left out. A manifest
 names file, offset, length and checksum of each record; validation reads the
 bytes back by the manifest.
 
+Tasks append where they read, in a staging folder; the files that the finished
+manifest names are then renamed into the folder data, so what a lost, repeated
+or speculative attempt wrote is never seen there and goes with the staging
+folder. Copies are left out before anything is packed: their ids are sent to
+all tasks if there are at most MAX_COPIES of them, else packed records are
+shuffled to the ids that stay.
+
 Records without bytes (null or empty) are not stored. A null path is a name of
 its own. Repeated deliveries of a record are stored once, under the smallest
-id. An empty table gives an empty store.
+id, and so are rows repeated with their id. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -28,7 +35,12 @@ from ..functions.paths import canonical_path
 from ..session import scratch, settle
 
 TARGET_BYTES = 128 << 20
-MANIFEST = "file_id bigint, store_file string, offset bigint, length bigint, raw_length bigint, checksum bigint"
+#: Most ids of copies that are sent to every task (16 bytes each).
+MAX_COPIES = 1_000_000
+#: Packed size that files are planned with; other ratios give other sizes below the target.
+RATIO = 3
+_PLACES = "store_file string, offset bigint, length bigint, raw_length bigint, checksum bigint"
+MANIFEST = f"file_id bigint, {_PLACES}"
 
 
 def open_fs(uri: str):
@@ -42,78 +54,109 @@ def signed64(digest: int) -> int:
     return digest - (1 << 64) if digest >= 1 << 63 else digest
 
 
+def _records(files: DataFrame) -> DataFrame:
+    """Rows with bytes, with the one way to write their path and the digest of their bytes."""
+    return files.where(F.octet_length("xml_text") > 0).select(
+        "file_id", canonical_path(F.col("xml_path")).alias("name"), F.sha2("xml_text", 256).alias("sha"), F.col("xml_text").cast("binary").alias("content")
+    )
+
+
 def distinct_records(files: DataFrame) -> DataFrame:
-    """(file_id) of the rows to store: of equal path and bytes the smallest id.
+    """(name, sha, file_id) of the rows to store: of equal path and bytes the smallest id.
 
     Only ids and digests are shuffled, combined on the map side first, so a
     record that fills a third of the table costs one row per task.
     """
-    return (
-        files.where(F.octet_length("xml_text") > 0)
-        .groupBy(canonical_path(F.col("xml_path")).alias("name"), F.sha2("xml_text", 256).alias("sha"))
-        .agg(F.min("file_id").alias("file_id"))
-        .select("file_id")
-    )
-
-
-def to_frames(rows: DataFrame, level: int = 3) -> DataFrame:
-    """(file_id, frame, raw_length, checksum) of rows (file_id, xml_text)."""
-
-    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True)
+    return _records(files).groupBy("name", "sha").agg(F.min("file_id").alias("file_id"))
+
+
+def fates(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """(file_id, again) of the ids that are not simply stored: copies, and (again)
+    ids of several rows of which at least one stays."""
+    ids = files.where(F.octet_length("xml_text") > 0).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    stay = kept.groupBy("file_id").agg(F.count(F.lit(1)).alias("k"))
+    return ids.join(stay, "file_id", "left").where("k is null or n > 1").select("file_id", F.col("k").isNotNull().alias("again"))
+
+
+def pack(batches: Iterator[pd.DataFrame], level: int = 3) -> Iterator[pd.DataFrame]:
+    """(file_id, piece, raw_length, checksum) of (file_id, content): one frame per record."""
+    import xxhash
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True)
+    for b in batches:
+        raw = b["content"]
+        yield pd.DataFrame(
+            {
+                "file_id": b["file_id"],
+                "piece": [packer.compress(r) for r in raw],
+                "raw_length": [len(r) for r in raw],
+                "checksum": [signed64(xxhash.xxh3_64_intdigest(r)) for r in raw],
+            }
+        )
+
+
+PIECES = "file_id bigint, piece binary, raw_length bigint, checksum bigint"
+
+
+def append(batches: Iterator[pd.DataFrame], folder: str, target_bytes: int, ending: str, header: bytes = b"") -> Iterator[pd.DataFrame]:
+    """Append a partition's pieces (key, piece, raw_length, checksum) to files of
+    at most target_bytes, unless one piece is larger; gives the manifest's rows.
+    A file's name holds the attempt, so no attempt writes into the file of another."""
+    task = TaskContext.get()
+    stem = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+    fs, base = open_fs(folder)
+    fs.create_dir(base, recursive=True)
+    out, number, offset = None, 0, 0
+    try:
         for b in batches:
-            raw = [t.encode() for t in b["xml_text"]]
-            yield pd.DataFrame(
-                {
-                    "file_id": b["file_id"],
-                    "frame": [packer.compress(r) for r in raw],
-                    "raw_length": [len(r) for r in raw],
-                    "checksum": [signed64(xxhash.xxh3_64_intdigest(r)) for r in raw],
-                }
-            )
-
-    return rows.mapInPandas(compress, "file_id bigint, frame binary, raw_length bigint, checksum bigint")
+            key = b.columns[0]
+            rows = []
+            for k, piece, raw_length, checksum in zip(b[key], b["piece"], b["raw_length"], b["checksum"]):
+                if out is None or offset > len(header) and offset + len(piece) > target_bytes:
+                    if out is not None:
+                        out.close()
+                    number += 1
+                    out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.{ending}", compression=None)
+                    out.write(header)
+                    offset = len(header)
+                out.write(piece)
+                rows.append((k, f"{stem}-{number:04d}.{ending}", offset, len(piece), raw_length, checksum))
+                offset += len(piece)
+            yield pd.DataFrame(rows, columns=[key, "store_file", "offset", "length", "raw_length", "checksum"])
+    finally:
+        if out is not None:
+            out.close()
+
+
+def commit(manifest: DataFrame, folder: str) -> None:
+    """Rename the files that the manifest names from the staging folder to data,
+    in tasks that may be repeated, and delete the rest."""
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileType
 
+        fs, base = open_fs(folder)
+        fs.create_dir(f"{base}/data", recursive=True)
+        for b in batches:
+            for name in b["store_file"]:
+                if fs.get_file_info(f"{base}/.stage/{name}").type != FileType.NotFound:
+                    fs.move(f"{base}/.stage/{name}", f"{base}/data/{name}")
+                elif fs.get_file_info(f"{base}/data/{name}").type == FileType.NotFound:
+                    raise FileNotFoundError(f"{name} is in the manifest but was not written")
+            yield b
 
-def append_frames(frames: DataFrame, folder: str, target_bytes: int) -> DataFrame:
-    """Append each partition's frames to store files of target_bytes; returns the manifest.
+    manifest.select("store_file").distinct().mapInPandas(move, "store_file string").count()
+    fs, base = open_fs(folder)
+    fs.create_dir(f"{base}/.stage", recursive=True)
+    fs.delete_dir(f"{base}/.stage")
 
-    A file's name holds the attempt, so a repeated task never writes into the
-    file of another; files that no manifest row names are left-overs.
-    """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get()
-        stem = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        fs, base = open_fs(folder)
-        fs.create_dir(base, recursive=True)
-        out, number, offset = None, 0, 0
-        try:
-            for b in batches:
-                rows = []
-                for file_id, frame, raw_length, checksum in zip(b["file_id"], b["frame"], b["raw_length"], b["checksum"]):
-                    if out is None or offset and offset + len(frame) > target_bytes:
-                        if out is not None:
-                            out.close()
-                        number, offset = number + 1, 0
-                        out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.zst", compression=None)
-                    out.write(frame)
-                    rows.append((file_id, f"{stem}-{number:04d}.zst", offset, len(frame), raw_length, checksum))
-                    offset += len(frame)
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MANIFEST.split(", ")])
-        finally:
-            if out is not None:
-                out.close()
-
-    return frames.mapInPandas(write, MANIFEST)
-
-
-def validated(manifest: DataFrame, folder: str) -> DataFrame:
+def validated(manifest: DataFrame, folder: str, packed: bool = True, start: int = 0) -> DataFrame:
     """The manifest's rows, each read back by its byte range; a wrong length or
-    checksum, or a byte of a store file that no row covers, ends the job."""
+    checksum, or a byte of a store file that no row covers, ends the job.
+    packed: pieces are frames of raw_length bytes whose checksum is the raw
+    bytes'; else the checksum is the piece's. start: bytes of a header."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -126,13 +169,14 @@ def validated(manifest: DataFrame, folder: str) -> DataFrame:
                 if x.store_file != name:
                     if source is not None and source.read(1):
                         raise ValueError(f"{name} is longer than its manifest")
-                    name, place = x.store_file, 0
+                    name, place = x.store_file, start
                     source = fs.open_input_stream(f"{base}/{name}", compression=None)
+                    source.read(start)
                 if x.offset != place:
                     raise ValueError(f"{name}: a record begins at {x.offset}, not at {place}")
-                frame = source.read(x.length)
-                raw = unpack.decompress(frame)
-                if len(frame) != x.length or len(raw) != x.raw_length or signed64(xxhash.xxh3_64_intdigest(raw)) != x.checksum:
+                piece = source.read(x.length)
+                raw = unpack.decompress(piece) if packed else piece
+                if len(piece) != x.length or packed and len(raw) != x.raw_length or signed64(xxhash.xxh3_64_intdigest(raw)) != x.checksum:
                     raise ValueError(f"{name}: the record at {x.offset} isn't what was stored")
                 place += x.length
             yield b
@@ -145,29 +189,48 @@ def validated(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def consolidate(files: DataFrame, folder: str | None = None, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Store each record of files (file_id, xml_path, xml_text) once; returns the validated manifest.
-
-    Frames are made where the rows are read, so the shuffle moves compressed
-    bytes, once; the number of bins follows the stored bytes.
-    """
+    """Store each record of files (file_id, xml_path, xml_text) once; returns the
+    validated manifest. Records are packed and appended by the tasks that read
+    them; only ids and digests are shuffled."""
     spark = files.sparkSession
     folder = folder or scratch(spark, "store")
-    full = files.where(F.octet_length("xml_text") > 0)
-    total = full.agg(F.sum(F.octet_length("xml_text")).alias("n")).first()["n"] or 0
-    bins = max(1, math.ceil(total / 3 / target_bytes))
-    frames = to_frames(full.select("file_id", "xml_text"))
-    kept = frames.repartition(bins, "file_id").join(distinct_records(files).repartition(bins, "file_id").hint("shuffle_hash"), "file_id", "left_semi")
-    manifest = settle(append_frames(kept, f"{folder}/data", target_bytes), "manifest")
+    total = files.agg(F.sum(F.octet_length("xml_text")).alias("n")).first()["n"] or 0
+    bins = max(1, math.ceil(total / RATIO / target_bytes))
+    kept = settle(distinct_records(files), "kept")
+    fate = settle(fates(files, kept), "fates")
+    n, again = fate.agg(F.count(F.lit(1)), F.count_if("again")).first()
+    records = _records(files)
+    stage = f"{folder}/.stage"
+    if n <= MAX_COPIES:
+        rows = records.join(F.broadcast(fate), "file_id", "left_anti").select("file_id", "content")
+        if again:
+            rows = rows.unionByName(_told_apart(records, fate, kept).select("file_id", "content"))
+        manifest = rows.coalesce(bins).mapInPandas(lambda b: append(pack(b), stage, target_bytes, "zst"), MANIFEST)
+    else:
+        rows = records.select("file_id", "content").mapInPandas(pack, PIECES)
+        single = fate.select("file_id").repartition(bins, "file_id").hint("shuffle_hash")
+        pieces = rows.repartition(bins, "file_id").join(single, "file_id", "left_anti")
+        if again:
+            pieces = pieces.unionByName(_told_apart(records, fate, kept).select("file_id", "content").mapInPandas(pack, PIECES))
+        manifest = pieces.mapInPandas(lambda b: append(b, stage, target_bytes, "zst"), MANIFEST)
+    manifest = settle(manifest, "manifest")
+    commit(manifest, folder)
     return validated(manifest, f"{folder}/data")
 
 
+def _told_apart(records: DataFrame, fate: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of the rows whose id has several, each record that stays once."""
+    rows = records.join(fate.where("again"), "file_id", "left_semi").join(kept.withColumnsRenamed({"name": "_n", "sha": "_s", "file_id": "_i"}), F.expr("file_id = _i and sha = _s and name <=> _n"), "left_semi")
+    return rows.dropDuplicates(["file_id", "name", "sha"])
+
+
 def join_small_files(files: DataFrame, folder: str, kind: str, target_bytes: int = TARGET_BYTES, header: bytes = b"") -> DataFrame:
     """Join whole files (path string, content binary), as of the binaryFile source.
 
     kind 'lines': newline-delimited; 'zstd': complete frames. header: a first
     line that each file repeats and that is kept once per store file. Returns
-    (path, store_file, offset, length, raw_length, checksum). Empty files
-    vanish; a zstd file whose frames aren't complete ends the job.
+    (path, store_file, offset, length, raw_length, checksum), validated. Empty
+    files vanish; a zstd file whose frames aren't complete ends the job.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,40 +257,13 @@ def join_small_files(files: DataFrame, folder: str, kind: str, target_bytes: int
                         rest = step.unused_data
                 if content:
                     rows.append((path, content, raw, signed64(xxhash.xxh3_64_intdigest(content))))
-            yield pd.DataFrame(rows, columns=["path", "frame", "raw_length", "checksum"])
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get()
-        stem = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        ending = "zst" if kind == "zstd" else "txt"
-        fs, base = open_fs(folder)
-        fs.create_dir(base, recursive=True)
-        out, number, offset = None, 0, 0
-        try:
-            for b in batches:
-                rows = []
-                for path, piece, raw, checksum in zip(b["path"], b["frame"], b["raw_length"], b["checksum"]):
-                    if out is None or offset > len(header) and offset + len(piece) > target_bytes:
-                        if out is not None:
-                            out.close()
-                        number += 1
-                        out = fs.open_output_stream(f"{base}/{stem}-{number:04d}.{ending}", compression=None)
-                        out.write(header)
-                        offset = len(header)
-                    out.write(piece)
-                    rows.append((path, f"{stem}-{number:04d}.{ending}", offset, len(piece), raw, checksum))
-                    offset += len(piece)
-                yield pd.DataFrame(rows, columns=["path", "store_file", "offset", "length", "raw_length", "checksum"])
-        finally:
-            if out is not None:
-                out.close()
+            yield pd.DataFrame(rows, columns=["path", "piece", "raw_length", "checksum"])
 
+    ending = "zst" if kind == "zstd" else "txt"
     total = files.agg(F.sum(F.length("content")).alias("n")).first()["n"] or 0
     bins = max(1, math.ceil(total / target_bytes))
-    joined = files.select("path", "content").mapInPandas(pieces, "path string, frame binary, raw_length bigint, checksum bigint")
-    return settle(
-        joined.repartition(bins, "path").mapInPandas(
-            write, "path string, store_file string, offset bigint, length bigint, raw_length bigint, checksum bigint"
-        ),
-        "manifest",
+    manifest = settle(
+        files.select("path", "content").coalesce(bins).mapInPandas(lambda b: append(pieces(b), f"{folder}/.stage", target_bytes, ending, header), f"path string, {_PLACES}"), "manifest"
     )
+    commit(manifest, folder)
+    return validated(manifest, f"{folder}/data", packed=False, start=len(header))

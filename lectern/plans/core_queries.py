@@ -138,6 +138,13 @@ def p2_manifest(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.consolidate(table(spark, d, "xml_files"), target_bytes=16 << 20).select("file_id", "raw_length", "checksum")
 
 
+def p2_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The listed files joined as newline-delimited ones, read back by their manifest."""
+    files = table(spark, d, "xml_files").select(F.col("file_id").cast("string").alias("path"), F.col("xml_text").cast("binary").alias("content"))
+    done = consolidate.join_small_files(files, scratch(spark, "joined"), "lines", target_bytes=16 << 20)
+    return done.select(F.col("path").cast("long").alias("file_id"), "raw_length", (F.col("length") - F.col("raw_length")).cast("int").alias("line_ends"))
+
+
 def p2_names(spark: SparkSession, d: str) -> DataFrame:
     """The one way to write each stored path."""
     return table(spark, d, "xml_files").select("file_id", canonical_path(F.col("xml_path")).alias("name"))
@@ -245,9 +252,10 @@ FROM (SELECT *, trim(json_extract_string(x, '$."@rid"')) AS rid_ FROM xs) y LEFT
 """,
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_subfields, p1_leads, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_names, p5_found, p7_found, p7_second_run)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_subjects, p1_subfields, p1_leads, p1_contributors, p1_affiliations, p1_references, p2_found, p2_manifest, p2_joined, p2_names, p5_found, p7_found, p7_second_run)}
 
 SQL = P1_SQL | {
+    "p2_joined": "SELECT file_id, octet_length(encode(xml_text)) AS raw_length, CASE WHEN ends_with(xml_text, chr(10)) THEN 0 ELSE 1 END AS line_ends FROM xml_files WHERE xml_text <> ''",
     "p2_names": f"SELECT file_id, name FROM ({NAME_SQL})",
     "p2_found": f"SELECT min(file_id) AS file_id FROM ({NAME_SQL}) WHERE xml_text <> '' GROUP BY name, xml_text",
     "p7_found": """

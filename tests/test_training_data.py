@@ -140,6 +140,27 @@ def test_store_holds_each_record_once(spark, tmp_path):
     assert Counter(stored.decode()) == Counter("oneoneonetwo")
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_repeated_ids_and_either_way(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(consolidate, "MAX_COPIES", most)
+    rows = FILES + [(2, "/a//x", "one"), (7, "/b", "one"), (12, "/a/x", "one"), (10, None, "one"), (20, "/c", "l\x00\u2028")]
+    files = spark.createDataFrame(rows, "file_id long, xml_path string, xml_text string").repartition(3)
+    manifest = consolidate.consolidate(files, str(tmp_path), target_bytes=1 << 20)
+    assert sorted(r["file_id"] for r in manifest.collect()) == [2, 7, 7, 10, 12, 20]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["data"]
+
+
+def test_what_failed_attempts_wrote_is_not_in_the_store(spark, tmp_path):
+    (tmp_path / ".stage").mkdir()
+    (tmp_path / ".stage" / "part-00000-7-lost-0001.zst").write_bytes(b"left over")
+    files = spark.createDataFrame(FILES, "file_id long, xml_path string, xml_text string")
+    manifest = consolidate.consolidate(files, str(tmp_path)).persist()
+    named = {r["store_file"] for r in manifest.collect()}
+    assert {p.name for p in (tmp_path / "data").iterdir()} == named and not (tmp_path / ".stage").exists()
+    consolidate.commit(manifest, str(tmp_path))  # a repeated commit changes nothing
+    assert {p.name for p in (tmp_path / "data").iterdir()} == named
+
+
 def test_store_is_validated(spark, tmp_path):
     files = spark.createDataFrame(FILES, "file_id long, xml_path string, xml_text string")
     manifest = consolidate.consolidate(files, str(tmp_path), target_bytes=1).persist()
@@ -159,7 +180,7 @@ def test_lines_are_joined_at_line_ends(spark, tmp_path):
     parts = [("a", b"h\n1\n2"), ("b", b"\xef\xbb\xbfh\n3\n"), ("c", b""), ("d", b"h\n")]
     done = consolidate.join_small_files(spark.createDataFrame(parts, "path string, content binary"), str(tmp_path), "lines", header=b"h\n")
     assert {r["path"] for r in done.collect()} == {"a", "b"}
-    texts = [p.read_bytes() for p in tmp_path.glob("*.txt")]
+    texts = [p.read_bytes() for p in (tmp_path / "data").glob("*.txt")]
     assert all(t.startswith(b"h\n") and t.count(b"h") == 1 for t in texts)
     assert sorted(b"".join(t[2:] for t in texts).split()) == [b"1", b"2", b"3"]
 
