@@ -2,7 +2,8 @@
 
 Quoted spans and JSON lists are atomic. The rest of a cell is a lattice: a
 value ends at a separator, unless the text across the separator is a value of
-its own (a listed term, or one that stood quoted elsewhere). Value frequencies
+its own. A listed term is always one, whatever its parts; a term that stood
+quoted elsewhere is one where the frequencies say so. Value frequencies
 are learned from the whole column by expectation-maximisation over its distinct
 cells, and each cell takes the likeliest path through its lattice (Viterbi).
 A value is a term, or a path of terms that begins with '/' and is kept whole.
@@ -39,8 +40,12 @@ ROUNDS = 2
 #: Expected uses that a listed term has from the start, and log scores of an
 #: unlisted value, of one of its characters and of a slash without blanks.
 LISTED, NEW_VALUE, NEW_CHAR, BARE_SLASH = 5.0, -12.0, -0.2, -3.0
+#: Log score of each separator within a listed term: more than frequencies can weigh.
+WHOLE = 1e4
 _SEP = re.compile(rf"[{re.escape(SEPARATORS)}]+|(?<=\s)/(?=\s|$)|^/(?=\s)")
+_PLACE = re.compile(rf"[{re.escape(SEPARATORS)}/]")
 _CLOSES = re.compile(rf"\s*(?:$|[{re.escape(SEPARATORS)}]|/(?=\s|$))")
+_QUOTED = re.compile(rf"[{re.escape(QUOTES)}\\\\]")
 _ESCAPE = re.compile(rf"\\([{re.escape(SEPARATORS + QUOTES)}/\\])")
 
 
@@ -64,6 +69,25 @@ def json_list(cell: str) -> list[str] | None:
 
 def pieces(cell: str) -> list[tuple[int, int, str | None]]:
     """(start, end, quoted value or None) of the texts between separators, in order."""
+    return quoted_pieces(cell) if _QUOTED.search(cell) else plain_pieces(cell)
+
+
+def plain_pieces(cell: str) -> list[tuple[int, int, str | None]]:
+    """The pieces of a cell without quotes and backslashes, cut at its separators."""
+    out, n, a = [], len(cell), 0
+    for b, after in [*(m.span() for m in _SEP.finditer(cell)), (n, n)]:
+        while a < b and (cell[a].isspace() or cell[a] == "/" and (a + 1 >= n or cell[a + 1].isspace())):
+            a += 1
+        while b > a and cell[b - 1].isspace():
+            b -= 1
+        if b > a:
+            out.append((a, b, None))
+        a = after
+    return out
+
+
+def quoted_pieces(cell: str) -> list[tuple[int, int, str | None]]:
+    """The pieces of any cell, read sign by sign."""
     out, i, n = [], 0, len(cell)
     while i < n:
         while i < n and (cell[i].isspace() or cell[i] in SEPARATORS):
@@ -143,13 +167,17 @@ def extent(known: DataFrame) -> Extent:
 
 class Segmenter:
     """Values of a cell by the likeliest path, given expected counts of terms.
-    total: the uses of the whole column, if counts are only a cell's own terms."""
+    total: the uses of the whole column, if counts are only a cell's own terms.
+    listed: terms that are never split."""
 
-    def __init__(self, counts: dict[str, float], total: float | None = None):
+    def __init__(self, counts: dict[str, float], total: float | None = None, listed: set[str] = frozenset()):
         total = total or sum(counts.values()) or 1.0
         self.score = {t: math.log(c / total) for t, c in counts.items() if c > 0}
+        self.listed = listed
         self.places = max(map(places, self.score), default=1)
         self.parts = 1 + max((t.count("/") for t in self.score), default=0)
+        #: What a term begins with before one of its separators or slashes.
+        self.heads = {t[: m.start()].rstrip() for t in self.score for m in _PLACE.finditer(t)}
         self.values = lru_cache(maxsize=50_000)(self._values)
 
     def word(self, text: str) -> float:
@@ -160,6 +188,8 @@ class Segmenter:
         """Score of a path, whether separators within it belong to its terms,
         and whether they still could if the text went on."""
         parts = text.split("/")[1:]
+        if not _SEP.search(text, 1) and not any(p in self.heads for p in parts):
+            return sum(map(self.word, parts)), True, True
         best = [(0.0, True)] + [(-math.inf, False)] * len(parts)
         whole = 0  # the last place before the open part that terms alone can reach
         reached = [True] + [False] * len(parts)
@@ -169,15 +199,31 @@ class Segmenter:
                 known = term in self.score
                 if j - i > 1 and not known:
                     continue
-                clean = known or not _SEP.search(term)
+                marks = _SEP.findall(term)
+                clean = known or not marks
                 reached[j] |= reached[i] and clean
-                s = best[i][0] + self.word(term)
+                s = best[i][0] + self.word(term) + (WHOLE * len(marks) if term in self.listed else 0.0)
                 if s > best[j][0]:
                     best[j] = (s, best[i][1] and clean)
             if reached[j] and j < len(parts):
                 whole = j
         return *best[-1], places("/".join(parts[whole:])) <= self.places
 
+    def chain(self, cell: str) -> list[str] | None:
+        """The values of a cell whose lattice is one chain: no known term begins
+        with one of its pieces and goes on behind a separator or slash. Else None."""
+        out, heads = [], self.heads
+        for a, b, quoted in pieces(cell):
+            text = quoted
+            if quoted is None:
+                text = cell[a:b]
+                if text in heads or "\\" in text:
+                    return None
+                if "/" in text and not (is_path(text) and heads.isdisjoint(text.split("/")) or text in self.score):
+                    return None
+            out.append(text)
+        return out
+
     def edges(self, cell: str) -> tuple[int, list[tuple[int, int, str, float]]]:
         """Number of places and the lattice's edges (from, to, value, score)."""
         found = pieces(cell)
@@ -209,8 +255,11 @@ class Segmenter:
                         break
                 elif j == i + 1:
                     out.append((i, j, value, self.word(value) + BARE_SLASH * spans[i][3]))
+                    if value not in self.heads and not (j < len(spans) and spans[j][3]):
+                        break  # no term goes on from here
                 elif bare or value in self.score:
-                    out.append((i, j, value, self.word(value) + BARE_SLASH * spans[i][3]))
+                    whole = WHOLE * (j - i - 1) if value in self.listed else 0.0
+                    out.append((i, j, value, self.word(value) + BARE_SLASH * spans[i][3] + whole))
                 elif j - i >= self.places:
                     break
         return len(spans), out
@@ -220,6 +269,9 @@ class Segmenter:
         listed = json_list(cell)
         if listed is not None:
             return tuple(listed)
+        plain = self.chain(cell)
+        if plain is not None:
+            return tuple(plain)
         n, edges = self.edges(cell)
         best: list = [(0.0, None, None)] + [(-math.inf, None, None)] * n
         for i, j, value, s in edges:
@@ -234,11 +286,13 @@ class Segmenter:
     def expected(self, cell: str) -> dict[str, float]:
         """Expected uses of each term in the cell, by forward-backward sums."""
         cell = cell.strip()
-        uses: dict[str, float] = defaultdict(float)
         listed = json_list(cell)
         if listed is not None:
-            edges, posts = [], [(v, 1.0) for v in listed]
+            posts = [(v, 1.0) for v in listed]
         else:
+            plain = self.chain(cell)
+            if plain is not None:
+                return self._terms([(v, 1.0) for v in plain])
             n, edges = self.edges(cell)
             ahead, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
             ahead[0] = back[n] = 0.0
@@ -247,6 +301,11 @@ class Segmenter:
             for i, j, _, s in reversed(edges):
                 back[i] = _log_add(back[i], back[j] + s)
             posts = [(v, math.exp(min(0.0, ahead[i] + s + back[j] - ahead[n]))) for i, j, v, s in edges]
+        return self._terms(posts)
+
+    @staticmethod
+    def _terms(posts: list[tuple[str, float]]) -> dict[str, float]:
+        uses: dict[str, float] = defaultdict(float)
         for value, p in posts:
             for term in value.split("/")[1:] if is_path(value) else [value]:
                 if term.strip():
@@ -278,7 +337,7 @@ def learn(cells: DataFrame, terms: DataFrame, rounds: int = ROUNDS) -> DataFrame
     listed terms in a column term. What fewer than two cells use is left out:
     an unlisted value keeps its score by length."""
     distinct = settle(cells.select("cell").distinct(), "cells")
-    listed = terms.select("term").where("term is not null").distinct().withColumn("uses", F.lit(LISTED))
+    listed = terms.select("term").where("term is not null").distinct().select("term", F.lit(LISTED).alias("uses"), F.lit(True).alias("listed"))
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -286,33 +345,44 @@ def learn(cells: DataFrame, terms: DataFrame, rounds: int = ROUNDS) -> DataFrame
             if rows:
                 yield pd.DataFrame({"term": rows, "uses": 1.0})
 
-    quoted = distinct.mapInPandas(spans, "term string, uses double").groupBy("term").agg(F.sum("uses").alias("uses")).where("uses >= 2")
-    known = listed.unionByName(quoted).groupBy("term").agg(F.sum("uses").alias("uses"))
+    def with_listed(uses: DataFrame) -> DataFrame:
+        found = uses.groupBy("term").agg(F.sum("uses").alias("uses")).where("uses >= 2").withColumn("listed", F.lit(False))
+        return found.unionByName(listed).groupBy("term").agg(F.sum("uses").alias("uses"), F.bool_or("listed").alias("listed"))
+
+    known = with_listed(distinct.where(F.col("cell").rlike(f"[{QUOTES}]") | F.ltrim("cell").startswith("[")).mapInPandas(spans, "term string, uses double"))
     for _ in range(rounds):
         known = settle(known, "terms")
         size = extent(known)
         counts = bounded(known, size)
 
         def expect(batches: Iterator[pd.DataFrame], counts=counts, total=size.total) -> Iterator[pd.DataFrame]:
-            fixed = Segmenter(counts, total) if counts is not None else None
+            fixed = segmenter(counts, total) if counts is not None else None
+            uses: dict[str, float] = defaultdict(float)
             for b in batches:
-                uses: dict[str, float] = defaultdict(float)
                 own = [None] * len(b) if fixed else b["known"]
                 for cell, near in zip(b["cell"], own):
-                    for t, p in (fixed or Segmenter(dict(near or ()), total)).expected(cell).items():
+                    for t, p in (fixed or segmenter(near, total)).expected(cell).items():
                         uses[t] += p
-                if uses:
+                if len(uses) > MAX_TERMS:
                     yield pd.DataFrame({"term": list(uses), "uses": list(uses.values())})
+                    uses.clear()
+            if uses:
+                yield pd.DataFrame({"term": list(uses), "uses": list(uses.values())})
 
         source = distinct if counts is not None else with_known(distinct, known, size)
-        uses = source.mapInPandas(expect, "term string, uses double").groupBy("term").agg(F.sum("uses").alias("uses")).where("uses >= 2")
-        known = uses.unionByName(listed).groupBy("term").agg(F.sum("uses").alias("uses"))
+        known = with_listed(source.mapInPandas(expect, "term string, uses double"))
     return settle(known, "terms")
 
 
-def bounded(known: DataFrame, size: Extent) -> dict[str, float] | None:
-    """The terms as a dictionary, if there are at most MAX_TERMS of them."""
-    return {r["term"]: r["uses"] for r in known.collect()} if size.count <= MAX_TERMS else None
+def segmenter(known, total: float) -> Segmenter:
+    """A Segmenter of known terms with their uses and whether they are listed."""
+    known = [] if known is None else known
+    return Segmenter({x["term"]: x["uses"] for x in known}, total, {x["term"] for x in known if x["listed"]})
+
+
+def bounded(known: DataFrame, size: Extent) -> list[dict] | None:
+    """The terms as a list for all workers, if there are at most MAX_TERMS of them."""
+    return [r.asDict() for r in known.collect()] if size.count <= MAX_TERMS else None
 
 
 def lookups(cell: str, size: Extent) -> set[str]:
@@ -370,7 +440,7 @@ def with_known(cells: DataFrame, known: DataFrame, size: Extent) -> DataFrame:
         cells.mapInPandas(candidates, "cell string, term string")
         .join(known, "term")
         .groupBy("cell")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "uses"))).alias("known"))
+        .agg(F.collect_list(F.struct("term", "uses", "listed")).alias("known"))
     )
     return cells.join(near, "cell", "left")
 
@@ -384,7 +454,7 @@ def unpack(table: DataFrame, key: str, fields: list[str], terms: DataFrame) -> D
     if counts is not None:
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cut = Segmenter(counts, size.total)
+            cut = segmenter(counts, size.total)
             for b in batches:
                 yield pd.DataFrame({key: b[key], "field_name": b["field_name"], "values": [list(cut.values(c)) for c in b["cell"]]})
 
@@ -393,7 +463,7 @@ def unpack(table: DataFrame, key: str, fields: list[str], terms: DataFrame) -> D
 
         def split_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"cell": b["cell"], "values": [list(Segmenter(dict(k or ()), size.total).values(c)) for c, k in zip(b["cell"], b["known"])]})
+                yield pd.DataFrame({"cell": b["cell"], "values": [list(segmenter(k, size.total).values(c)) for c, k in zip(b["cell"], b["known"])]})
 
         parts = with_known(cells.select("cell").distinct(), known, size).mapInPandas(split_near, "cell string, values array<string>")
         done = cells.join(parts, "cell")
