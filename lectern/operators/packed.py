@@ -24,7 +24,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -360,7 +362,7 @@ def learn(cells: DataFrame, terms: DataFrame, rounds: int = ROUNDS) -> DataFrame
             uses: dict[str, float] = defaultdict(float)
             for b in batches:
                 own = [None] * len(b) if fixed else b["known"]
-                for cell, near in zip(b["cell"], own):
+                for cell, near in zip(b["cell"].tolist(), own):
                     for t, p in (fixed or segmenter(near, total)).expected(cell).items():
                         uses[t] += p
                 if len(uses) > MAX_TERMS:
@@ -445,6 +447,22 @@ def with_known(cells: DataFrame, known: DataFrame, size: Extent) -> DataFrame:
     return cells.join(near, "cell", "left")
 
 
+def rows_of_values(batch: pa.RecordBatch, cut: Segmenter) -> pa.RecordBatch:
+    """A row per value of a batch (key, field_name, cell); each distinct cell is split once."""
+    keys, fields, cells = batch.columns
+    coded = cells.dictionary_encode()
+    found = [cut.values(c) for c in coded.dictionary.to_pylist()]
+    sizes = np.array([len(v) for v in found], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, sizes.cumsum()].astype(np.int32)), pa.array([t for v in found for t in v], pa.string()))
+    at = coded.indices.to_numpy()
+    own = sizes[at]
+    rows = np.repeat(np.arange(len(at)), own)
+    pos = np.arange(len(rows)) - np.repeat(own.cumsum() - own, own) + 1
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(rows)), fields.take(pa.array(rows)), pa.array(pos.astype(np.int32)), lists.take(coded.indices).flatten()], names=[batch.schema.names[0], "field_name", "pos", "term"]
+    )
+
+
 def unpack(table: DataFrame, key: str, fields: list[str], terms: DataFrame) -> DataFrame:
     """(key, field_name, pos, term): one row per value of the packed columns."""
     cells = long_cells(table, key, fields)
@@ -453,20 +471,18 @@ def unpack(table: DataFrame, key: str, fields: list[str], terms: DataFrame) -> D
     counts = bounded(known, size)
     if counts is not None:
 
-        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = segmenter(counts, size.total)
             for b in batches:
-                yield pd.DataFrame({key: b[key], "field_name": b["field_name"], "values": [list(cut.values(c)) for c in b["cell"]]})
+                yield rows_of_values(b, cut)
 
-        done = cells.mapInPandas(split, f"{key} {dict(table.dtypes)[key]}, field_name string, values array<string>")
-    else:
+        return cells.mapInArrow(split, f"{key} {dict(table.dtypes)[key]}, field_name string, pos int, term string")
 
-        def split_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"cell": b["cell"], "values": [list(segmenter(k, size.total).values(c)) for c, k in zip(b["cell"], b["known"])]})
+    def split_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cell": b["cell"], "values": [list(segmenter(k, size.total).values(c)) for c, k in zip(b["cell"], b["known"])]})
 
-        parts = with_known(cells.select("cell").distinct(), known, size).mapInPandas(split_near, "cell string, values array<string>")
-        done = cells.join(parts, "cell")
-    return done.select(key, "field_name", F.posexplode("values").alias("at", "term")).select(
+    parts = with_known(cells.select("cell").distinct(), known, size).mapInPandas(split_near, "cell string, values array<string>")
+    return cells.join(parts, "cell").select(key, "field_name", F.posexplode("values").alias("at", "term")).select(
         key, "field_name", (F.col("at") + 1).cast("int").alias("pos"), "term"
     )
