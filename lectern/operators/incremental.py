@@ -37,7 +37,7 @@ LEAVES_PER_PART, MAX_PART_BITS = 6, 12
 
 def row_digest(columns: list[str]) -> Column:
     """SHA-256 over the named columns as stored, null apart from every text."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256))
 
 
 def key_place(keys: list[str]) -> Column:
@@ -59,7 +59,7 @@ def leaf_of(place: Column, bits: int) -> Column:
 
 
 def leaves_of(rows: DataFrame, bits: int) -> DataFrame:
-    """(node, d1, d2, n) of each leaf of rows (place bigint, digest string). XOR
+    """(node, d1, d2, n) of each leaf of rows (place bigint, digest binary). XOR
     and count merge in any order, so map-side combining leaves one row per leaf
     and task to shuffle."""
     return rows.groupBy(leaf_of(F.col("place"), bits).alias("node")).agg(
@@ -158,7 +158,7 @@ def saved_rows(spark: SparkSession, version: str, leaves: DataFrame, bits: int)
     2 ** MAX_PART_BITS of them, whatever the rows."""
     shift = bits - part_bits_for(bits)
     parts = [r["part"] for r in leaves.select(F.shiftrightunsigned("leaf", shift).alias("part")).distinct().collect()]
-    stored = spark.read.schema("place bigint, digest string, part bigint").parquet(f"{version}/rows").where(F.col("part").isin(parts))
+    stored = spark.read.schema("place bigint, digest binary, part bigint").parquet(f"{version}/rows").where(F.col("part").isin(parts))
     return stored.withColumn("leaf", leaf_of(F.col("place"), bits)).join(leaves, "leaf", "left_semi").select("place", "digest")
 
 

@@ -43,12 +43,15 @@ def _refuse(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+_DECODER = json.JSONDecoder(parse_constant=_refuse, parse_int=str, parse_float=str)
+
+
 def read_json(text: str | None):
     """The value and whether the text is valid JSON (NaN and Infinity are not)."""
     if text is None:
         return None, False
     try:
-        return json.loads(text, parse_constant=_refuse, parse_int=str, parse_float=str), True
+        return _DECODER.decode(text), True
     except RecursionError:
         try:
             return read_deep(text), True
@@ -219,63 +222,69 @@ class Node(NamedTuple):
     cols: dict[str, str]
 
 
-def _columns(x, relations: set[str], first: set[str]) -> tuple[dict[str, str], list]:
-    """Inlined columns of an element and the (relation, element) rows right below it."""
+def _columns(x, relations: set[str], first: set[str], keep: set[str] | None) -> tuple[dict[str, str], list]:
+    """Inlined columns of an element, those to keep, and the (relation, element) rows right below it."""
     cols: dict[str, str] = {}
     later: list = []
     todo = [(x, "", False)]
     while todo:
         x, prefix, copied = todo.pop()
         if not isinstance(x, dict):
-            cols[prefix or "#text"] = _leaf(x)
+            name = prefix or "#text"
+            if keep is None or name in keep:
+                cols[name] = _leaf(x)
             continue
         for key, below in x.items():
             if below is None:
                 continue
-            mark = key[:1]
-            if mark == "@" or mark == "#":
-                cols[(f"{prefix}/{key}" if key != "#text" else prefix) if prefix else key] = below if isinstance(below, str) else _leaf(below)
-                continue
-            name = f"{prefix}/{key}" if prefix else key
             if key in relations:
                 parts = _items(below)
                 if not copied:
                     later.extend((key, p) for p in parts)
                 if parts and key in first and key not in prefix.split("/"):
-                    todo.append((parts[0], name, True))
-            elif isinstance(below, str):
-                cols[name] = below
+                    todo.append((parts[0], f"{prefix}/{key}" if prefix else key, True))
+                continue
+            name = (prefix if key == "#text" else f"{prefix}/{key}") if prefix else key
+            if isinstance(below, str) or key[:1] in ("@", "#"):
+                if keep is None or name in keep:
+                    cols[name] = _leaf(below)
             else:
                 todo.extend((p, name, copied) for p in _items(below)[::-1])
     return cols, later
 
 
-def shred_value(value, relations: set[str], first: set[str] = frozenset(), id_key: str = "@id", ref_key: str = "@rid") -> list[Node]:
+def shred_value(value, relations: set[str], first: set[str] = frozenset(), wanted: dict[str, set[str]] | None = None, id_key: str = "@id", ref_key: str = "@rid") -> list[Node]:
     """All rows of one record, in document order. path: places among the rows
     of a relation under the same enclosing row of that relation (over the whole
     record if there is none), joined by '.'. Relations named in first lend
-    their first row's columns to the row above, beside having rows of their own."""
+    their first row's columns to the row above, beside having rows of their own.
+    wanted: the relations and columns to give (id and reference come along)."""
     nodes: list[Node] = []
     counts: dict[tuple[str, str], int] = defaultdict(int)
     ids: dict[str, list[str]] = defaultdict(list)
+    asking: list[Node] = []
+    keys = {id_key, ref_key}
+    keep = None if wanted is None else {r: keys | set(c) for r, c in wanted.items()}
     stack = [("", x, "", "", {}) for x in reversed(_items(value))]
     while stack:
         relation, x, parent_relation, parent_path, above = stack.pop()
         outer = above.get(relation, "")
         counts[relation, outer] += 1
         path = f"{outer}.{counts[relation, outer]}" if outer else str(counts[relation, outer])
-        cols, later = _columns(x, relations, first)
-        nodes.append(Node(relation, path, parent_relation, parent_path, [], cols))
-        own = cols.get(id_key)
-        if own and (own := own.strip()):
-            ids[own].append(f"{relation}:{path}")
+        cols, later = _columns(x, relations, first, None if keep is None else keep.get(relation, keys))
+        node = Node(relation, path, parent_relation, parent_path, [], cols)
+        if keep is None or relation in keep:
+            nodes.append(node)
+        if cols:
+            if id_key in cols and (own := cols[id_key].strip()):
+                ids[own].append(f"{relation}:{path}")
+            if ref_key in cols:
+                asking.append(node)
         if later:
             inside = above | {relation: path}
             stack.extend((key, p, relation, path, inside) for key, p in reversed(later))
-    for n in nodes:
-        rid = n.cols.get(ref_key)
-        if rid and (rid := rid.strip()) in ids:
-            n.refs.extend(ids[rid])
+    for n in asking:
+        n.refs.extend(ids.get(n.cols[ref_key].strip(), ()))
     return nodes
 
 
@@ -308,19 +317,14 @@ def shred(records: DataFrame, key: str, column: str, relations: set[str], wanted
     """(key, nodes): one row per valid record, all its relations' rows in an
     array, so that what stays within a record needs no shuffle. wanted: the
     relations and columns to give out, all unless named."""
-    chosen = None if wanted is None else {r: frozenset(c) for r, c in wanted.items()}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, out = [], []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 value, ok = read_json(text)
                 if ok:
-                    nodes = shred_value(value, relations, first)
-                    if chosen is not None:
-                        nodes = [n._replace(cols={k: v for k, v in n.cols.items() if k in chosen[n.relation]}) for n in nodes if n.relation in chosen]
                     keys.append(k)
-                    out.append(nodes)
+                    out.append(shred_value(value, relations, first, wanted))
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), node_lists(out)], names=[key, "nodes"])
 
     kind = dict(records.dtypes)[key]

@@ -339,7 +339,7 @@ def test_pending_of_empty_tables(spark, root):
 
 def _digests(spark, n, changed=()):
     value = F.concat(F.col("id").cast("string"), F.when(F.col("id").isin(list(changed)), "!").otherwise(""))
-    return spark.range(n).select("id", incremental.key_place(["id"]).alias("place"), F.sha2(value, 256).alias("digest"))
+    return spark.range(n).select("id", incremental.key_place(["id"]).alias("place"), F.unhex(F.sha2(value, 256)).alias("digest"))
 
 
 def test_a_second_run_reads_the_changed_leaves_only(spark, root, monkeypatch):
