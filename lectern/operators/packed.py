@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, uncollected
 
 #: Characters that part values wherever they stand; a slash does
 #: so between blanks, and without blanks only if both sides are values.
@@ -362,9 +362,10 @@ def learn(cells: DataFrame, terms: DataFrame, rounds: int = ROUNDS) -> DataFrame
             uses: dict[str, float] = defaultdict(float)
             for b in batches:
                 own = [None] * len(b) if fixed else b["known"]
-                for cell, near in zip(b["cell"].tolist(), own):
-                    for t, p in (fixed or segmenter(near, total)).expected(cell).items():
-                        uses[t] += p
+                with uncollected():
+                    for cell, near in zip(b["cell"].tolist(), own):
+                        for t, p in (fixed or segmenter(near, total)).expected(cell).items():
+                            uses[t] += p
                 if len(uses) > MAX_TERMS:
                     yield pd.DataFrame({"term": list(uses), "uses": list(uses.values())})
                     uses.clear()
@@ -451,7 +452,8 @@ def rows_of_values(batch: pa.RecordBatch, cut: Segmenter) -> pa.RecordBatch:
     """A row per value of a batch (key, field_name, cell); each distinct cell is split once."""
     keys, fields, cells = batch.columns
     coded = cells.dictionary_encode()
-    found = [cut.values(c) for c in coded.dictionary.to_pylist()]
+    with uncollected():
+        found = [cut.values(c) for c in coded.dictionary.to_pylist()]
     sizes = np.array([len(v) for v in found], dtype=np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, sizes.cumsum()].astype(np.int32)), pa.array([t for v in found for t in v], pa.string()))
     at = coded.indices.to_numpy()

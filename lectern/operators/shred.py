@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, uncollected
 
 #: Bound of the schema graph that the driver may hold.
 MAX_EDGES = 20_000
@@ -192,11 +192,12 @@ def schema_graph(records: DataFrame, column: str) -> Graph:
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         most: dict[tuple[str, str], int] = {}
-        for b in batches:
-            for text in b[column]:
-                value, ok = read_json(text)
-                if ok:
-                    edges_of(value, most)
+        with uncollected():
+            for b in batches:
+                for text in b[column]:
+                    value, ok = read_json(text)
+                    if ok:
+                        edges_of(value, most)
         yield pd.DataFrame([(a, b, n) for (a, b), n in most.items()], columns=["parent", "child", "most"])
 
     ship(records.sparkSession)
@@ -258,22 +259,21 @@ def shred_value(value, relations: set[str], first: set[str] = frozenset(), wante
     of a relation under the same enclosing row of that relation (over the whole
     record if there is none), joined by '.'. Relations named in first lend
     their first row's columns to the row above, beside having rows of their own.
-    wanted: the relations and columns to give (id and reference come along)."""
+    wanted: the relations and columns to give, id and reference among them."""
     nodes: list[Node] = []
     counts: dict[tuple[str, str], int] = defaultdict(int)
     ids: dict[str, list[str]] = defaultdict(list)
     asking: list[Node] = []
     keys = {id_key, ref_key}
-    keep = None if wanted is None else {r: keys | set(c) for r, c in wanted.items()}
     stack = [("", x, "", "", {}) for x in reversed(_items(value))]
     while stack:
         relation, x, parent_relation, parent_path, above = stack.pop()
         outer = above.get(relation, "")
         counts[relation, outer] += 1
         path = f"{outer}.{counts[relation, outer]}" if outer else str(counts[relation, outer])
-        cols, later = _columns(x, relations, first, None if keep is None else keep.get(relation, keys))
+        cols, later = _columns(x, relations, first, None if wanted is None else wanted.get(relation, keys))
         node = Node(relation, path, parent_relation, parent_path, [], cols)
-        if keep is None or relation in keep:
+        if wanted is None or relation in wanted:
             nodes.append(node)
         if cols:
             if id_key in cols and (own := cols[id_key].strip()):
@@ -317,14 +317,17 @@ def shred(records: DataFrame, key: str, column: str, relations: set[str], wanted
     """(key, nodes): one row per valid record, all its relations' rows in an
     array, so that what stays within a record needs no shuffle. wanted: the
     relations and columns to give out, all unless named."""
+    chosen = None if wanted is None else {r: {"@id", "@rid", *c} for r, c in wanted.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, out = [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                value, ok = read_json(text)
-                if ok:
-                    keys.append(k)
-                    out.append(shred_value(value, relations, first, wanted))
+            with uncollected():
+                for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    value, ok = read_json(text)
+                    if ok:
+                        keys.append(k)
+                        out.append(shred_value(value, relations, first, chosen))
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), node_lists(out)], names=[key, "nodes"])
 
     kind = dict(records.dtypes)[key]

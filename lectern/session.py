@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,6 +97,19 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No cyclic garbage collection while a task builds many objects that have
+    no cycles: they are freed by their counts, and the search for cycles costs."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _settled: list[str] = []
 
 
