@@ -48,28 +48,36 @@ class EchoClient(OneByOne):
 class VllmClient:
     """Batched inference; needs vllm, which is imported when the first batch comes."""
 
-    def __init__(self, model: str, tensor_parallel_size: int = 1, max_tokens: int = 2048):
-        self.model, self.tensor_parallel_size, self.max_tokens, self._engine = model, tensor_parallel_size, max_tokens, None
+    def __init__(self, model: str, tensor_parallel_size: int = 1, max_tokens: int = 2048, temperature: float = 0.0):
+        self.model, self.tensor_parallel_size, self.max_tokens, self.temperature, self._engine = model, tensor_parallel_size, max_tokens, temperature, None
 
     def generate_batch(self, prompts: list[str]) -> list[str | Exception]:
         from vllm import LLM, SamplingParams
 
         self._engine = self._engine or LLM(self.model, dtype="bfloat16", tensor_parallel_size=self.tensor_parallel_size)
-        done = self._engine.generate(prompts, SamplingParams(temperature=0.0, max_tokens=self.max_tokens))
-        return [d.outputs[0].text for d in done]
+        done = self._engine.generate(prompts, SamplingParams(temperature=self.temperature, max_tokens=self.max_tokens))
+        return [d.outputs[0].text for d in in_request_order(done)]
+
+
+def in_request_order(outputs: list) -> list:
+    """Outputs by the number of their request: an engine may finish them in any order."""
+    return sorted(outputs, key=lambda o: (0, int(o.request_id), "") if str(o.request_id).isdigit() else (1, 0, str(o.request_id)))
 
 
 class TransformersClient(OneByOne):
-    """Needs transformers, which is imported when the first prompt comes."""
+    """Needs transformers and torch, which are imported when the first prompt comes."""
 
-    def __init__(self, model: str, max_tokens: int = 2048):
-        self.model, self.max_tokens, self._pipe = model, max_tokens, None
+    def __init__(self, model: str, max_tokens: int = 2048, temperature: float = 0.0):
+        self.model, self.max_tokens, self.temperature, self._pipe = model, max_tokens, temperature, None
 
     def generate(self, prompt: str) -> str:
-        from transformers import pipeline
+        if self._pipe is None:
+            import torch
+            from transformers import pipeline
 
-        self._pipe = self._pipe or pipeline("text-generation", model=self.model, device_map="auto")
-        return self._pipe(prompt, max_new_tokens=self.max_tokens, do_sample=False, return_full_text=False)[0]["generated_text"]
+            self._pipe = pipeline("text-generation", model=self.model, device_map="auto", torch_dtype=torch.bfloat16)
+        drawn = {"do_sample": True, "temperature": self.temperature} if self.temperature > 0 else {"do_sample": False}
+        return self._pipe(prompt, max_new_tokens=self.max_tokens, return_full_text=False, **drawn)[0]["generated_text"]
 
 
 CLIENTS: dict[str, Callable[..., ModelClient]] = {"echo": EchoClient, "vllm": VllmClient, "transformers": TransformersClient}

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..clients.base import ModelClient
 from ..functions.text import build_prompt
@@ -65,18 +66,49 @@ def typed(row: dict) -> dict:
     return out
 
 
-def extract(articles: DataFrame, factory: Callable[[str], ModelClient], model: str) -> DataFrame:
-    """(doi, model, status, error, rows, full_keys) of articles (doi, text).
-
-    The client is built once per Python worker, when the first article comes;
-    an answer may be asked for again if a task is repeated.
+def answers_of(client: ModelClient, prompts: list[str]) -> list[str | Exception]:
+    """An answer or an error for each prompt. A batch that fails, or that comes
+    back with more or fewer answers than prompts, is halved until what fails is
+    a prompt by itself: one article's failure is no other's."""
+    try:
+        got = list(client.generate_batch(prompts))
+        if len(got) != len(prompts):
+            raise ValidationError(f"{len(got)} answers to {len(prompts)} prompts")
+        return got
+    except Exception as e:  # noqa: BLE001 - whatever the model throws
+        if len(prompts) <= 1:
+            return [e] * len(prompts)
+        half = len(prompts) // 2
+        return answers_of(client, prompts[:half]) + answers_of(client, prompts[half:])
+
+
+def extract(articles: DataFrame, factory: Callable[[str], ModelClient], model: str, keep: list[str] = ()) -> DataFrame:
+    """(keep, doi, model, status, error, rows, full_keys) of articles (doi, text).
+
+    keep: columns of the articles that come along, so that nothing is joined
+    back. An article with a text in an optional column problem is an error
+    without being asked about. The client is built once per Python worker, when
+    the first article comes; an answer may be asked for again if a task is
+    repeated. A client that can't be built is the error of each article.
     """
+    problem = F.col("problem") if "problem" in articles.columns else F.lit(None).cast("string")
+    asked = articles.select(*[F.col(c).alias(f"_k_{c}") for c in keep], "doi", build_prompt(F.col("doi"), F.coalesce("text", F.lit(""))).alias("prompt"), problem.alias("problem"))
+    kept = [f"_k_{c}" for c in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = None
         for b in batches:
-            client = client or factory(model)
-            answers = client.generate_batch(list(b["prompt"]))
+            open_rows = [i for i, p in enumerate(b["problem"]) if not isinstance(p, str)]
+            prompts = [b["prompt"].iloc[i] for i in open_rows]
+            answers: list = [ValidationError(p) if isinstance(p, str) else None for p in b["problem"]]
+            if prompts:
+                try:
+                    client = client or factory(model)
+                    got = answers_of(client, prompts)
+                except Exception as e:  # noqa: BLE001
+                    got = [e] * len(prompts)
+                for i, answer in zip(open_rows, got):
+                    answers[i] = answer
             out = []
             for doi, answer in zip(b["doi"], answers):
                 try:
@@ -85,10 +117,14 @@ def extract(articles: DataFrame, factory: Callable[[str], ModelClient], model: s
                     out.append((doi, model, "ok", None, [typed(r) for r in validated(answer, doi)], True))
                 except Exception as e:  # noqa: BLE001 - one article's error is its result
                     out.append((doi, model, "error", str(e) if isinstance(e, ValidationError) else repr(e), None, False))
-            yield pd.DataFrame(out, columns=RESULT.fieldNames())
+            done = pd.DataFrame(out, columns=RESULT.fieldNames())
+            for c in kept:
+                done[c] = b[c].array
+            yield done[kept + RESULT.fieldNames()]
 
     ship(articles.sparkSession)
-    return articles.select("doi", build_prompt(F.col("doi"), F.coalesce("text", F.lit(""))).alias("prompt")).mapInPandas(run, RESULT)
+    schema = T.StructType([*asked.select(*kept).schema, *RESULT])
+    return asked.mapInPandas(run, schema).withColumnsRenamed({k: c for k, c in zip(kept, keep) if c not in RESULT.fieldNames()})
 
 
 def not_done(articles: DataFrame, ledger: DataFrame | None, overwrite: bool = False) -> DataFrame:
@@ -98,12 +134,16 @@ def not_done(articles: DataFrame, ledger: DataFrame | None, overwrite: bool = Fa
     return articles.join(ledger.where("status = 'ok'").select("doi"), "doi", "left_anti")
 
 
-def facts(results: DataFrame, index: DataFrame) -> DataFrame:
+ARTICLE_COLUMNS = ["matched_subfields", "subject_level_1", "subject", "publication_date", "year", "stage", "lead_institution"]
+
+
+def facts(results: DataFrame) -> DataFrame:
     """The fact table's rows: each sample with its article's columns, which come
-    from the index and never from the model. index: doi and the article columns."""
-    rows = results.where("status = 'ok'").select(F.inline("rows")).withColumnRenamed("doi", "_doi")
-    about = index.withColumn("subfield", F.try_element_at("matched_subfields", F.lit(1)))
-    return rows.join(about, rows["_doi"] == about["doi"]).drop("_doi").select(*FACT_COLUMNS)
+    from the index and never from the model. results: of extract, with
+    ARTICLE_COLUMNS kept, so that no join finds them again."""
+    about = [c for c in FACT_COLUMNS if c in ARTICLE_COLUMNS]
+    rows = results.where("status = 'ok'").select(F.col("doi").alias("_doi"), *about, F.inline("rows")).drop("doi").withColumnRenamed("_doi", "doi")
+    return rows.withColumn("subfield", F.try_element_at("matched_subfields", F.lit(1))).select(*FACT_COLUMNS)
 
 
 def gold_template(sample: DataFrame) -> DataFrame:

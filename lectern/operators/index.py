@@ -34,11 +34,15 @@ def included(**columns: Column) -> Column:
     return out
 
 
-def from_xml(files: DataFrame, column: str = "xml_text") -> DataFrame:
-    """Index rows of the files (xml_path, xml_text) that parse and pass; one stage, no shuffle."""
+def from_xml(files: DataFrame, column: str = "xml_text", counters: Observation | None = None) -> DataFrame:
+    """Index rows of the files (xml_path, xml_text) that parse and pass; one
+    stage, no shuffle. counters sees the files seen, broken and kept."""
     a = F.col("article")
-    rows = parse_articles(files.select("xml_path", column), column).where(a["error"].isNull())
-    rows = rows.where(included(journal=a["journal"], article_type=a["article_type"], date=a["publication_date"], subfields=a["psychology_subfields"]))
+    rows = parse_articles(files.select("xml_path", column), column)
+    passed = included(journal=a["journal"], article_type=a["article_type"], date=a["publication_date"], subfields=a["psychology_subfields"]) & a["error"].isNull()
+    if counters is not None:
+        rows = rows.observe(counters, F.count(F.lit(1)).alias("seen"), F.count(a["error"]).alias("broken"), F.count_if(passed).alias("kept"))
+    rows = rows.where(passed)
     return rows.select("article.*", "xml_path").select(
         "*", F.year("publication_date").alias("year"), stage_of_date(F.col("publication_date")).alias("stage"), F.col("psychology_subfields").alias("matched_subfields")
     ).select(*INDEX_COLUMNS)

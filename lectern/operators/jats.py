@@ -76,12 +76,14 @@ def subfields(root: ET.Element, node: str = "Psychology") -> list[str]:
 
 
 def lead_institution(root: ET.Element) -> str | None:
-    """Institution, else the whole text, of the first affiliation that the corresponding, else first, author refers to."""
+    """Institution, else the whole text, of the affiliation that the first such
+    reference of the corresponding, else first, author leads to. Only what
+    stands directly in author and affiliation counts."""
     authors = [c for c in root.findall(".//article-meta/contrib-group/contrib") if c.get("contrib-type") == "author"]
     lead = next((a for a in authors if a.get("corresp") == "yes"), authors[0] if authors else None)
-    ref = None if lead is None else next((x for x in lead.iter("xref") if x.get("ref-type") == "aff"), None)
-    aff = None if ref is None else next((a for a in root.iter("aff") if a.get("id") == ref.get("rid")), None)
-    return None if aff is None else own_text(aff.find(".//institution")) or whole_text(aff) or None
+    ref = None if lead is None else next((x for x in lead.findall("xref") if x.get("ref-type") == "aff"), None)
+    aff = None if ref is None or not ref.get("rid") else next((a for a in root.iter("aff") if a.get("id") == ref.get("rid")), None)
+    return None if aff is None else own_text(aff.find("institution")) or whole_text(aff) or None
 
 
 def extraction_text(root: ET.Element) -> str:
@@ -92,7 +94,7 @@ def extraction_text(root: ET.Element) -> str:
     sections = body.findall("sec")
     if not sections:
         return whole_text(body)
-    first = [any(w in whole_text(t).lower() for t in s.iter("title") for w in PRIORITY_WORDS) for s in sections]
+    first = [any(w in (t.text or "").lower() for t in s.iter("title") for w in PRIORITY_WORDS) for s in sections]
     ordered = [s for s, p in zip(sections, first) if p] + [s for s, p in zip(sections, first) if not p]
     return "\n\n".join(t for t in map(whole_text, ordered) if t)
 

@@ -61,8 +61,9 @@ def stratified_by_hash(rows: DataFrame, strata: Column, key: str, n: int, seed:
     """n rows of lowest hash from each stratum with at least n rows, with a
     column subfield; strata is a list per row, so a row may be drawn twice."""
     wide = rows.withColumn("subfield", F.explode(strata)).withColumn("_draw", F.md5(F.concat(F.col(key), F.lit(f"|{seed}"))))
-    enough = wide.groupBy("subfield").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select("subfield")
-    return first_n(wide.join(F.broadcast(enough), "subfield"), ["subfield"], ["_draw", key], n).drop("_draw")
+    # n rows at most are left of a stratum, so counting them costs nothing more
+    drawn = first_n(wide, ["subfield"], ["_draw", key], n).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("subfield")))
+    return drawn.where(F.col("_n") == n).drop("_draw", "_n")
 
 
 def stratified_by_draw(rows: DataFrame, strata: Column, order: str, n: int, seed: int = 42, wanted: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonmaps import lenient_number, maps_agree, strict_int, strict_map
+from .sampling import first_n
 
 FLAGS = ["gender_reported", "race_reported", "education_reported", "ses_reported"]
 CATEGORIES = {"gender": ("gender_reported", "gender_pct"), "race": ("race_reported", "race_pct"), "education": ("education_reported", "education_pct")}
@@ -32,13 +33,17 @@ def latest(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("doi", "sample_id").agg(F.max_by(F.struct(*rest), order).alias("row"))
 
 
-def compare(gold: DataFrame, model: DataFrame, tolerance: float = 1.0, order: str = "pos") -> DataFrame:
-    """A row per (doi, sample_id) of either side: in_gold, in_model, flags and
-    numbers compared and equal, notes. Both sides: doi, sample_id, flags,
-    percentages, ses_value and a column that orders repeats."""
+def align(gold: DataFrame, model: DataFrame, order: str = "pos") -> DataFrame:
+    """(doi, sample_id, g, m): each sample of either side with both sides' rows,
+    null where a side has none. Both sides: doi, sample_id, flags, percentages,
+    ses_value and a column that orders repeats."""
     g = latest(gold, order).withColumnRenamed("row", "g")
     m = latest(model, order).withColumnRenamed("row", "m")
-    both = g.join(m, ["doi", "sample_id"], "full_outer")
+    return g.join(m, ["doi", "sample_id"], "full_outer")
+
+
+def compare(both: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """A row per aligned sample: in_gold, in_model, flags and numbers compared and equal, notes."""
     ok = F.col("g").isNotNull() & F.col("m").isNotNull()
     num = lambda x: F.coalesce(lenient_number(x), F.lit(0.0))
     flag = {c: F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in FLAGS}
@@ -58,30 +63,53 @@ def compare(gold: DataFrame, model: DataFrame, tolerance: float = 1.0, order: st
     )
 
 
-def per_article(gold: DataFrame, model: DataFrame, results: DataFrame, tolerance: float = 1.0, order: str = "pos") -> DataFrame:
-    """Scores per gold article; results: doi, status, full_keys of each run article."""
-    articles = gold.select("doi").distinct()
+def _finished(both: DataFrame, results: DataFrame) -> DataFrame:
+    """both with status and full_keys of its article's run; rows of a run that isn't ok don't count."""
     done = results.select("doi", "status", "full_keys").dropDuplicates(["doi"])
-    fine = model.join(done.where("status = 'ok'").select("doi"), "doi", "left_semi")
-    samples = compare(gold, fine, tolerance, order).groupBy("doi").agg(
+    return both.join(done, "doi", "left").withColumn("m", F.when(F.col("status") == "ok", F.col("m")))
+
+
+def sample_notes(both: DataFrame, results: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """(doi, sample_id, note): what differs, sample by sample."""
+    return compare(_finished(both, results), tolerance).select("doi", "sample_id", F.explode("notes").alias("note"))
+
+
+#: Samples of one article whose notes are shown in its row; sample_notes has them all.
+NOTES_SHOWN = 200
+
+
+def score_articles(both: DataFrame, results: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Scores per gold article of aligned samples; results: doi, status,
+    full_keys of each run article. A row shows the notes of its first
+    NOTES_SHOWN samples that have any, and says how many more there are."""
+    rows = compare(_finished(both, results), tolerance)
+    samples = rows.groupBy("doi").agg(
         F.count_if("in_gold").alias("n_gold_samples"), F.count_if("in_model").alias("n_model_samples"), F.bool_and(F.col("in_gold") == F.col("in_model")).alias("same_ids"),
-        *[F.sum(c).alias(c) for c in ("flag_total", "flag_correct", "num_total", "num_correct")],
-        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("notes") > 0, F.struct("sample_id", "notes")))), lambda x: x["notes"])), "; ").alias("sample_notes"),
-    )
+        *[F.sum(c).alias(c) for c in ("flag_total", "flag_correct", "num_total", "num_correct")], F.count_if(F.size("notes") > 0).alias("n_noted"),
+    ).where("n_gold_samples > 0")
+    noted = first_n(rows.where(F.size("notes") > 0).select("doi", "sample_id", "notes"), ["doi"], ["sample_id"], NOTES_SHOWN)
+    shown = noted.groupBy("doi").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "notes"))), lambda x: x["notes"])), "; ").alias("shown"))
+    done = results.select("doi", "status", "full_keys").dropDuplicates(["doi"])
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     rate = lambda a, b: F.when(ok, F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0))))
     notes = F.when(F.col("status").isNull(), "no model output").when(~ok, F.concat(F.lit("model status="), "status"))
     ids = F.when(~F.col("same_ids"), "sample ids differ")
     keys = F.when(~F.coalesce("full_keys", F.lit(False)), "model row missing required keys")
-    return articles.join(done, "doi", "left").join(samples, "doi", "left").select(
+    more = F.when(F.col("n_noted") > NOTES_SHOWN, F.concat(F.lit("and "), (F.col("n_noted") - NOTES_SHOWN).cast("string"), F.lit(" more samples with notes")))
+    return samples.join(done, "doi", "left").join(shown, "doi", "left").select(
         "doi", "n_gold_samples", F.when(ok, F.col("n_model_samples")).otherwise(0).alias("n_model_samples"),
         F.when(ok, rate("flag_correct", "flag_total")).otherwise(0.0).alias("reporting_flag_accuracy"), rate("num_correct", "num_total").alias("numeric_accuracy"),
         (ok & F.col("same_ids")).alias("sample_count_match"), (ok & F.coalesce("full_keys", F.lit(False))).alias("schema_ok"),
-        F.coalesce(notes, F.array_join(F.filter(F.array(keys, ids, F.nullif("sample_notes", F.lit(""))), lambda x: x.isNotNull()), "; ")).alias("notes"),
+        F.coalesce(notes, F.array_join(F.filter(F.array(keys, ids, F.col("shown"), more), lambda x: x.isNotNull()), "; ")).alias("notes"),
         *[F.when(ok, F.col(c)).otherwise(0).alias(c) for c in ("flag_total", "flag_correct", "num_total", "num_correct")],
     )
 
 
+def per_article(gold: DataFrame, model: DataFrame, results: DataFrame, tolerance: float = 1.0, order: str = "pos") -> DataFrame:
+    """Scores per gold article of gold and model rows that may repeat samples."""
+    return score_articles(align(gold, model, order), results, tolerance)
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """One row: accuracies over what was compared, the other rates over all gold articles; null where nothing counts."""
     rate = lambda a, b: F.try_divide(F.sum(a), F.nullif(F.sum(b), F.lit(0)))

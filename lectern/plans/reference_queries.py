@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from ..clients.base import EchoClient
 from ..functions import dates, jsonmaps, stages, taxonomy, text
 from ..operators import diagnostics, extract, index, sampling, score, trends
 from ..operators.jats import parse_articles
-from ..session import table
+from ..session import scratch, table
+from ..sources import tables, xml_corpus
 
 #: The generic tables' years have stages of their own.
 ORDER_STAGES = (("early", 1995, 1996), ("middle", 1997, 1998), ("late", 1999, 2000))
@@ -68,7 +73,8 @@ def stage_bucket(spark, d):
 
 
 def path_segment(spark, d):
-    paths = facts(spark, d).where(F.startswith("subject", F.lit("/"))).select("row_id", F.split("subject", ";").alias("paths"))
+    """Subfields of the paths in every cell, '' where a cell holds none."""
+    paths = facts(spark, d).select("row_id", F.split(F.coalesce("subject", F.lit("")), ";").alias("paths"))
     return paths.select("row_id", F.array_join(taxonomy.subfields_of_paths(F.col("paths")), "|").alias("subfields"))
 
 
@@ -103,12 +109,13 @@ def mod_shard(spark, d):
 
 
 def union_shards(spark, d):
-    """All shards together are the table."""
-    rows, out = table(spark, d, "article_metadata").select("meta_id", "doi"), None
+    """Three shards, written as CSV and merged again: together they are the table."""
+    rows = table(spark, d, "article_metadata").select("meta_id", "doi", "title")
+    folder = scratch(spark, "shards")
     for i in range(3):
-        part = sampling.hash_shard(rows, i, 3, "meta_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+        tables.write_csv(sampling.hash_shard(rows, i, 3, "meta_id"), f"{folder}/shard-{i}", ["meta_id", "doi", "title"])
+    merged = tables.read_shards(spark, f"{folder}/shard-*", ["meta_id", "doi", "title", "stage"])
+    return merged.select(F.col("meta_id").cast("long").alias("meta_id"), "doi", "title", "stage")
 
 
 def stratified_hash_sample(spark, d):
@@ -126,10 +133,15 @@ def first_seen_distinct(spark, d):
     return seen.select("token", F.col("seen._order").alias("first_id"), F.col("seen._pos").cast("int").alias("first_pos"))
 
 
+def _ledger(spark, d):
+    """Articles whose text is at hand count as run, those with a blank one as failed."""
+    blank = F.length(F.regexp_replace(F.coalesce("body_text", F.lit("")), r"\s", "")) == 0
+    return table(spark, d, "article_texts").select("doi", F.when(blank, "error").otherwise("ok").alias("status"))
+
+
 def resume_anti(spark, d):
-    """Articles that no extraction row has."""
-    todo = table(spark, d, "article_metadata").select("meta_id", "doi")
-    return extract.not_done(todo, facts(spark, d).select("doi", F.lit("ok").alias("status")))
+    """Articles that no finished result of the ledger has; failed ones are run again."""
+    return extract.not_done(table(spark, d, "article_metadata").select("meta_id", "doi"), _ledger(spark, d))
 
 
 def file_exists_semi(spark, d):
@@ -165,21 +177,19 @@ def lead_pick(spark, d):
 
 
 def _two_codings(spark, d):
-    """First and last version of each sample, as gold and model rows."""
-    rows = facts(spark, d).select(
-        "doi", "sample_id", F.col("row_id").alias("pos"), *score.FLAGS, "ses_value",
-        *[F.transform_values(jsonmaps.lenient_map(F.col(p)), lambda _, v: F.coalesce(jsonmaps.lenient_number(v), F.lit(0.0))).alias(p) for _, p in score.CATEGORIES.values()],
-    )
-    one = lambda f: rows.groupBy("doi", "sample_id").agg(f(F.struct(*[c for c in rows.columns if c not in ("doi", "sample_id")]), "pos").alias("x")).select("doi", "sample_id", "x.*")
-    return one(F.min_by), one(F.max_by)
+    """First and last version of each sample, as gold and model rows side by side: one aggregation gives both."""
+    columns = [*score.FLAGS, "ses_value", *[p for _, p in score.CATEGORIES.values()]]
+    row = F.struct(*columns)
+    pairs = facts(spark, d).groupBy("doi", "sample_id").agg(F.min_by(row, "row_id").alias("g"), F.max_by(row, "row_id").alias("m"))
+    number = lambda _, v: F.coalesce(jsonmaps.lenient_number(v), F.lit(0.0))
+    typed = lambda x: F.struct(*[F.transform_values(jsonmaps.lenient_map(x[c]), number).alias(c) if c.endswith("_pct") else x[c].alias(c) for c in columns])
+    return pairs.select("doi", "sample_id", typed(F.col("g")).alias("g"), typed(F.col("m")).alias("m"))
 
 
 def _scores(spark, d):
-    """Articles whose doi ends in 0 weren't run, those in 1 failed; no model row is about sample 3."""
-    gold, model = _two_codings(spark, d)
-    last = F.right("doi", F.lit(1))
-    results = gold.select("doi").distinct().where(last != "0").select("doi", F.when(last == "1", "error").otherwise("ok").alias("status"), F.lit(True).alias("full_keys"))
-    return score.per_article(gold, model.where("sample_id <> 3"), results)
+    """All articles ran; one has all required keys if no version of it lacks its percentages."""
+    results = facts(spark, d).groupBy("doi").agg(F.bool_and(F.col("gender_pct").isNotNull() & F.col("education_pct").isNotNull()).alias("full_keys")).withColumn("status", F.lit("ok"))
+    return score.score_articles(_two_codings(spark, d), results)
 
 
 def score_per_key(spark, d):
@@ -191,9 +201,7 @@ def score_summary(spark, d):
 
 
 def tolerance_map_compare(spark, d):
-    gold, model = _two_codings(spark, d)
-    both = gold.select("doi", "sample_id", F.col("gender_pct").alias("a")).join(model.select("doi", "sample_id", F.col("gender_pct").alias("b")), ["doi", "sample_id"])
-    return both.select("doi", "sample_id", jsonmaps.maps_agree(F.col("a"), F.col("b"), 1.0).alias("agree"))
+    return _two_codings(spark, d).select("doi", "sample_id", jsonmaps.maps_agree(F.col("g.gender_pct"), F.col("m.gender_pct"), 1.0).alias("agree"))
 
 
 def set_match(spark, d):
@@ -204,13 +212,127 @@ def set_match(spark, d):
 
 
 def json_required_keys(spark, d):
-    lacking = jsonmaps.missing_keys(F.col("gender_pct"), ["female", "male"])
-    return facts(spark, d).select("row_id", F.array_join(lacking, ",").alias("missing"))
+    """Keys that the percentages of each row lack."""
+    keys = {"gender_pct": ["female", "male"], "race_pct": ["black", "white"], "education_pct": ["college"]}
+    lacking = [F.array_join(jsonmaps.missing_keys(F.col(c), k), ",").alias(f"missing_{c}") for c, k in keys.items()]
+    return facts(spark, d).select("row_id", *lacking)
+
+
+def _articles(spark, d):
+    return table(spark, d, "article_texts").where("doi is not null").groupBy("doi").agg(F.min_by("body_text", "text_id").alias("text"))
 
 
 def _echo(spark, d):
-    articles = table(spark, d, "article_texts").where("doi is not null").groupBy("doi").agg(F.min_by("body_text", "text_id").alias("text"))
-    return extract.extract(articles, EchoClient, "echo")
+    return extract.extract(_articles(spark, d), EchoClient, "echo")
+
+
+class Unreliable(EchoClient):
+    """Answers well, badly, or not at all, as the digest of the article's doi has it."""
+
+    def generate_batch(self, prompts):
+        if len(prompts) > 1 and any(self._case(p) == "0" for p in prompts):
+            raise RuntimeError("out of memory")  # one bad prompt takes its batch down
+        return [self.generate(p) for p in prompts]
+
+    def _case(self, prompt):
+        return hashlib.md5(re.search(r"Article DOI:\s*(\S+)", prompt)[1].encode()).hexdigest()[0]
+
+    def generate(self, prompt):
+        case, good = self._case(prompt), json.loads(super().generate(prompt))
+        if case == "0":
+            raise RuntimeError("out of memory")
+        if case == "1":
+            return "The article reports no sample."
+        if case == "2":
+            return json.dumps(good[0])
+        if case == "3":
+            return json.dumps([{k: v for k, v in good[0].items() if k != "ses_value"}])
+        if case == "4":
+            return json.dumps([good[0] | {"doi": "another"}])
+        return "[]" if case == "5" else json.dumps([*good, 7] if case == "6" else good)
+
+
+def extract_validation(spark, d):
+    """Every way in which an answer can be refused, and articles beside them that are not."""
+    done = extract.extract(_articles(spark, d), Unreliable, "unreliable")
+    why = F.regexp_extract("error", "(not JSON|not an array|not an object|lacks ses_value|is about|out of memory)", 1)
+    return done.select("doi", "status", F.coalesce(why, F.lit("")).alias("why"), F.coalesce(F.size("rows"), F.lit(-1)).alias("n_rows"))
+
+
+def resume_results(spark, d):
+    """Results written and read again, and the articles that a second run takes up."""
+    folder = scratch(spark, "results")
+    tables.write_results(extract.extract(_articles(spark, d), Unreliable, "my/model"), folder)
+    return extract.not_done(_articles(spark, d).select("doi"), tables.read_results(spark, folder, "my/model"))
+
+
+def article_results(spark, d):
+    """One JSON file per article, read back."""
+    folder = scratch(spark, "files")
+    tables.write_article_results(_echo(spark, d), folder).count()
+    files = spark.read.schema("doi string, model string, status string, rows array<struct<sample_id:int>>").json(f"{folder}/echo", multiLine=True)
+    return files.select("doi", "model", "status", F.col("rows")[0]["sample_id"].alias("sample_id"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+
+
+def csv_round_trip(spark, d):
+    """The index as CSV and back, texts as they were; '' comes back as null."""
+    folder, columns = scratch(spark, "csv"), ["doi", "title", "journal", "publication_date", "year", "stage", "subject"]
+    tables.write_csv(table(spark, d, "corpus_index"), folder, columns)
+    return tables.read_csv(spark, folder, columns)
+
+
+def text_dump(spark, d):
+    """Article texts as files, read back by their names."""
+    folder = scratch(spark, "texts")
+    rows = table(spark, d, "article_texts").select(F.concat(F.lit("t/"), F.col("text_id").cast("string")).alias("doi"), F.col("body_text").alias("text"))
+    tables.write_texts(rows, folder).count()
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5("content").alias("digest"))
+
+
+def corpus_files(spark, d):
+    """The article files as a folder: found, listed with their sizes and read."""
+    folder = scratch(spark, "corpus")
+    rows = table(spark, d, "xml_files").where("xml_text is not null").select(F.col("file_id").cast("string").alias("doi"), F.col("xml_text").alias("text"))
+    tables.write_texts(rows, folder, "xml").count()
+    listed = xml_corpus.list_corpus(spark, folder).select(_name("xml_path"), "n_bytes")
+    texts = xml_corpus.read_files(xml_corpus.present(xml_corpus.list_corpus(spark, folder))).select(_name("xml_path"), F.md5("xml_text").alias("digest"))
+    return listed.join(texts, "file")
+
+
+def _name(column):
+    return F.element_at(F.split(column, "/"), -1).alias("file")
+
+
+def xml_metadata(spark, d):
+    """Articles made of the metadata, as XML, and what the parser reads from them."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    e = lambda name, c: F.when(c.isNull(), "").otherwise(F.concat(F.lit(f"<{name}>"), escaped(c), F.lit(f"</{name}>")))
+    wrap = lambda name, *c: F.concat(F.lit(f"<{name}>"), *c, F.lit(f"</{name.split()[0]}>"))
+    day = F.col("publication_date")
+    part = lambda f: e(f, F.date_format(day, {"year": "yyyy", "month": "MM", "day": "dd"}[f]))
+    below = F.array_join(F.transform(F.coalesce("psychology_subfields", F.array().cast("array<string>")), lambda x: wrap("subj-group", e("subject", x))), "")
+    text = F.concat(
+        F.lit('<article article-type="'), escaped(F.coalesce("article_type", F.lit(""))), F.lit('"><front>'), wrap("journal-meta", wrap("journal-title-group", e("journal-title", F.col("journal")))),
+        F.lit("<article-meta>"), wrap('article-id pub-id-type="doi"', escaped(F.coalesce("doi", F.lit("")))), wrap("article-categories", wrap('subj-group subj-group-type="Discipline-v3"', F.lit("<subject>Psychology</subject>"), below)),
+        wrap("title-group", e("article-title", F.col("title"))),
+        F.lit('<contrib-group><contrib contrib-type="author"><xref ref-type="aff" rid="a1"/></contrib><contrib contrib-type="author" corresp="yes"><xref ref-type="fn" rid="a1"/><xref ref-type="aff" rid="a2"/></contrib></contrib-group>'),
+        F.lit('<aff id="a1">first</aff><aff id="a2">'), e("institution", F.col("lead_institution")), F.lit("</aff>"),
+        F.when(day.isNull(), "").otherwise(F.concat(F.lit('<pub-date pub-type="ppub"><year>1900</year></pub-date>'), wrap('pub-date pub-type="epub"', part("day"), part("month"), part("year")))),
+        F.lit("</article-meta></front></article>"),
+    )
+    a = parse_articles(table(spark, d, "article_metadata").select("meta_id", text.alias("xml_text")))
+    return a.select("meta_id", "article.doi", "article.title", "article.journal", "article.article_type", F.col("article.publication_date").cast("string").alias("day"), F.array_join("article.psychology_subfields", "|").alias("subfields"), "article.lead_institution", "article.error")
+
+
+def xml_sections(spark, d):
+    """Texts as articles of one section a line, and the parser's text of them: sections on methods and samples first."""
+    line = lambda x: F.concat(F.lit("<sec><title>"), x, F.lit("</title><p>.</p></sec>"))
+    clean = F.regexp_replace("body_text", r"[^\n a-zA-Z0-9.,;:()\-]", "")
+    lines = F.filter(F.split(clean, "\n"), lambda x: x.rlike("[a-z]"))
+    body = F.concat(F.lit("<article><body>"), F.array_join(F.transform(lines, lambda x: line(F.trim(x))), ""), F.lit("</body></article>"))
+    a = parse_articles(table(spark, d, "article_texts").where("body_text is not null").select("text_id", body.alias("xml_text")))
+    return a.select("text_id", F.md5("article.extraction_text").alias("digest"))
 
 
 def echo_extract(spark, d):
@@ -219,17 +341,18 @@ def echo_extract(spark, d):
 
 
 def echo_facts(spark, d):
-    """Samples with their article's columns, which come from the index."""
+    """Samples with their article's columns, which come from the index and go through the extraction."""
     about = table(spark, d, "article_metadata").groupBy("doi").agg(
         F.max_by("psychology_subfields", "meta_id").alias("matched_subfields"), F.max_by("subject_level_1", "meta_id").alias("subject_level_1"), F.max_by("subject", "meta_id").alias("subject"),
         F.max("publication_date").alias("publication_date"), F.max("lead_institution").alias("lead_institution"),
     )
     about = about.withColumns({"year": F.year("publication_date"), "stage": stages.stage_of_date(F.col("publication_date"))})
-    return extract.facts(_echo(spark, d), about).select("doi", "sample_id", "subfield", "year", "stage", "ses_reported")
+    done = extract.extract(_articles(spark, d).join(about, "doi"), EchoClient, "echo", extract.ARTICLE_COLUMNS)
+    return extract.facts(done).select("doi", "sample_id", "subfield", "year", "stage", "ses_reported")
 
 
 def gold_template(spark, d):
-    sample = table(spark, d, "corpus_index").where("year = 2019").select("doi", "subfield", "title", "xml_path")
+    sample = table(spark, d, "corpus_index").select("doi", "subfield", "title", "xml_path")
     return extract.gold_template(sample).select("doi", "subfield", "title", "sample_id", "gender_reported", "gender_pct", "ses_value")
 
 
@@ -291,7 +414,7 @@ _ALL = (
     rate_by_year_stage, reporting_rate_by_year, reporting_rate_by_stage, share_within_stage, share_within_year, map_unpivot_mean, means_by_year_stage, stage_order,
     order_rate_by_year_stage, stage_bucket, path_segment, doi_path, list_tokens, priority_reorder, prompt_build, systematic_sample, mod_shard, union_shards,
     stratified_hash_sample, stratified_python_sample, first_seen_distinct, resume_anti, file_exists_semi, file_missing_anti, inclusion_filter, inclusion_funnel,
-    cumulative_filters, lead_pick, score_per_key, score_summary, tolerance_map_compare, set_match, json_required_keys, echo_extract, echo_facts, gold_template,
+    cumulative_filters, lead_pick, score_per_key, score_summary, tolerance_map_compare, set_match, json_required_keys, echo_extract, echo_facts, extract_validation, resume_results, article_results, csv_round_trip, text_dump, corpus_files, xml_metadata, xml_sections, gold_template,
     year_histogram_none, conditional_counts, top_frequency, first_n_per_bucket, date_fallback, token_membership, xml_index, xml_rejected, xml_text, search_index, round_hundreds,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -341,7 +464,7 @@ SELECT year, stage, 100.0::double * count(*) FILTER (l_returnflag = 'R') / count
 SELECT row_id, coalesce(array_to_string(list_transform(list_filter(u, lambda x, i: list_position(u, x) = i), lambda x: x), '|'), '') AS subfields FROM (
   SELECT row_id, list_filter(list_transform(list_transform(string_split(subject, ';'), lambda p: list_filter(string_split(p, '/'), lambda x: x <> '')),
     lambda a: CASE WHEN list_contains(a, 'Psychology') THEN coalesce(a[list_position(a, 'Psychology') + 1], 'Psychology') END), lambda x: x IS NOT NULL) AS u
-  FROM demographics_table WHERE starts_with(subject, '/'))""",
+  FROM (SELECT row_id, coalesce(subject, '') AS subject FROM demographics_table))""",
     "doi_path": "SELECT doi, '/data/corpus/' || split_part(doi, '/', -1) || '.xml' AS path, replace(doi, '/', '_') AS file FROM corpus_index",
     "list_tokens": "SELECT doi, len(t)::int AS n, array_to_string(t, ';') AS joined, split_part(subject, ';', 1) AS first_token FROM (SELECT doi, subject, list_filter(list_transform(string_split(coalesce(subject, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS t FROM corpus_index)",
     "priority_reorder": """
@@ -356,12 +479,12 @@ FROM (SELECT doc_id, list_filter(string_split(text, e'\\n'), lambda x: x <> '')
     + "' AS p FROM article_texts)",
     "systematic_sample": "SELECT meta_id, doi FROM (SELECT *, row_number() OVER (ORDER BY meta_id) - 1 AS i, count(*) OVER () AS n FROM article_metadata) WHERE i % greatest(1, n // 100) = 0",
     "mod_shard": "SELECT meta_id, doi FROM (SELECT *, row_number() OVER (ORDER BY meta_id) - 1 AS i FROM article_metadata) WHERE i % 7 = 2",
-    "union_shards": "SELECT meta_id, doi FROM article_metadata",
+    "union_shards": "SELECT meta_id, doi, nullif(title, '') AS title, NULL::varchar AS stage FROM article_metadata",
     "stratified_hash_sample": """
 WITH a AS (SELECT doi, arg_max(psychology_subfields, meta_id) AS s FROM article_metadata GROUP BY doi), w AS (SELECT doi, unnest(list_distinct(s)) AS subfield FROM a)
 SELECT subfield, doi FROM (SELECT *, count(*) OVER (PARTITION BY subfield) AS n FROM w) WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY subfield ORDER BY md5(doi || '|42'), doi) <= 2""",
     "first_seen_distinct": "SELECT token, m.a AS first_id, m.b::int AS first_pos FROM (SELECT token, min({'a': meta_id, 'b': pos}) AS m FROM (SELECT meta_id, unnest(psychology_subfields) AS token, generate_subscripts(psychology_subfields, 1) - 1 AS pos FROM article_metadata) GROUP BY token)",
-    "resume_anti": "SELECT meta_id, doi FROM article_metadata ANTI JOIN demographics_table USING (doi)",
+    "resume_anti": r"SELECT meta_id, doi FROM article_metadata ANTI JOIN (SELECT doi FROM article_texts WHERE regexp_replace(coalesce(body_text, ''), '\s', '', 'g') <> '') USING (doi)",
     "file_exists_semi": "SELECT doi, xml_path FROM corpus_index SEMI JOIN xml_files USING (xml_path)",
     "file_missing_anti": "SELECT doi, xml_path FROM corpus_index ANTI JOIN xml_files USING (xml_path)",
     "inclusion_filter": f"SELECT meta_id, doi FROM (SELECT *, {_INCLUDED} FROM article_metadata) WHERE journal_ok AND type_ok AND date_ok AND subfield_ok",
@@ -370,10 +493,20 @@ SELECT subfield, doi FROM (SELECT *, count(*) OVER (PARTITION BY subfield) AS n
     "lead_pick": "SELECT doi, arg_max(coalesce(lead_institution, ''), {'f': trim(coalesce(lead_institution, '')) <> '', 'm': -meta_id}) AS lead_institution FROM article_metadata GROUP BY doi",
     "tolerance_map_compare": f"WITH {_VERSIONS} SELECT doi, sample_id, {_agree('gender_pct')} AS agree FROM gold g JOIN model m USING (doi, sample_id)",
     "set_match": "SELECT doi, a = b AS same, len(list_intersect(a, b))::int AS common FROM (SELECT doi, coalesce(list_sort(list(DISTINCT sample_id) FILTER (gender_reported = 1)), []) AS a, coalesce(list_sort(list(DISTINCT sample_id) FILTER (race_reported = 1)), []) AS b FROM demographics_table GROUP BY doi)",
-    "json_required_keys": "SELECT row_id, array_to_string(list_filter(['female', 'male'], lambda x: NOT list_contains(CASE WHEN json_valid(gender_pct) THEN coalesce(json_keys(gender_pct), []) ELSE [] END, x)), ',') AS missing FROM demographics_table",
+    "json_required_keys": "SELECT row_id, array_to_string(list_filter(['female', 'male'], lambda x: NOT list_contains(CASE WHEN json_valid(gender_pct) THEN coalesce(json_keys(gender_pct), []) ELSE [] END, x)), ',') AS missing_gender_pct, array_to_string(list_filter(['black', 'white'], lambda x: NOT list_contains(CASE WHEN json_valid(race_pct) THEN coalesce(json_keys(race_pct), []) ELSE [] END, x)), ',') AS missing_race_pct, array_to_string(list_filter(['college'], lambda x: NOT list_contains(CASE WHEN json_valid(education_pct) THEN coalesce(json_keys(education_pct), []) ELSE [] END, x)), ',') AS missing_education_pct FROM demographics_table",
     "echo_extract": "SELECT DISTINCT doi, 'ok' AS status, 1 AS sample_id, 0 AS gender_reported, 0 AS race_reported, 0 AS education_reported, 0 AS ses_reported, '{}' AS gender_pct FROM article_texts WHERE doi IS NOT NULL",
+    "extract_validation": "SELECT doi, CASE WHEN why = '' THEN 'ok' ELSE 'error' END AS status, why, CASE WHEN why <> '' THEN -1 WHEN left(md5(doi), 1) = '5' THEN 0 ELSE 1 END AS n_rows FROM (SELECT DISTINCT doi, CASE left(md5(doi), 1) WHEN '0' THEN 'out of memory' WHEN '1' THEN 'not JSON' WHEN '2' THEN 'not an array' WHEN '3' THEN 'lacks ses_value' WHEN '4' THEN 'is about' WHEN '6' THEN 'not an object' ELSE '' END AS why FROM article_texts WHERE doi IS NOT NULL)",
+    "resume_results": "SELECT DISTINCT doi FROM article_texts WHERE doi IS NOT NULL AND left(md5(doi), 1) IN ('0', '1', '2', '3', '4', '6')",
+    "article_results": "SELECT DISTINCT doi, 'echo' AS model, 'ok' AS status, 1 AS sample_id, replace(doi, '/', '_') || '.json' AS file FROM article_texts WHERE doi IS NOT NULL",
+    "csv_round_trip": "SELECT nullif(doi, '') AS doi, nullif(title, '') AS title, nullif(journal, '') AS journal, publication_date::varchar AS publication_date, year::varchar AS year, nullif(stage, '') AS stage, nullif(subject, '') AS subject FROM corpus_index",
+    "text_dump": "SELECT 't_' || text_id || '.txt' AS file, md5(body_text) AS digest FROM article_texts WHERE body_text IS NOT NULL",
+    "corpus_files": "SELECT file_id || '.xml' AS file, octet_length(encode(xml_text)) AS n_bytes, md5(xml_text) AS digest FROM xml_files WHERE xml_text IS NOT NULL",
+    "xml_metadata": r"SELECT meta_id, trim(doi) AS doi, coalesce(trim(title), '') AS title, coalesce(trim(journal), '') AS journal, coalesce(article_type, '') AS article_type, publication_date::varchar AS day, CASE WHEN len(s) > 0 THEN array_to_string(s, '|') ELSE 'Psychology' END AS subfields, nullif(trim(lead_institution), '') AS lead_institution, NULL::varchar AS error FROM (SELECT *, list_filter(psychology_subfields, lambda x, i: list_position(psychology_subfields, x) = i) AS s FROM article_metadata)",
+    "xml_sections": r"""
+SELECT text_id, md5(coalesce(array_to_string(list_transform(list_concat(list_filter(a, lambda x: regexp_matches(lower(x), 'method|participant|sample|procedure')), list_filter(a, lambda x: NOT regexp_matches(lower(x), 'method|participant|sample|procedure'))), lambda x: x || '.'), e'\n\n'), '')) AS digest
+FROM (SELECT text_id, list_transform(list_filter(string_split(regexp_replace(body_text, '[^\n a-zA-Z0-9.,;:()-]', '', 'g'), e'\n'), lambda x: regexp_matches(x, '[a-z]')), lambda x: trim(x)) AS a FROM article_texts WHERE body_text IS NOT NULL)""",
     "echo_facts": f"SELECT doi, 1 AS sample_id, s[1] AS subfield, year(p)::int AS year, {_STAGE.format(y='year(p)')} AS stage, 0 AS ses_reported FROM (SELECT doi, arg_max(psychology_subfields, meta_id) AS s, max(publication_date) AS p FROM article_metadata GROUP BY doi) SEMI JOIN article_texts USING (doi)",
-    "gold_template": "SELECT coalesce(doi, '') AS doi, coalesce(subfield, '') AS subfield, coalesce(title, '') AS title, 1 AS sample_id, '' AS gender_reported, '{}' AS gender_pct, '' AS ses_value FROM corpus_index WHERE year = 2019",
+    "gold_template": "SELECT coalesce(doi, '') AS doi, coalesce(subfield, '') AS subfield, coalesce(title, '') AS title, 1 AS sample_id, '' AS gender_reported, '{}' AS gender_pct, '' AS ses_value FROM corpus_index",
     "year_histogram_none": "SELECT coalesce(year::varchar, 'NONE') AS bucket, count(*) AS n FROM demographics_table GROUP BY 1",
     "conditional_counts": "SELECT source, count(*) AS n, count(*) FILTER (n_chars > 1000) AS n_long, count(*) FILTER (contains(lower(text), 'study')) AS n_study, count(*) FILTER (coalesce(text, '') = '') AS n_empty FROM documents WHERE source IS NOT NULL GROUP BY source",
     "top_frequency": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
@@ -394,13 +527,13 @@ _SCORES = f"""WITH {_VERSIONS}, both_sides AS (
   SELECT g.doi, m.row_id IS NOT NULL AS there, CASE WHEN m.row_id IS NOT NULL THEN {_FLAGS} ELSE 0 END AS flag_correct,
     CASE WHEN m.row_id IS NOT NULL THEN {" + ".join(f"CAST({a} AS INT)" for a, _ in _GATES)} ELSE 0 END AS num_total,
     CASE WHEN m.row_id IS NOT NULL THEN {" + ".join(f"CAST({a} AND {b} AS INT)" for a, b in _GATES)} ELSE 0 END AS num_correct
-  FROM gold g LEFT JOIN (SELECT * FROM model WHERE sample_id <> 3) m USING (doi, sample_id)
+  FROM gold g LEFT JOIN model m USING (doi, sample_id)
 ), sums AS (
-  SELECT doi, right(doi, 1) NOT IN ('0', '1') AS ok, count(*) AS n_gold, count(*) FILTER (there) AS n_model, sum(flag_correct)::bigint AS fc, sum(num_total)::bigint AS nt, sum(num_correct)::bigint AS nc FROM both_sides GROUP BY doi
+  SELECT doi, true AS ok, count(*) AS n_gold, count(*) FILTER (there) AS n_model, sum(flag_correct)::bigint AS fc, sum(num_total)::bigint AS nt, sum(num_correct)::bigint AS nc FROM both_sides GROUP BY doi
 ), scores AS (
   SELECT doi, n_gold AS n_gold_samples, CASE WHEN ok THEN n_model ELSE 0 END AS n_model_samples, CASE WHEN ok THEN 4 * n_model ELSE 0 END AS flag_total, CASE WHEN ok THEN fc ELSE 0 END AS flag_correct,
     CASE WHEN ok THEN fc::double / nullif(4 * n_model, 0) ELSE 0.0 END AS reporting_flag_accuracy, CASE WHEN ok THEN nt ELSE 0 END AS num_total, CASE WHEN ok THEN nc ELSE 0 END AS num_correct,
-    ok AND n_gold = n_model AS sample_count_match, ok AS schema_ok FROM sums)
+    ok AND n_gold = n_model AS sample_count_match, schema_ok FROM sums JOIN (SELECT doi, bool_and(gender_pct IS NOT NULL AND education_pct IS NOT NULL) AS schema_ok FROM demographics_table GROUP BY doi) USING (doi))
 """
 SQL["score_per_key"] = _SCORES + "SELECT * FROM scores"
 SQL["score_summary"] = _SCORES + """

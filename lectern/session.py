@@ -6,7 +6,9 @@ import atexit
 import gc
 import os
 import shutil
+import sys
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -82,8 +84,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted by clean."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _settled.append(path)
+    return path
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
@@ -93,7 +97,6 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     ship(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
-    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,8 +117,28 @@ _settled: list[str] = []
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete the tables that steps have settled, once their results are written."""
+    """Delete what steps have left in the shared folder, once their results are written."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _settled:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def progress(spark: SparkSession, label: str, every: float = 10.0) -> Iterator[None]:
+    """While the body runs, a line now and then with the tasks done of those in its running stages."""
+    done, tracker = threading.Event(), spark.sparkContext.statusTracker()
+
+    def tell() -> None:
+        while not done.wait(every):
+            stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+            if stages:
+                print(f"{label}: {sum(x.numCompletedTasks for x in stages)} of {sum(x.numTasks for x in stages)} tasks done", file=sys.stderr, flush=True)
+
+    teller = threading.Thread(target=tell, daemon=True)
+    teller.start()
+    try:
+        yield
+    finally:
+        done.set()
+        teller.join()

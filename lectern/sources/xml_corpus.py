@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import canonical_path
+from ..operators.consolidate import open_fs
+from ..session import ship
 
 
 class CorpusNotFoundError(FileNotFoundError):
@@ -47,3 +51,43 @@ def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus_size(spark: SparkSession, folder: str) -> int:
     return list_corpus(spark, folder).count()
+
+
+def read_files(rows: DataFrame, column: str = "xml_path") -> DataFrame:
+    """rows with the text of the file that each names, in a column xml_text:
+    tasks read the files, however many there are. A null path, a missing file
+    and one that isn't UTF-8 give null."""
+
+    def read(batches):
+        for b in batches:
+            texts = []
+            for p in b[column]:
+                try:
+                    fs, base = open_fs(p)
+                    with fs.open_input_stream(base, compression=None) as f:
+                        texts.append(f.read().decode())
+                except (OSError, ValueError, AttributeError):
+                    texts.append(None)
+            yield b.assign(xml_text=pd.Series(texts, index=b.index, dtype=object))
+
+    ship(rows.sparkSession)
+    rows = rows.drop("xml_text")
+    return rows.mapInPandas(read, T.StructType([*rows.schema, T.StructField("xml_text", T.StringType())]))
+
+
+def present(rows: DataFrame, column: str = "xml_path") -> DataFrame:
+    """The rows whose file exists, looked up by the tasks."""
+
+    def look(batches):
+        for b in batches:
+            kept = []
+            for p in b[column]:
+                try:
+                    fs, base = open_fs(p)
+                    kept.append(fs.get_file_info(base).type.name == "File")
+                except (OSError, ValueError, AttributeError):
+                    kept.append(False)
+            yield b[pd.Series(kept, index=b.index, dtype=bool)]
+
+    ship(rows.sparkSession)
+    return rows.mapInPandas(look, rows.schema)

@@ -295,9 +295,78 @@ def test_results_are_written_and_resumed(spark, tmp_path):
     tables.write_results(extract.extract(articles, partial(build_client, "echo"), "my/model"), folder)
     back = tables.read_results(spark, folder, "my/model")
     assert back.where("status = 'ok'").count() == 2 and extract.not_done(articles, back).count() == 0
-    about = spark.createDataFrame([("10.1/a", ["S"])], "doi string, matched_subfields array<string>").withColumns({c: F.lit(None).cast("string") for c in ("subject_level_1", "subject", "publication_date", "year", "stage", "lead_institution")})
-    facts = extract.facts(back, about)
-    assert facts.columns == FACT_COLUMNS and [(r["doi"], r["subfield"], r["sample_id"]) for r in facts.collect()] == [("10.1/a", "S", 1)]
+    tables.write_article_results(back, f"{tmp_path}/files").count()
+    one = json.loads((tmp_path / "files/my__model/10.1_a.json").read_text())
+    assert one["doi"] == "10.1/a" and one["status"] == "ok" and [r["sample_id"] for r in one["rows"]] == [1]
+
+
+def test_facts_have_the_columns_of_their_article(spark):
+    columns = "doi string, text string, matched_subfields array<string>, subject_level_1 array<string>, subject array<string>, publication_date date, year int, stage string, lead_institution string"
+    articles = spark.createDataFrame([("a", "t", ["S", "R"], None, None, None, 2012, "early", "I"), ("b", "t", None, None, None, None, None, None, None), ("b", "t", [], None, None, None, 1, None, None)], columns)
+    facts = extract.facts(extract.extract(articles, EchoClient, "m", extract.ARTICLE_COLUMNS))
+    assert facts.columns == FACT_COLUMNS
+    assert sorted((tuple(r) for r in facts.select("doi", "subfield", "sample_id", "year", "lead_institution").collect()), key=str) == [("a", "S", 1, 2012, "I"), ("b", None, 1, 1, None), ("b", None, 1, None, None)]
+
+
+class Batched(OneByOne):
+    """Batches that fail, or come back short or long, as the model's name says; one prompt always fails."""
+
+    def __init__(self, model):
+        if model == "unbuilt":
+            raise RuntimeError("no GPU")
+        self.model = model
+
+    def generate_batch(self, prompts):
+        if len(prompts) > 2 and self.model == "fails" or any("DOI: bad" in p for p in prompts):
+            raise RuntimeError("out of memory")
+        got = [EchoClient("m").generate(p) for p in prompts]
+        return got[1:] if self.model == "short" and len(got) > 1 else got + got[:1] if self.model == "long" and len(got) > 1 else got
+
+
+@pytest.mark.parametrize("model", ["fine", "fails", "short", "long", "unbuilt"])
+def test_one_failing_batch_fails_no_other_article(spark, model):
+    dois = ["a", "b", "bad", "c", "d", "gone"]
+    articles = spark.createDataFrame([(d, "t", "no such file" if d == "gone" else None) for d in dois], "doi string, text string, problem string").coalesce(1)
+    got = {r["doi"]: r for r in extract.extract(articles, Batched, model).collect()}
+    assert set(got) == set(dois) and got["gone"]["error"] == "no such file"
+    if model == "unbuilt":
+        assert all(r["status"] == "error" for r in got.values()) and "no GPU" in got["a"]["error"]
+    else:
+        assert "out of memory" in got["bad"]["error"] and all(got[d]["status"] == "ok" and got[d]["rows"][0]["doi"] == d for d in "abcd")
+
+
+def test_answers_are_sorted_by_their_request(monkeypatch):
+    import sys
+    import types
+
+    made = {}
+
+    class LLM:
+        def __init__(self, model, **options):
+            made.update(options)
+
+        def generate(self, prompts, params):
+            out = [types.SimpleNamespace(request_id=str(i), outputs=[types.SimpleNamespace(text=p)]) for i, p in enumerate(prompts)]
+            return out[::-1]
+
+    monkeypatch.setitem(sys.modules, "vllm", types.SimpleNamespace(LLM=LLM, SamplingParams=dict))
+    prompts = [f"p{i}" for i in range(12)]
+    assert build_client("vllm", "m", tensor_parallel_size=4).generate_batch(prompts) == prompts and made == {"dtype": "bfloat16", "tensor_parallel_size": 4}
+
+
+def test_transformers_run_in_half_precision(monkeypatch):
+    import sys
+    import types
+
+    made = {}
+
+    def pipeline(task, **options):
+        made.update(options)
+        return lambda prompt, **asked: [{"generated_text": f"{prompt} {asked['do_sample']}"}]
+
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(bfloat16="bf16"))
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(pipeline=pipeline))
+    assert build_client("transformers", "m").generate_batch(["p"]) == ["p False"] and made["torch_dtype"] == "bf16" and made["device_map"] == "auto"
 
 
 def test_unknown_client():
@@ -405,7 +474,7 @@ def test_every_year_in_range_has_one_stage(year):
     assert sum(a <= year <= b for _, a, b in stages.STAGES) == 1
 
 
-def test_commands(spark, tmp_path):
+def test_commands(spark, tmp_path, capfd):
     from lectern import cli
 
     (tmp_path / "corpus").mkdir()
@@ -416,13 +485,19 @@ def test_commands(spark, tmp_path):
     cli.main(["build-corpus-index", "--corpus-dir", t("corpus"), "--out", t("index.csv")])
     cli.main(["sample-articles", "--index", t("index.csv"), "--out", t("sample.csv")])
     cli.main(["make-gold-template", "--sample", t("sample.csv"), "--out", t("gold.csv"), "--text-dir", t("texts")])
+    cli.main(["run-pilot", "--sample", t("sample.csv"), "--results-dir", t("results"), "--model", "m", "--article-files", t("files")])
     cli.main(["run-pilot", "--sample", t("sample.csv"), "--results-dir", t("results"), "--model", "m"])
+    assert len(list((tmp_path / "files/m").glob("*.json"))) == 2 and "m: 0 ok, 0 error, 2 skipped" in capfd.readouterr().out
     cli.main(["score-pilot", "--gold", t("gold.csv"), "--results-dir", t("results"), "--model", "m", "--out", t("scores.csv")])
-    cli.main(["run-pipeline", "--index", t("index.csv"), "--out", t("facts.csv"), "--results-dir", t("results2"), "--model", "m"])
+    for shard in ("0", "1", "0"):
+        cli.main(["run-pipeline", "--index", t("index.csv"), "--out", t("facts.csv"), "--results-dir", t("results2"), "--model", "m", "--shard-index", shard, "--shard-count", "2", "--tensor-parallel-size", "4"])
     cli.main(["merge-shards", "--glob", t("facts.csv/part*"), "--out", t("all.csv")])
     cli.main(["analyze-trends", "--table", t("all.csv"), "--out-dir", t("trends"), "--no-plots"])
     assert spark.read.csv(t("scores.csv"), header=True).count() == 2 and len(list((tmp_path / "texts").glob("*.txt"))) == 2
     assert spark.read.csv(t("all.csv"), header=True).count() == 4
+    said = capfd.readouterr().out
+    for line in ("shard 0 of 2: 2 articles, 2 samples", "shard 0 of 2: 0 articles, 0 samples", "4 rows merged"):
+        assert line in said, line
     assert spark.read.csv(t("trends/gender_reporting_rate_by_year.csv"), header=True).first()["reporting_rate_pct"] == "0.0"
 
 
