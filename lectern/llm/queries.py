@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import settle, table
 from . import mix, names, pii, sample, split, tokens
 
 STRATA = ["stage", "subfield"]
@@ -41,8 +41,21 @@ def p4_rejoined(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("text_id", F.md5(F.array_join(F.col("parts.part"), "")).alias("digest"))
 
 
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The plan and the sample drawn by it."""
+    rows = table(spark, d, "corpus_index")
+    planned = sample.plan(rows, "doi", STRATA, table(spark, d, "sample_targets"))
+    return planned, sample.draw(rows, "doi", STRATA, planned, SEED)
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return sample.plan(table(spark, d, "corpus_index"), "doi", STRATA, table(spark, d, "sample_targets"))
+    """Targets, quotas, rows drawn and residual gaps of all strata."""
+    return sample.reached(*_sampled(spark, d), STRATA)
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What of the report doesn't depend on raking and draw."""
+    return p6_report(spark, d).select(*STRATA, "target_share", "min_rows", "available", "wanted", "short")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +63,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sample.draw(table(spark, d, "corpus_index"), "doi", STRATA, p6_report(spark, d), SEED)
+    return _sampled(spark, d)[1]
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -63,28 +76,35 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", "source").join(p8_ids(spark, d).select("doc_id", F.size("ids").alias("n_tokens")), "doc_id")
+    """(doc_id, source, n_tokens), settled."""
+    ids = tokens.encode(table(spark, d, "documents"), "doc_id", "text", tokens.load_ranks(), keep=("source",))
+    return settle(ids.select("doc_id", "source", F.size("ids").alias("n_tokens")), "sizes")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mixture and the plan that it follows."""
+    sizes = document_sizes(spark, d)
+    planned = mix.plan(sizes, table(spark, d, "mix_targets"))
+    return mix.mix(sizes, "doc_id", planned, seed=SEED), planned
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    from ..session import settle
+    """Budgets, copies, tokens taken, shares reached and gaps of all sources."""
+    return mix.reached(*_mixed(spark, d))
+
 
-    sizes = settle(document_sizes(spark, d), "sizes")
-    report = mix.plan(sizes, table(spark, d, "mix_targets"))
-    return mix.reached(mix.mix(sizes, "doc_id", report, seed=SEED), report)
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What of the report doesn't depend on tokens."""
+    return p9_report(spark, d).select("source", "target_share", "max_repeats", "documents")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mix.plan(document_sizes(spark, d), table(spark, d, "mix_targets")).where("short").select("source")
+    return p9_report(spark, d).where("short").select("source")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """How often each document is used."""
-    from ..session import settle
-
-    sizes = settle(document_sizes(spark, d), "sizes")
-    return mix.mix(sizes, "doc_id", mix.plan(sizes, table(spark, d, "mix_targets")), seed=SEED)
+    return _mixed(spark, d)[0]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,11 +116,24 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p4_found, p4_pieces, p4_rejoined, p6_found, p6_report, p6_sample, p8_ids, p8_decoded, p9_found, p9_report, p9_mixture, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_entities, p4_found, p4_pieces, p4_rejoined, p6_found, p6_report, p6_counts, p6_sample, p8_ids, p8_decoded, p9_found, p9_report, p9_counts, p9_mixture, p10_found, p10_redacted)}
 
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _FOLD = "lower(regexp_replace({0}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))"
 
+_STRATA_SQL = f"""
+WITH k AS (
+  SELECT DISTINCT doi, {_FOLD.format("stage")} AS stage, {_FOLD.format("subfield")} AS subfield FROM corpus_index
+), known AS (SELECT * FROM k WHERE stage <> '' AND subfield <> '' AND doi IS NOT NULL),
+n AS (SELECT stage, subfield, count(*) AS n FROM known GROUP BY ALL),
+s AS (SELECT count(DISTINCT doi) // 5 AS s FROM known),
+asked AS (
+  SELECT t.stage, t.subfield, t.target_share, t.min_rows, coalesce(n.n, 0) AS available, t.target_share * s.s AS wanted,
+    coalesce(n.n, 0) < t.min_rows OR coalesce(n.n, 0) < t.target_share * s.s AS short
+  FROM sample_targets t CROSS JOIN s LEFT JOIN n ON n.stage = {_FOLD.format("t.stage")} AND n.subfield = {_FOLD.format("t.subfield")}
+)
+"""
+
 SQL = {
     "p4_found": f"""
 WITH t AS (SELECT text_id, body_text, max_chars FROM article_texts JOIN split_limits USING (size_class) WHERE length(body_text) > max_chars)
@@ -109,15 +142,8 @@ SELECT text_id, 'unbroken' AS kind FROM t
 WHERE list_max(list_transform(regexp_split_to_array(body_text, '{_BLANK}+'), lambda x: length(x))) > max_chars
 """,
     "p4_rejoined": "SELECT text_id, md5(body_text) AS digest FROM article_texts WHERE body_text IS NOT NULL",
-    "p6_found": f"""
-WITH k AS (
-  SELECT DISTINCT doi, {_FOLD.format("stage")} AS stage, {_FOLD.format("subfield")} AS subfield FROM corpus_index
-), known AS (SELECT * FROM k WHERE stage <> '' AND subfield <> '' AND doi IS NOT NULL),
-n AS (SELECT stage, subfield, count(*) AS n FROM known GROUP BY ALL),
-s AS (SELECT count(DISTINCT doi) // 5 AS s FROM known)
-SELECT t.stage, t.subfield FROM sample_targets t CROSS JOIN s
-LEFT JOIN n ON n.stage = {_FOLD.format("t.stage")} AND n.subfield = {_FOLD.format("t.subfield")}
-WHERE coalesce(n.n, 0) < t.min_rows OR coalesce(n.n, 0) < t.target_share * s.s
-""",
+    "p6_found": _STRATA_SQL + "SELECT t.stage, t.subfield FROM asked t WHERE short",
+    "p6_counts": _STRATA_SQL + "SELECT stage, subfield, target_share, min_rows, available, wanted, short FROM asked",
+    "p9_counts": "SELECT source, target_share, max_repeats, (SELECT count(*) FROM documents d WHERE d.source = t.source) AS documents FROM mix_targets t WHERE source IS NOT NULL",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

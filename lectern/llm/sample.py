@@ -88,9 +88,8 @@ def whole_quotas(sizes: dict, fitted: dict, least: dict, total: int) -> dict:
 
 
 def plan(rows: DataFrame, key: str, margins: list[str], targets: DataFrame, fraction: float = 0.2, size: int | None = None) -> DataFrame:
-    """A report row per target stratum: margins as in targets, target_share,
-    min_rows, available, wanted, fitted, quota, gap (rows by which the quota
-    falls short of the target or minimum), short (whether it has too few rows).
+    """A row per target stratum: margins as in targets, target_share, min_rows,
+    available, wanted, fitted, quota.
 
     The driver holds the targets and one count per stratum.
     """
@@ -111,18 +110,26 @@ def plan(rows: DataFrame, key: str, margins: list[str], targets: DataFrame, frac
     quota = whole_quotas(sizes, fitted, least, size)
     out = []
     for c, r in cell.items():
-        n = sizes.get(c, 0)
-        gap = max(0.0, max(wanted[c], float(least[c])) - quota[c])
-        out.append((*[r[m] for m in margins], r["target_share"], r["min_rows"], n, wanted[c], fitted[c], quota[c], gap, n < least[c] or n < wanted[c]))
+        out.append((*[r[m] for m in margins], r["target_share"], r["min_rows"], sizes.get(c, 0), wanted[c], fitted[c], quota[c]))
     schema = ", ".join(f"{m} string" for m in margins)
-    return spark.createDataFrame(
-        out, f"{schema}, target_share double, min_rows int, available long, wanted double, fitted double, quota long, gap double, short boolean"
-    )
+    return spark.createDataFrame(out, f"{schema}, target_share double, min_rows int, available long, wanted double, fitted double, quota long")
+
+
+def reached(planned: DataFrame, sample: DataFrame, margins: list[str]) -> DataFrame:
+    """The plan with the rows drawn, the residual gap to target and minimum,
+    and whether it is one of supply (short): strata without a gap had enough
+    rows, and of the others those are short whose rows are fewer than the
+    target or the minimum asks for; the rest of the gaps is rounding, or what
+    minimums elsewhere have taken."""
+    drawn = sample.groupBy(*margins).agg(F.count(F.lit(1)).alias("drawn"))
+    asked = F.greatest(F.col("wanted"), F.coalesce("min_rows", F.lit(0)).cast("double"))
+    out = planned.join(drawn, margins, "left").fillna(0, ["drawn"]).withColumn("gap", F.greatest(F.lit(0.0), asked - F.col("drawn")))
+    return out.withColumn("short", (F.col("gap") > 0) & (F.col("available") < asked))
 
 
-def draw(rows: DataFrame, key: str, margins: list[str], report: DataFrame, seed: int = 0) -> DataFrame:
-    """(key, margins as in the report) of the sample."""
-    weights = report.where("quota > 0").select(
+def draw(rows: DataFrame, key: str, margins: list[str], planned: DataFrame, seed: int = 0) -> DataFrame:
+    """(key, margins as in the plan) of the sample."""
+    weights = planned.where("quota > 0").select(
         *margins, *[folded(m).alias(f"_{m}") for m in margins], "quota", (F.greatest("fitted", F.lit(0.5)) / F.col("available")).alias("_weight")
     )
     cells = members(rows, key, margins).select(key, *[F.col(m).alias(f"_{m}") for m in margins])

@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -33,6 +33,8 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pattern of words; white space and classes by Unicode.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS, FREQUENT, LONG_WORD = 4096, 16_384, 2_000
+#: Bytes of the literal of frequent words in all, and of one word in it.
+LITERAL_BYTES, LITERAL_WORD = 4 << 20, 64 << 10
 NO_RANK = 2**31 - 1
 
 
@@ -151,19 +153,31 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return folded.unionByName(words.where(~short).mapInPandas(merge, f"{schema},ids:array<int>".replace(":", " ").replace(",", ", ")))
 
 
-def encode(texts: DataFrame, key: str, column: str, ranks: dict[bytes, int], empty_ids: tuple[int, ...] = (), null_ids: tuple[int, ...] = ()) -> DataFrame:
-    """(key, ids array<int>) of every row."""
-    worded = texts.select(F.col(key), F.col(column).alias("_text"), words_of(F.col(column)).alias("_words"))
+def frequent_words(words: DataFrame) -> dict[str, list[int]]:
+    """The words that occur in most texts, as many as the literal may hold. A
+    long one (a rule, an address in every text) counts like any other, so that
+    none that is frequent becomes a hot key of the join."""
+    size = F.octet_length("word") + 4 * F.size("ids")
+    top = words.where(size <= LITERAL_WORD).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    upto = Window.orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)  # of FREQUENT rows at most
+    return {r["word"]: r["ids"] for r in top.withColumn("_upto", F.sum(size).over(upto)).where(F.col("_upto") <= LITERAL_BYTES).select("word", "ids").collect()}
+
+
+def encode(texts: DataFrame, key: str, column: str, ranks: dict[bytes, int], empty_ids: tuple[int, ...] = (), null_ids: tuple[int, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, ids array<int>) of every row; keep: other columns that come along."""
+    along = [F.col(c).alias(f"_k_{c}") for c in keep]
+    kept = [f"_k_{c}" for c in keep]
+    worded = texts.select(F.col(key), *along, F.col(column).alias("_text"), words_of(F.col(column)).alias("_words"))
     counts = worded.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = settle(encode_words(settle(counts, "words").repartition(partitions), ranks), "encoded")
-    most = words.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids").collect()
-    frequent = F.from_json(F.lit(_buckets({r["word"]: r["ids"] for r in most})), "array<map<string,array<int>>>")
+    frequent = F.from_json(F.lit(_buckets(frequent_words(words))), "array<map<string,array<int>>>")
     near = worded.withColumn("_ids", _let(frequent, lambda known: F.transform("_words", lambda w: _in(known, w))))
     fixed = lambda x: F.array(*[F.lit(i) for i in x]).cast("array<int>")
     near = settle(
         near.select(
             key,
+            *kept,
             F.when(F.col("_text").isNull(), F.array(fixed(null_ids))).when(F.col("_text") == "", F.array(fixed(empty_ids))).otherwise(F.col("_ids")).alias("_ids"),
             F.zip_with("_words", "_ids", lambda w, i: F.when(i.isNull(), w)).alias("_words"),
         ),
@@ -179,7 +193,8 @@ def encode(texts: DataFrame, key: str, column: str, ranks: dict[bytes, int], emp
     )
     filled = part.join(rare.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
     ids = F.flatten(F.zip_with("_words", "_ids", lambda w, i: F.coalesce(i, F.try_element_at("_rare", w))))
-    return near.where(whole).select(key, F.flatten("_ids").alias("ids")).unionByName(filled.select(key, ids.alias("ids")))
+    named = [F.col(k).alias(c) for k, c in zip(kept, keep)]
+    return near.where(whole).select(key, *named, F.flatten("_ids").alias("ids")).unionByName(filled.select(key, *named, ids.alias("ids")))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

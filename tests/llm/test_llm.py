@@ -147,8 +147,9 @@ def test_long_text_is_split_in_time():
 def _quotas(spark, rows, targets, size):
     r = spark.createDataFrame(rows, "doi string, stage string, subfield string")
     t = spark.createDataFrame(targets, "stage string, subfield string, target_share double, min_rows int")
-    report = sample.plan(r, "doi", ["stage", "subfield"], t, size=size)
-    return report, sample.draw(r, "doi", ["stage", "subfield"], report, 1)
+    planned = sample.plan(r, "doi", ["stage", "subfield"], t, size=size)
+    drawn = sample.draw(r, "doi", ["stage", "subfield"], planned, 1)
+    return sample.reached(planned, drawn, ["stage", "subfield"]), drawn
 
 
 def test_sample_follows_targets(spark):
@@ -223,6 +224,18 @@ def test_ids_are_those_of_the_library(spark, ranks, monkeypatch, frequent):
     assert all(back[i] == (t or "") for i, t in enumerate(ODD) if i != 7)
 
 
+def test_a_long_frequent_word_is_no_key_of_the_join(spark, ranks, monkeypatch):
+    rule = "=" * 300
+    rows = spark.createDataFrame([(i, f"{rule} w{i}") for i in range(50)], "doc_id long, text string")
+    seen = []
+    plain = tokens.frequent_words
+    monkeypatch.setattr(tokens, "frequent_words", lambda w: seen.append(plain(w)) or seen[-1])
+    monkeypatch.setattr(tokens, "FREQUENT", 3)
+    assert tokens.encode(rows, "doc_id", "text", ranks).count() == 50 and rule in seen[0]
+    monkeypatch.setattr(tokens, "LITERAL_BYTES", 100)
+    assert tokens.encode(rows, "doc_id", "text", ranks, keep=("text",)).columns == ["doc_id", "text", "ids"] and rule not in seen[1]
+
+
 def test_heap_and_fold_agree(spark, ranks):
     words = ["tokenization", " antidisestablishmentarianism", "ЖЖЖЖ", "aaaaaaa", "a"]
     df = spark.createDataFrame([(w,) for w in words], "word string")
@@ -244,9 +257,9 @@ def test_mixture_reaches_targets(spark):
     total = sum(r[2] for r in rows)
     targets = spark.createDataFrame([("a", 0.1, 1), ("b", 0.5, 3), ("c", 0.3, 1), ("d", 0.1, 4), ("none", 0.0, 2)], "source string, target_share double, max_repeats int")
     report = mix.plan(sizes, targets)
-    assert {r["source"] for r in report.where("short").collect()} == {"c", "d"}
     mixed = mix.mix(sizes, "doc_id", report, seed=3).persist()
     out = {r["source"]: r for r in mix.reached(mixed, report).collect()}
+    assert {s for s, r in out.items() if r["short"]} == {"c", "d"} and out["d"]["documents"] == 2
     for s, want in (("a", 0.1), ("b", 0.5)):
         assert abs(out[s]["taken"] - want * total) <= 200
     assert out["c"]["taken"] == sum(r[2] for r in rows if r[1] == "c") and out["d"]["taken"] == 200 and out["d"]["most_repeats"] == 4
@@ -254,6 +267,20 @@ def test_mixture_reaches_targets(spark):
     assert abs(sum(r["share"] for r in out.values()) - 1) < 1e-9
 
 
+def test_chances_are_proportional_to_size(spark):
+    rng = random.Random(2)
+    rows = [(i, "a", rng.randint(1, 100)) for i in range(6000)] + [(-1, "a", 10_000), (-2, "a", 0)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    report = mix.plan(sizes, spark.createDataFrame([("a", 0.3, 1)], "source string, target_share double, max_repeats int"))
+    factor, rest = mix.inclusion(sizes, report, "n_tokens").first()["factor"], report.first()["rest"]
+    assert sum(min(1.0, factor * n) * n for _, _, n in rows) == pytest.approx(rest, rel=1e-6) and factor * 10_000 > 1
+    drawn = {r["doc_id"] for r in mix.mix(sizes, "doc_id", report, seed=1).collect()}
+    share = lambda lo, hi: sum(i in drawn for i, _, n in rows if lo <= n <= hi) / sum(lo <= n <= hi for *_, n in rows)
+    assert -1 in drawn and -2 not in drawn
+    for lo, hi in ((1, 20), (41, 60), (81, 100)):
+        assert share(lo, hi) == pytest.approx(factor * (lo + hi) / 2, abs=0.05)
+
+
 def test_empty_mixture(spark):
     sizes = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     report = mix.plan(sizes, spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
