@@ -1,19 +1,24 @@
 """Spellings of one institution, linked.
 
 A name is read as a kind (what the words University, Hospital and so on say, in
-whatever order, abbreviation or misspelling) and a distinguishing name (what is
-left beside departments, countries, given names and places that follow). The
-distinguishing names are linked by a pigeonhole segment join: each is cut into
-k+1 segments, shifted substrings are looked up in the inverted index of
-segments, and candidates are verified by banded edit distance with swapped
-neighbours as one edit. A name joins the nearest name that has more spellings,
-so two institutions aren't chained through a misspelling between them; names
-whose institutions of one kind show different abbreviations in brackets stay
-apart. How many more spellings the other has doesn't matter. Abbreviations that stand alone are resolved by those in brackets beside a
-name, else by the initials of known names.
+whatever order, abbreviation or misspelling), its distinguishing words (all
+others but departments and countries), a given name, and a place that follows.
+The distinguishing words of all names are linked by a pigeonhole segment join:
+each is cut into k+1 segments, shifted substrings are looked up in the inverted
+index of segments, and candidates are verified by banded edit distance with
+swapped neighbours as one edit. A word joins the nearest word that more
+spellings have, so two words aren't chained through a misspelling between
+them; words whose institutions of one kind show different abbreviations in
+brackets stay apart. Names mean one institution if their kinds and all their
+distinguishing words do. Where one name stands with several places (campuses)
+or given names, these tell institutions apart, else they don't count.
+
+An abbreviation that stands alone is the institution beside whose name it
+stands in brackets, else the only one whose initials it has, in any order,
+before further letters of one of its words.
 
 Null, empty and blank names link to nothing. Names in which no kind or no
-distinguishing name is found link only to names that read the same without
+distinguishing word is found link only to names that read the same without
 case, accents and punctuation.
 """
 
@@ -24,16 +29,25 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import first_n
 from ..session import settle
 
-#: Edits (a swap is one) between spellings of a distinguishing name of at least
-#: LONG_NAME letters, and of a shorter one; edits that the segments stand for.
-EDITS, SHORT_EDITS, LONG_NAME, SEGMENT_EDITS = 2, 1, 8, 3
+#: Edits (a swap is one) between spellings of a word of at least LONG_WORD
+#: letters, and of a shorter one of at least SHORT_WORD; shorter ones are exact.
+EDITS, SHORT_EDITS, LONG_WORD, SHORT_WORD = 2, 1, 8, 5
+#: Edits that the segments stand for: a swap may fall on a boundary.
+SEGMENT_EDITS = 3
+#: Rows of the index with one segment, beyond which the segment is split.
+HOT_SEGMENT = 2000
+#: Abbreviations of one word's institutions, beyond which they tell nothing.
+MAX_MARKS = 32
 #: Pairs of one entity are made in blocks of this many spellings.
 BLOCK = 2000
 
@@ -59,26 +73,31 @@ WORDS = {
     "field": ["psychology", "psychological", "psychol", "psych", "psychiatry", "education", "cognition", "cognitive", "clinical", "brain", "neuroscience"],
     "": ["of", "the", "for", "and", "de", "der", "des", "di", "da", "la", "at", "in", "fur", "fuer", "o", "oe", "off", "fo", "amp", "pour"],
 }
-COUNTRIES = (
-    "usa us uk gb england scotland wales ireland germany deutschland france spain italy norway sweden denmark finland netherlands belgium austria "
-    "switzerland poland portugal greece turkey russia india china japan korea kenya nigeria ghana egypt canada mexico brazil chile argentina peru "
-    "australia zealand new south north africa united states kingdom america"
-).split()
+#: Countries as they follow a name, codes first.
+CODES = ["usa", "us", "uk", "gb"]
+COUNTRIES = [
+    *CODES, "england", "scotland", "wales", "ireland", "northern ireland", "germany", "deutschland", "france", "spain", "italy", "norway", "sweden", "denmark", "finland", "netherlands",
+    "belgium", "austria", "switzerland", "poland", "portugal", "greece", "turkey", "russia", "india", "china", "japan", "korea", "south korea", "kenya", "nigeria", "ghana", "egypt", "canada",
+    "mexico", "brazil", "chile", "argentina", "peru", "australia", "new zealand", "south africa", "united states", "united states america", "united kingdom", "america",
+]
+#: Words that differ by few letters and never mean the same.
+COMPASS = {a + b for a in ("north", "south", "east", "west", "northeast", "northwest", "southeast", "southwest") for b in ("", "ern")}
 GIVEN = {
-    "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb", "benjamin": "ben", "catherine": "cathy kate", "charles": "charlie chuck",
+    "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb", "benjamin": "ben", "catherine": "katherine cathy kate kathy katie kat kitty kay", "charles": "charlie chuck",
     "christopher": "chris", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dolly", "edward": "ed eddie ted ned teddy",
     "elizabeth": "liz lizzie beth betty eliza bess", "frances": "fran", "francis": "frank", "frederick": "fred", "george": "", "gregory": "greg", "helen": "nell",
     "henry": "harry hal", "isabella": "bella", "james": "jim jimmy", "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon", "joseph": "joe",
-    "katherine": "kathy katie kat kitty kay", "lawrence": "larry", "leonard": "len", "margaret": "maggie meg peggy marge madge", "martha": "", "mary": "molly polly",
+    "lawrence": "larry", "leonard": "len", "margaret": "maggie meg peggy marge madge", "martha": "", "mary": "molly polly",
     "matthew": "matt", "michael": "mike mick", "nicholas": "nick", "patricia": "pat patty tricia", "patrick": "paddy", "peter": "pete", "philip": "phil",
     "rebecca": "becky", "richard": "rick dick rich ricky", "robert": "rob bob bobby robbie bert", "ronald": "ron", "samuel": "sam", "stephen": "steve",
-    "susan": "sue", "theodora": "thea dora theo", "theodore": "theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "walter": "walt",
+    "susan": "sue", "theodora": "thea dora", "theodore": "", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "walter": "walt",
     "william": "will bill billy willy liam",
 }
 
 _SPELLED = {w: k for k, ws in WORDS.items() for w in ws}
-_GIVEN = {n: full for full, short in GIVEN.items() for n in [full, *short.split()]}
-_LONG = [(w, k) for w, k in _SPELLED.items() if len(w) >= 4] + [(w, "country") for w in COUNTRIES if len(w) >= 5] + [(w, "given") for w in GIVEN if len(w) >= 5]
+_GIVEN = {n: full for full, short in GIVEN.items() for n in [full, *short.split()]} | {"theo": "t"}  # Theo may be either, as an initial
+_LONG = [(w, k) for w, k in _SPELLED.items() if len(w) >= 4] + [(w, "given") for w in GIVEN if len(w) >= 5]
+_LAND = set(COUNTRIES)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -103,26 +122,39 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def _bound(length: int) -> int:
+    """Edits allowed in a word that the reader knows, of this length."""
+    return 1 if length < 6 else 2 if length < 9 else 3
+
+
 @lru_cache(maxsize=100_000)
-def word_kind(word: str) -> str | None:
-    """What a word says: a key of WORDS, 'country', 'given', or None for a name."""
+def word_kind(word: str) -> tuple[str | None, str, bool]:
+    """What a word says (a key of WORDS, 'given', or None for a distinguishing
+    word), the known word it stands for, and whether it is spelled like that."""
     if word in _SPELLED:
-        return _SPELLED[word]
-    if word in COUNTRIES:
-        return "country"
+        return _SPELLED[word], word, True
     if word in _GIVEN:
-        return "given"
+        return "given", _GIVEN[word], True
+    if word in COMPASS:
+        return None, word, True
+    if len(word) < 4:
+        near = [(k, w) for w, k in _SPELLED.items() if k and len(word) > 1 and 3 <= len(w) <= 4 and w[0] == word[0] and edit_distance(word, w, 1) <= 1]
+        if near:
+            return (*near[0], False)
+    if len(word) < 5:
+        stop = [w for w in WORDS[""] if len(word) > 1 and len(w) > 1 and abs(len(w) - len(word)) <= 1 and edit_distance(word, w, 1) <= 1]
+        if stop:
+            return "", stop[0], False
     if len(word) < 4:
-        near = [k for w, k in _SPELLED.items() if k and len(word) > 1 and 3 <= len(w) <= 4 and w[0] == word[0] and edit_distance(word, w, 1) <= 1]
-        return near[0] if near else ""
-    best = (99, None)
+        return None, word, True
+    best = (99, None, word)
     for w, k in _LONG:
-        most = 1 if len(w) < 6 else 2 if len(w) < 9 else 3
+        most = _bound(len(w))
         if len(word) >= len(w) - most and abs(len(w) - len(word)) <= most:
             d = edit_distance(word, w, most)
             if d <= most and d < best[0]:
-                best = (d, k)
-    return best[1]
+                best = (d, k, w)
+    return best[1], best[2], False
 
 
 def plain(text: str) -> str:
@@ -131,8 +163,15 @@ def plain(text: str) -> str:
     return "".join(c for c in flat if not unicodedata.combining(c)).replace("ß", "ss").replace("ø", "o").replace("ł", "l").lower()
 
 
+def is_country(words: list[str]) -> bool:
+    said = " ".join(w for w in words if _SPELLED.get(w) != "")
+    return said in _LAND or len(said) >= 5 and any(len(c) >= 5 and edit_distance(said, c, 1) <= 1 for c in COUNTRIES)
+
+
 def kind_of(said: set[str]) -> str:
     """The kind of institution that the words of a name say."""
+    if {"university", "college"} <= said and not said & {"medical", "state", "hospital", "general"}:
+        return "university college"
     for kind, any_of in (
         ("mental health institute", {"mental", "health"}),
         ("research centre", {"mind", "behaviour", "research", "centre"}),
@@ -150,64 +189,99 @@ def kind_of(said: set[str]) -> str:
     return ""
 
 
-#: Initials of each kind's words, 0 for the name and 1 for the given name.
-INITIALS = {
-    "mental health institute": ["10imh"], "research centre": ["0rcmbs"], "institute of technology": ["0it"], "hospital": ["0gh"], "medical college": ["0mc"],
-    "state university": ["0su"], "college": ["10c"], "university": ["0u", "u0"],
-}
+class Name(NamedTuple):
+    """What a spelling says. places: words of each part that may be a place, with the part's number."""
+
+    kind: str
+    words: list[str]
+    given: str
+    places: list[str]
+    initials: str
+    mark: str
+
+
+class Part(NamedTuple):
+    said: set[str]
+    words: list[str]
+    given: list[str]
+    initials: str
 
 
-def read_name(text: str) -> tuple[str, str, list[str], str]:
-    """(kind, distinguishing name, abbreviations that fit it, abbreviation beside it)."""
-    if re.fullmatch(r"\s*[A-Z]{3,12}\s*", text):
-        return "abbreviation", text.strip().lower(), [], ""
+def read_name(text: str) -> Name:
+    bare = text.strip()
+    if re.fullmatch(r"[A-Z]{3,12}", bare) and bare.lower() not in CODES:
+        return Name("abbreviation", [bare.lower()], "", [], "", "")
     flat = plain(text)
-    shown = [b.strip() for b in re.findall(r"\(([A-Z]{3,12})\)", text)]
-    segments = []
-    for part in re.split(r"[,;()/]", flat):
-        words = re.findall(r"[^\W_]+", part)
-        kinds = [word_kind(w) for w in words]
-        if not words or any(part.strip() == s.lower() for s in shown) and len(words) == 1:
-            continue
-        said = {k for k in kinds if k and k not in ("country", "given")}
+    shown = [b.strip().lower() for b in re.findall(r"\(([A-Z]{3,12})\)", text) if b.lower() not in CODES]
+    split = [re.findall(r"[^\W_]+", re.sub(r"['’]s\b", "s", part)) for part in re.split(r"[,;()/]", flat)]
+    split = [w for w in split if w and not is_country(w) and not (len(w) == 1 and w[0] in shown)]
+    known = [[(w, *word_kind(w)) for w in words] for words in split]
+    # a misspelled known word counts as known only beside a word that can be nothing else
+    sure = any(k is None and len(w) > 1 for words in known for w, k, _, _ in words)
+    given_count = any(k == "given" for words in known for _, k, _, exact in words if exact)
+    parts: list[Part] = []
+    for words in known:
+        while len(words) > 1 and words[-1][0] in CODES:
+            words = words[:-1]
+        said, names, given, initials = set(), [], [], ""
+        for w, k, full, exact in words:
+            if len(w) == 1 and k is None and w.isalpha():
+                given.append(w)
+            elif k is None or not exact and not sure and not (k == "given" and given_count):
+                names.append(w)
+            elif k == "given":
+                given.append(full)
+            elif k:
+                said.add(k)
+            if k != "":
+                initials += w[0]
         if said & {"field", "department"}:
-            names = [w for w, k in zip(words, kinds) if k is None]
             if not names or not kind_of(said - {"school", "centre", "mind", "science", "field", "department", "behaviour", "research"}):
                 continue
-        names = [w for w, k in zip(words, kinds) if k is None]
-        given = [_GIVEN.get(w, w) for w, k in zip(words, kinds) if k == "given"] + [w for w, k in zip(words, kinds) if k == "" and len(w) == 1 and w != "o"]
-        segments.append((said - {"field", "department"}, names, given))
-    main = next((s for s in segments if kind_of(s[0]) and s[1]), None)
-    if main is None:
-        said = set().union(*[s[0] for s in segments]) if segments else set()
-        names = next((s[1] for s in segments if s[1]), [])
-    else:
-        said, names = main[0], main[1]
+        parts.append(Part(said - {"field", "department"}, names, given, initials))
+    if not any(p.words for p in parts):  # a given name may be all that tells
+        parts = [p._replace(words=[g for g in p.given if len(g) > 1], given=[]) for p in parts]
+    main = next((p for p in parts if kind_of(p.said) and p.words), None) or next((p for p in parts if p.words), None)
+    said = set() if main is None else main.said if kind_of(main.said) else set().union(*[p.said for p in parts])
     kind = kind_of(said)
-    name = max(names, key=len) if names else ""
-    if not kind or not name:
-        return "", " ".join(re.findall(r"[^\W_]+", flat)), [], ""
-    given = next((g for s in segments for g in s[2]), "")
-    ends = name[1:2] + name[-1]
-    fits = [p.replace("0", name[0]).replace("1", given[:1]) + ends for p in INITIALS.get(kind, [])]
-    mark = next((s.lower() for s in shown if s.lower() in fits), "")
-    return kind, name, fits, mark
+    if main is None or not kind:
+        return Name("", [" ".join(re.findall(r"[^\W_]+", flat))], "", [], "", "")
+    given = next((g for p in parts for g in p.given), "")
+    places = [f"{i} {w}" for i, p in enumerate(parts) if p is not main and not p.said for w in p.words]
+    initials = "".join(sorted(main.initials if kind_of(main.said) else "".join(p.initials for p in parts if p is main or p.said or p.given)))
+    mark = next((s for s in shown if fits(s, initials, main.words)), "")
+    return Name(kind, sorted(set(main.words)), given, places, initials, mark)
+
+
+def fits(mark: str, initials: str, words: list[str]) -> bool:
+    """Whether an abbreviation is the initials, in any order, and then further letters of one word."""
+    if "".join(sorted(mark[: len(initials)])) != initials:
+        return False
+    rest = mark[len(initials) :]
+
+    def within(word: str) -> bool:
+        letters = iter(word[1:])
+        return all(c in letters for c in rest)
+
+    return any(map(within, words))
+
+
+NAME = "kind string, words array<string>, given string, places array<string>, initials string, mark string"
 
 
 def read_names(values: DataFrame, column: str) -> DataFrame:
-    """(value, kind, name, fits, mark, n): each distinct non-blank value once, with its rows."""
-    distinct = values.select(F.col(column).alias("value")).where(F.length(F.trim("value")) > 0).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    """(value, kind, words, given, places, initials, mark): each distinct non-blank value once."""
+    distinct = values.select(F.col(column).alias("value")).where(F.length(F.trim("value")) > 0).distinct()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, *read_name(v), n) for v, n in zip(b["value"], b["n"])]
-            yield pd.DataFrame(rows, columns=["value", "kind", "name", "fits", "mark", "n"])
+            yield pd.DataFrame([(v, *read_name(v)) for v in b["value"]], columns=["value", *Name._fields])
 
-    return distinct.mapInPandas(read, "value string, kind string, name string, fits array<string>, mark string, n bigint")
+    return distinct.mapInPandas(read, f"value string, {NAME}")
 
 
 def _cuts(length: int) -> list[tuple[int, int]]:
-    """Start and size of the segments of a name of this length."""
+    """Start and size of the segments of a word of this length; none is empty from SHORT_WORD letters on."""
     base, more = divmod(length, SEGMENT_EDITS + 1)
     out, at = [], 0
     for i in range(SEGMENT_EDITS + 1):
@@ -225,89 +299,146 @@ def letter_mask(name: str) -> int:
     return mask
 
 
-def segments(names: DataFrame, probe: bool) -> DataFrame:
-    """(key, name, forms, mask): the name's own segments, or the shifted
-    substrings that a name within SEGMENT_EDITS edits could have as a segment."""
+def segments(words: DataFrame, probe: bool) -> DataFrame:
+    """(key, word, forms, mask): the word's own segments, or the shifted
+    substrings that a word within SEGMENT_EDITS edits could have as a segment."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for first in range(0, len(b), 500):
                 rows = set()
-                for s, forms in zip(b["name"][first : first + 500], b["forms"][first : first + 500]):
+                for s, forms in zip(b["word"][first : first + 500], b["forms"][first : first + 500]):
                     mask = letter_mask(s)
-                    for length in range(max(1, len(s) - EDITS), len(s) + EDITS + 1) if probe else [len(s)]:
+                    for length in range(max(SHORT_WORD, len(s) - EDITS), len(s) + EDITS + 1) if probe else [len(s)]:
                         for i, (at, size) in enumerate(_cuts(length)):
                             reach = SEGMENT_EDITS if probe else 0
                             for p in range(max(0, at - reach), min(len(s) - size, at + reach) + 1):
                                 rows.add((f"{length}.{i}.{s[p : p + size]}", s, forms, mask))
                 if rows:
-                    yield pd.DataFrame(sorted(rows), columns=["key", "name", "forms", "mask"])
-
-    return names.select("name", "forms").mapInPandas(cut, "key string, name string, forms bigint, mask bigint")
-
-
-def near_names(names: DataFrame) -> DataFrame:
-    """(name, other, edits): each name with the names of more spellings within
-    its edits. names: name, forms (spellings that have it). What the counts of
-    spellings and the letters rule out is dropped as the index is read, before
-    anything is shuffled again."""
-    index = segments(names, False).select("key", F.col("name").alias("other"), F.col("forms").alias("other_forms"), F.col("mask").alias("other_mask"))
+                    yield pd.DataFrame(sorted(rows), columns=["key", "word", "forms", "mask"])
+
+    return words.select("word", "forms").mapInPandas(cut, "key string, word string, forms bigint, mask bigint")
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """(word, other, forms, other_forms, edits): each word with those of more
+    spellings within its edits. words: word, forms (spellings that have it).
+    Words under SHORT_WORD letters and compass words look for none, though what
+    is misspelled may find a compass word. A segment
+    of many words is split on the index's side and looked up in each split; what
+    the letters rule out is dropped as the index is read."""
+    joined = words.where(F.length("word") >= SHORT_WORD)
+    index = settle(segments(joined, False), "index")
+    hot = index.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT_SEGMENT).cast("int").alias("splits")).where("splits > 1")
+    split = lambda rows: rows.join(hot, "key", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    left = split(segments(joined.where(~F.col("word").isin(sorted(COMPASS))), True)).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
+    right = split(index).select("key", F.pmod(F.xxhash64("word"), F.col("splits")).cast("int").alias("split"), F.col("word").alias("other"), F.col("forms").alias("other_forms"), F.col("mask").alias("other_mask"))
     ranked = (
-        segments(names, True).join(index, "key")
-        .where("other_forms > forms or (other_forms = forms and other < name)")
+        left.join(right, ["key", "split"])
+        .where("other_forms > forms or (other_forms = forms and other < word)")
         .where(F.bit_count(F.col("mask").bitwiseXOR(F.col("other_mask"))) <= 2 * EDITS)
-        .select("name", "other", "forms", "other_forms").distinct()
-        .where(F.levenshtein("name", "other", 2 * EDITS) >= 0)
+        .select("word", "other", "forms", "other_forms").distinct()
+        .where(F.levenshtein("word", "other", 2 * EDITS) >= 0)
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            most = [EDITS if min(len(x), len(y)) >= LONG_NAME else SHORT_EDITS for x, y in zip(b["name"], b["other"])]
-            d = [edit_distance(x, y, m) for x, y, m in zip(b["name"], b["other"], most)]
+            most = [EDITS if min(len(x), len(y)) >= LONG_WORD else SHORT_EDITS for x, y in zip(b["word"], b["other"])]
+            d = [edit_distance(x, y, m) for x, y, m in zip(b["word"], b["other"], most)]
             yield b.assign(edits=d)[[x <= m for x, m in zip(d, most)]]
 
-    columns = "name string, other string, forms bigint, other_forms bigint, edits int"
-    return ranked.mapInPandas(verify, columns)
+    return ranked.mapInPandas(verify, "word string, other string, forms bigint, other_forms bigint, edits int")
 
 
 def settle_roots(parents: DataFrame) -> DataFrame:
-    """(name, root) of (name, parent): pointers are doubled until none moves."""
-    now = settle(parents.select("name", F.col("parent").alias("root")), "roots")
+    """(word, root) of (word, parent): pointers are doubled until none moves,
+    which the job that doubles them counts."""
+    now = settle(parents.select("word", F.col("parent").alias("root")), "roots")
     while True:
-        up = now.select(F.col("name").alias("root"), F.col("root").alias("upper"))
-        moved = settle(now.join(up, "root", "left").select("name", F.coalesce("upper", "root").alias("root"), (F.col("upper") != F.col("root")).alias("moved")), "roots")
-        now = moved.select("name", "root")
-        if moved.where("moved").limit(1).count() == 0:
+        up = now.select(F.col("word").alias("root"), F.col("root").alias("upper"))
+        count = Observation()
+        moved = now.join(up, "root", "left").select("word", F.coalesce("upper", "root").alias("to"), "root")
+        now = settle(moved.observe(count, F.count_if(F.col("to") != F.col("root")).alias("moved")).select("word", F.col("to").alias("root")), "roots")
+        if not count.get["moved"]:
             return now
 
 
-def entities(values: DataFrame, column: str) -> DataFrame:
-    """(value, entity): each distinct non-blank value with the entity that it names."""
-    read = settle(read_names(values, column), "read")
-    named = read.where("kind not in ('', 'abbreviation')")
+def word_roots(named: DataFrame) -> DataFrame:
+    """(word, root) of all words of names and places: misspellings have the root of what they stand for."""
+    said = named.select("kind", "mark", F.explode(F.array_distinct(F.concat("words", F.transform("places", lambda p: F.substring_index(p, " ", -1))))).alias("word"), "words")
+    forms = settle(said.groupBy("word").agg(F.count(F.lit(1)).alias("forms")), "forms")
     letters = F.array_join(F.array_sort(F.split("mark", "")), "")  # BUXY and UBXY are one abbreviation
-    marks = F.collect_set(F.when(F.col("mark") != "", F.concat_ws(":", "kind", letters))).alias("marks")
-    names = settle(named.groupBy("name").agg(F.count(F.lit(1)).alias("forms"), marks), "names")
+    shown = said.where((F.col("mark") != "") & F.array_contains("words", F.col("word"))).select("word", F.concat_ws(":", "kind", letters).alias("mark")).distinct()
+    marks = settle(first_n(shown, ["word"], ["mark"], MAX_MARKS + 1).groupBy("word").agg(F.collect_set("mark").alias("marks")).where(F.size("marks") <= MAX_MARKS), "marks")
+    near = near_words(forms).join(marks, "word", "left").join(marks.select(F.col("word").alias("other"), F.col("marks").alias("other_marks")), "other", "left")
     kinds = lambda c: F.transform(c, lambda x: F.substring_index(x, ":", 1))
-    shown = near_names(names).join(names.select("name", "marks"), "name").join(names.select(F.col("name").alias("other"), F.col("marks").alias("other_marks")), "other")
     apart = F.arrays_overlap(kinds("marks"), kinds("other_marks")) & ~F.arrays_overlap("marks", "other_marks")
-    near = shown.where(~apart).groupBy("name").agg(F.min_by("other", F.struct("edits", -F.col("other_forms"), "other")).alias("parent"))
-    roots = settle_roots(names.select("name").join(near, "name", "left").select("name", F.coalesce("parent", "name").alias("parent")))
-    known = settle(named.join(roots, "name").withColumn("entity", F.concat_ws(":", "kind", "root")), "known")
-    evidence = (
-        known.select("entity", F.explode("fits").alias("name"), "mark", "n")
-        .groupBy("name", "entity")
-        .agg(F.count(F.when(F.col("mark") == F.col("name"), 1)).alias("marked"), F.sum("n").alias("rows"))
-        .groupBy("name")
-        .agg(F.max_by("entity", F.struct("marked", "rows", "entity")).alias("entity"))
-    )
-    short = read.where("kind = 'abbreviation'").join(evidence, "name", "left")
-    alone = read.where("kind = ''").select("value", F.concat(F.lit("=:"), "name").alias("entity"))
-    return (
-        known.select("value", "entity")
-        .unionByName(short.select("value", F.coalesce("entity", F.concat(F.lit("=:"), "name")).alias("entity")))
-        .unionByName(alone)
-    )
+    parent = near.where(~F.coalesce(apart, F.lit(False))).groupBy("word").agg(F.min_by("other", F.struct("edits", -F.col("other_forms"), "other")).alias("parent"))
+    return settle_roots(forms.select("word").join(parent, "word", "left").select("word", F.coalesce("parent", "word").alias("parent")))
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(words)), " ")
+
+
+def named_entities(named: DataFrame) -> DataFrame:
+    """(value, entity, words, initials, mark) of the names that have a kind and words."""
+    roots = word_roots(named)
+    said = F.concat(F.transform("words", lambda w: F.struct(F.lit(-1).alias("part"), w.alias("word"))), F.transform("places", lambda p: F.struct(F.substring_index(p, " ", 1).cast("int").alias("part"), F.substring_index(p, " ", -1).alias("word"))))
+    rooted = (
+        named.select("value", F.explode(said).alias("s")).select("value", "s.part", "s.word").join(roots, "word")
+        .groupBy("value").agg(F.array_sort(F.collect_set(F.struct("part", "root"))).alias("r"))
+    )
+    own = F.transform(F.filter("r", lambda x: x["part"] == -1), lambda x: x["root"])
+    rooted = rooted.withColumn("own", own)
+    others = F.filter("r", lambda x: (x["part"] >= 0) & ~F.array_contains("own", x["root"]))
+    first = F.transform(F.filter("others", lambda x: x["part"] == F.col("others")[0]["part"]), lambda x: x["root"])
+    names = named.select("value", "kind", "given", "initials", "mark").join(rooted.withColumn("others", others).select("value", "own", F.coalesce(_joined(first), F.lit("")).alias("place")), "value")
+    names = settle(names.withColumn("base", F.concat_ws(":", "kind", _joined(F.col("own")))), "names")
+    # what tells apart: one row per base, place and given name is all that is looked at
+    seen = names.groupBy("base", "place", "given").agg(F.count(F.lit(1)).alias("n"))
+    campuses = seen.where("place <> ''").groupBy("base").agg((F.count_distinct("place") > 1).alias("campuses"))
+    seen = settle(seen.join(campuses, "base", "left").withColumn("campus", F.when(F.col("campuses"), F.col("place")).otherwise("")), "seen")
+    full = seen.where(F.length("given") > 1).select("base", "campus", "given").distinct()
+    several = full.groupBy("base", "campus").agg((F.count(F.lit(1)) > 1).alias("several"))
+    letters = full.groupBy("base", "campus", F.left("given", F.lit(1)).alias("letter")).agg(F.when(F.count(F.lit(1)) == 1, F.first("given")).alias("meant"))
+    told = seen.withColumn("letter", F.left("given", F.lit(1))).join(several, ["base", "campus"], "left").join(letters, ["base", "campus", "letter"], "left")
+    person = F.when(F.col("several"), F.when(F.length("given") == 1, F.coalesce("meant", "given")).otherwise(F.col("given"))).otherwise("")
+    told = told.select("base", "place", "given", F.concat_ws(":", "base", "campus", person).alias("entity"))
+    return names.join(told, ["base", "place", "given"]).select("value", "entity", F.col("own").alias("words"), "initials", "mark")
+
+
+def abbreviated(alone: DataFrame, known: DataFrame) -> DataFrame:
+    """(value, entity) of abbreviations (value, mark): that of the names beside
+    which it stands in brackets, else of the only entity that it fits."""
+    beside = known.where("mark <> ''").groupBy("mark", "entity").agg(F.count(F.lit(1)).alias("n")).groupBy("mark").agg(F.max_by("entity", F.struct("n", "entity")).alias("beside"))
+    shown = alone.join(beside, "mark", "left")
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(v, "".join(sorted(m[:n])) + "|" + m[n:]) for v, m in zip(b["value"], b["mark"]) for n in range(max(2, len(m) - 2), len(m) + 1)]
+            yield pd.DataFrame(rows, columns=["value", "key"])
+
+    def offered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = {(e, f"{i}|{''.join(c)}") for e, i, words in zip(b["entity"], b["initials"], b["words"]) for w in words for n in range(3) for c in combinations(w[1:], n)}
+            if rows:
+                yield pd.DataFrame(sorted(rows), columns=["entity", "key"])
+
+    keys = shown.where("beside is null").select("value", "mark").mapInPandas(asked, "value string, key string")
+    index = known.select("entity", "initials", "words").distinct().mapInPandas(offered, "entity string, key string")
+    only = keys.join(index, "key").groupBy("value").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a = b").select("value", "a")
+    return shown.join(only, "value", "left").select("value", F.coalesce("beside", "a", F.concat(F.lit("=:"), "mark")).alias("entity"))
+
+
+def entities(values: DataFrame, column: str) -> DataFrame:
+    """(value, entity): each distinct non-blank value with the entity that it names."""
+    read = settle(read_names(values, column), "read")
+    known = settle(named_entities(read.where("kind not in ('', 'abbreviation')")), "known")
+    first = F.col("words")[0]
+    alone = read.where("kind = ''").select("value", F.concat(F.lit("=:"), first).alias("entity"))
+    short = abbreviated(read.where("kind = 'abbreviation'").select("value", first.alias("mark")), known)
+    return known.select("value", "entity").unionByName(short).unionByName(alone)
 
 
 def pairs(members: DataFrame) -> DataFrame:

@@ -68,6 +68,41 @@ def test_look_alikes_with_their_own_abbreviations_stay_apart(spark):
     assert set(_linked(spark, a + b)) == {(x, y) for g in (a, b) for x in g for y in g if x < y}
 
 
+APART = [
+    ("University of North Carolina", "University of South Carolina"), ("New York University", "University of York"), ("University of California, Berkeley", "University of California, Los Angeles"),
+    ("Northern Illinois University", "Northern Michigan University"), ("King's College London", "University College London"), ("Northwestern University", "Southwestern University"),
+    ("University of Kent", "University of Bath"), ("Kent State University", "Penn State University"), ("St John's College", "St Mary's College"), ("Boston University", "Boston College"),
+    ("University of New South Wales", "University of South Wales"), ("University of Ireland, Galway", "University of Ireland, Maynooth"), ("Robert Brimvale College", "Richard Brimvale College"),
+]
+TOGETHER = [
+    ("University of Kent", "Univ. of Kent, UK"), ("New York University", "new york univ, USA"), ("King's College London", "Kings Coll. London; England"), ("University of Michigan", "Univeristy of Michigan, Ann Arbor"),
+    ("University of California, Berkeley", "Univ California, Berkeley, USA"), ("Northern Illinois University", "Nothern Illinois University, Dept. of Psychology"), ("Massachusetts Institute of Technology", "Massachusets Inst. of Technol."),
+]
+
+
+def test_well_known_names(spark):
+    values = sorted({v for pair in APART + TOGETHER for v in pair})
+    got = set(_linked(spark, values))
+    assert not got & {tuple(sorted(p)) for p in APART}
+    assert got >= {tuple(sorted(p)) for p in TOGETHER}
+    for pair in APART:
+        assert _linked(spark, pair) == [], pair
+
+
+def test_given_names_and_campuses_count_only_where_they_tell(spark):
+    a = ["Robert Brimvale College", "Bob Brimvale College", "Brimvale College, Rob", "Rboert Brimvale College"]
+    b = ["Susan Brimvale College", "S. Brimvale College", "Sue Brimvale College, Tollmouth"]
+    assert set(_linked(spark, a + b)) == {tuple(sorted((x, y))) for g in (a, b) for x in g for y in g if x != y}
+    c = ["Brimvale College", *a, "R. Brimvale College, Tollmouth, UK"]
+    assert len(_linked(spark, c)) == 15
+
+
+def test_abbreviations_alone(spark):
+    values = ["Quartzmere Institute of Technology", "QITZE", "Dorkenfeld Institute of Technology (DITKL)", "DITKL", "XYZ", "Brimvale University", "Bromvaal University", "BUAL"]
+    got = set(_linked(spark, values))
+    assert got == {("QITZE", "Quartzmere Institute of Technology"), ("DITKL", "Dorkenfeld Institute of Technology (DITKL)")}
+
+
 def test_no_names(spark):
     assert _linked(spark, []) == [] and _linked(spark, [None, ""]) == [] and _linked(spark, ["???"]) == []
 
@@ -94,15 +129,17 @@ def test_banded_distance(a, b, most):
     assert names.edit_distance(a, b, most) == min(_osa(a, b), most + 1)
 
 
-def test_segments_find_all_near_names(spark):
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_segments_find_all_near_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(names, "HOT_SEGMENT", hot)
     rng = random.Random(3)
     base = ["".join(rng.choice("abdefgiklmnorstu") for _ in range(rng.randint(8, 14))) for _ in range(60)]
     typed = set(base)
     for b in base:
         at = rng.randrange(len(b) - 1)
         typed |= {b[:at] + b[at + 1 :], b[:at] + "z" + b[at:], b[:at] + b[at + 1] + b[at] + b[at + 2 :]}
-    rows = spark.createDataFrame([(t, 9 if t in base else 1) for t in sorted(typed)], "name string, forms long")
-    got = {(r["name"], r["other"]) for r in names.near_names(rows).collect()}
+    rows = spark.createDataFrame([(t, 9 if t in base else 1) for t in sorted(typed)], "word string, forms long")
+    got = {(r["word"], r["other"]) for r in names.near_words(rows).collect()}
     want = {(a, b) for a in typed - set(base) for b in base if _osa(a, b) <= names.EDITS}
     assert want <= got
 
