@@ -1,8 +1,11 @@
-"""Shapes of personal information, and the captions that label a sample for training.
+"""Shapes of personal information, and the cues that label a sample for training.
 
 Shapes mark what could be an item, whether it is one or not: they are features
-of the model and fix an item's ends. Captions name what stands beside them:
-they label the bounded training sample and nothing else.
+of the model and fix an item's ends. Cues are what texts of any kind show beside
+items and beside what only looks like them: titles, greetings, signatures, form
+labels, verbs of contact, citations, names of tests and places. They label part
+of the bounded training sample and nothing else; what no cue is beside stays
+open in training.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 _DOT = r"(?:\s?\(dot\)\s?|\s?\[dot\]\s?| dot |\.)"
 EMAIL = re.compile(
-    rf"(?<![\w.+@/-])[\w+%-]+(?:\.[\w+%-]+)*(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{{at\}}\s?| at (?=[\w-]+(?: dot [\w-]+)+))[a-z][\w-]*(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}(?![\w@])", re.I
+    rf"(?<![\w.+@/-])[\w+%-]+(?:(?:\.|[ ]dot[ ])[\w+%-]+)*(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{{at\}}\s?| at (?=[\w-]+(?: dot [\w-]+)+))[a-z][\w-]*(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}(?![\w@])", re.I
 )
 #: Number groups of the countries at hand, with extension.
 _EXT = r"(?:\s?(?:ext\.?|extension|x|#|durchwahl|poste)\s?\d{1,5})?"
@@ -36,6 +39,19 @@ ID = re.compile(
     r")(?![\w]|[-./]\d)",
     re.I,
 )
+#: Words that announce the number of a document, insurance or patient record, in the languages at hand.
+ID_WORDS = (
+    r"ssn|social security|national insurance|insurance|nhs|passport|identity card|id card|driving licen[cs]e|driver'?s licen[cs]e|licen[cs]e|tax id|patient|hospital|medical record|record|mrn|"
+    r"reisepass|pass|personalausweis|ausweis(?:nummer)?|versicherung(?:snummer)?|versichertennummer|pasaporte|documento?|dni|nie|seguridad social|afiliaci[oó]n|passeport|carte d'identit[eé]|s[eé]curit[eé] sociale|dossier"
+)
+_ID_SAID = rf"\b(?:{ID_WORDS})(?:[ -]type)?(?:\s(?:no|nr|num)\b\.?|\s?n[°º]|\s(?:number|nummer|n[uú]mero|num[eé]ro|card|record|id))*\s?[:#]?\s?"
+#: A part of each of these words.
+_ID_HINTS = (
+    "ssn", "social", "insurance", "nhs", "passp", "card", "licen", "tax id", "patient", "hospital", "record", "mrn", "pass ", "ausweis", "versich", "pasap", "document", "dni", "nie ", "seguridad", "afiliaci",
+    "carte d", "curit", "dossier", "身份证", "护照", "证件", "病历", "医保",
+)
+#: A number as such a word announces it, in whatever form.
+CAPTIONED_ID = re.compile(rf"(?:{_ID_SAID}|(?:身份证|护照|证件|病历|医保)(?:号码?)?(?:为|是|[:：])?\s?)(?:(?:is|was|lautet|es|est)\s)?(?P<id>(?=(?:[ ./-]?[A-Z0-9])*?\d)(?:[A-Z]{{1,4}}[ -]?)?\d[A-Z0-9]*(?:[ ./-]\d[A-Z0-9]*)*(?:-?[A-Z])?)(?![\w]|[-./]\d)", re.I)
 _W = r"[^\W\d_][\w’'-]*"
 _UNIT = r"(?:(?:flat|apt|apartment|unit|suite)\.?\s\d+[a-z]?|#\d+)"
 _CODE = r"(?:[A-Z]{2}\d{1,2}\s\d[A-Z]{2}|[A-Z]{2}\s\d{5}|\d{5})"
@@ -43,10 +59,12 @@ _CODE = r"(?:[A-Z]{2}\d{1,2}\s\d[A-Z]{2}|[A-Z]{2}\s\d{5}|\d{5})"
 _TOWN = rf"{_W}(?![\w.+-]*\s?(?:@|\(at|\[at|at\s))(?<!\band)(?<!\bwhich)(?<!\bwhere)(?<!\bbut)"
 _LAST = rf"{_W}(?=[.;,\n]|\s\s|$|,?[ ]{_CODE}(?!\d))"
 _EN = (
-    r"(?:(?:street|road|avenue|lane|hill|terrace|close|drive|court|crescent|place|square|way|gardens)\b"
-    rf"|(?:st|rd|ave|ln|dr)\b(?:\.(?=[.,;]|[ ](?:{_CODE}(?!\d)|{_UNIT}|and\b)|\n(?:[\d+(]|{_LAST})))?)"
+    r"(?:(?:street|road|avenue|boulevard|parkway|highway|lane|hill|terrace|close|drive|court|crescent|place|square|way|gardens|grove|mews)\b"
+    rf"|(?:st|rd|ave|ln|dr|blvd|pkwy|hwy)\b(?:\.(?=[.,;]|[ ](?:{_CODE}(?!\d)|{_UNIT}|and\b)|\n(?:[\d+(]|{_LAST})))?)"
 )
-_STREET = rf"\d+[a-z]?\s{_W}\s{_EN}(?:,?\s{_UNIT})?(?:(?:,\s{_TOWN}|,?\n{_LAST})(?:,?[ ]{_CODE}(?!\d))?|,?[ ]{_CODE}(?!\d))?"
+_PLAIN = r"(?!(?:the|a|an|of|to|in|on|and|or|for|with|by|at|their|our|his|her|that|which)\b)"
+_NAMED = rf"(?:{_W}\s{_EN}|{_PLAIN}{_W}\s(?:{_PLAIN}{_W}\s){{1,2}}(?:street|road|avenue|boulevard|parkway|highway|terrace|(?:ave|blvd)\b\.?)\b)"
+_STREET = rf"\d+[a-z]?\s{_NAMED}(?:\s(?:nw|ne|sw|se|north|south|east|west)\b\.?)?(?:,?\s{_UNIT})?(?:(?:,\s{_TOWN}|,?\n{_LAST})(?:,?[ ]{_CODE}(?!\d))?|,?[ ]{_CODE}(?!\d))?"
 _BEFORE = r"(?<![\w/-])"
 
 
@@ -54,26 +72,26 @@ def _any(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.I)
 
 
-#: (kind, what a text must hold for the form to occur, form); of overlapping matches the longer counts.
+#: (kind, what a text in small letters must hold for the form to occur, a digit if None, form); of overlapping matches the longer counts.
 FORMS = [
-    ("email", _any(r"@|[(\[{]at[)\]}]| dot "), EMAIL),
+    ("email", ("@", "(at)", "[at]", "{at}", " dot "), EMAIL),
     ("phone", None, PHONE),
     ("id_number", None, ID),
     ("address", None, _any(rf"{_BEFORE}(?:{_UNIT},\s)?{_STREET}")),
-    ("address", _any(r" (?:house|cottage|lodge|court), \d"), _any(rf"{_BEFORE}{_W}\s(?:house|cottage|lodge|court),\s{_STREET}")),
+    ("address", ("house, ", "cottage, ", "lodge, ", "court, "), _any(rf"{_BEFORE}{_W}\s(?:house|cottage|lodge|court),\s{_STREET}")),
     (
         "address",
-        _any(r"(?:straße|strasse|str\.|weg|platz|allee|gasse)\s\d"),
+        ("straße ", "strasse ", "str. ", "weg ", "platz ", "allee ", "gasse "),
         _any(rf"{_BEFORE}{_W}(?:(?<=straße)|(?<=strasse)|(?<=weg)|(?<=platz)|(?<=allee)|(?<=gasse)|(?<=str)\.)\s\d+(?:\s?[a-z]\b)?(?:,\s\d{{5}}\s{_W})?"),
     ),
     (
         "address",
-        _any(r"calle|c/|avda|avenida|plaza|paseo"),
+        ("calle", "c/", "avda", "avenida", "plaza", "paseo"),
         _any(rf"{_BEFORE}(?:calle|c/|avda\.|avenida|plaza|paseo)\s?{_W},\s\d+(?:,\s(?:\d+º\s?[a-z]\b|bajo|ático))?(?:,\s\d{{5}}\s{_W})?"),
     ),
     (
         "address",
-        _any(r", (?:rue|avenue|av\.|bd|boulevard|chemin|place|allée|quai|impasse) "),
+        (", rue ", ", avenue ", ", av. ", ", bd ", ", boulevard ", ", chemin ", ", place ", ", allée ", ", quai ", ", impasse "),
         _any(rf"{_BEFORE}\d+(?:\s(?:bis|ter))?,\s(?:rue|avenue|av\.|bd|boulevard|chemin|place|allée|quai|impasse)\s{_W}(?:,\s\d{{5}}\s{_W})?"),
     ),
 ]
@@ -83,10 +101,13 @@ _DIGIT = re.compile(r"\d")
 def shape_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Where the forms of each kind occur, in order and without overlaps within a kind."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    digits = _DIGIT.search(text) is not None
+    digits, low = _DIGIT.search(text) is not None, text.lower()
     for kind, needs, pattern in FORMS:
-        if (needs is None and digits) or (needs is not None and needs.search(text)):
+        if digits if needs is None else any(x in low for x in needs):
             out[kind] += [m.span() for m in pattern.finditer(text)]
+    if digits and any(x in low for x in _ID_HINTS) and (captioned := [m.span("id") for m in CAPTIONED_ID.finditer(text) if sum(c.isdigit() for c in m["id"]) >= 5]):
+        ids = sorted(set(out["id_number"] + captioned), key=lambda x: (x[0], -x[1]))
+        out["id_number"] = [x for i, x in enumerate(ids) if not i or x[0] >= max(b for _, b in ids[:i])]
     kept: list[tuple[int, int]] = []
     for a, b in sorted(out["address"], key=lambda x: (x[0], -x[1])):
         if not kept or a >= kept[-1][1]:
@@ -95,53 +116,91 @@ def shape_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-_NAME = r"(?P<name>[^\W\d_][^\n;:|()<>\d。，]{1,48}?)"
-#: A sentence ends; the full stop of an initial is none.
-_STOP, _SEMI = r"(?<![^\w][^\W\d_])\.(?:\s|$)", r"(?:;\s|(?<![^\w][^\W\d_])\.(?:\s|$))"
-#: Captions of names: what stands before and after them.
-_NAME_CAPTIONS = [
-    (r"contact: (?:dr|prof)\.? ", r", tel"), (r"\bm[rs]s? ", r" \((?:nhs|patient)"), (r"signed by ", r", ssn"), (r"signed as ", _STOP), (r"(?:^|(?<![^\w][^\W\d_])[.!?]\s+|\n|\s\s)", r"['’]s tablet was"),
-    (r"this is ", r" again, still"), (r"\bboth ", r" and .{3,48}? missed the"), (r"\bboth [^\n]{3,48}? and ", r" missed the"), (r"ask for ", r" before the"), (r"voucher for ", r" was cashed"), (r"sheet of ", _STOP),
-    (r"field staff: ", _SEMI), (r"field staff: [^;\n]+; ", _SEMI), (r"field staff: [^;\n]+; [^;\n]+; ", _STOP), (r"interviewer: ", r" \| site"), (r"speaker [a-z]: i['’]m ", r", i grew"),
-    (r"my name is ", r" and you can"), (r"correspondence: ", r", (?=\d|flat|apt|unit|[^\W\d_]+ house)"), (r"sent to ", r" \("), (r"\bfrom: ", r" <"), (r"kind regards,\n", r"\n"), (r"next to ", r" on the form"),
-    (r"(?:^|(?<![^\w][^\W\d_])[.!?]\s+|\n|\s\s)", r" moved to (?=\d|flat|apt|unit|[^\W\d_]+ house)"), (r"ansprechpartner(?:in)?: (?:prof|dr)\.? ", r", tel"), (r"\b(?:frau|herr) ", r" wohnt"), (r"bitte an ", r" \("), (r"se[ñn]or[a]? ", r" vive en"), (r"escriba a ", r" \("),
-    (r"pertenece a ", _STOP), (r"contacter ", r" \("), (r"\b(?:monsieur|madame) ", r" habite"), (r"demander ", _STOP), (r"联系人：", r"，"), (r"(?:^|[。\n\s])", r"\s?的证件号码"),
-    (r"(?:^|[.!?\n]\s*)", r", (?=\d+[a-z]? [^\W\d_]+ (?:street|st|road|rd|avenue|ave|lane|hill|terrace|close)\b[^\n]{0,60}?, [\w.+-]+\s?(?:@|\(at\)|\[at\]| at ))"),
-]
-NAME_CAPTIONS = [re.compile(a + _NAME + f"(?={b})", re.I | re.S) for a, b in _NAME_CAPTIONS]
-_ID_BEFORE = re.compile(r"(?:ssn|insurance no\.|passport|passeport|documento?|patient number|type no\.|ausweisnummer|证件号码为|nurse wrote|refunds we hold)\s*$", re.I)
-_NO_ID = re.compile(r"(?:serial no\.|look like|barcode|sheet|protocol|grant|batch|order|codes ran from|to|firmware|bus|doi:\S*)\s*$", re.I)
-_SURE_ID = re.compile(r"MRN-?\d{5,9}|[A-Z]{2}(?:[\s-]?\d{2}){3}[\s-]?[A-Z]|H\d{6}/\d{2}|X[A-Z]?\d{7,8}|X[A-Z] \d{3} \d{3}|\d{2}\.?\d{3}\.?\d{3}-[A-Z]", re.I)
+#: What stands before a person's name, in the languages at hand.
+_TITLE = r"dr|prof|professor|mr|mrs|ms|miss|mx|sir|frau|herrn?|fräulein|monsieur|madame|mme|mlle|se[ñn]ora?|sra?|do[ñn]a?|doctora?|docteure?|doktor"
+_GREETING = r"dear|hi|hello|hey|liebe[rs]?|hallo|geehrte[rs]?|chère?|bonjour|estimad[oa]|querid[oa]|hola"
+_LABEL = (
+    r"names?|contacts?|contact person|interviewer|interviewee|interviewed by|participant|patient|client|staff|author|from|to|cc|attn|signed|signature|prepared by|supervisor|witness|"
+    r"correspondence|reviewer|therapist|clinician|coordinator|speaker(?: \w)?|ansprechpartner(?:in)?|kontakt|unterschrift|teilnehmer(?:in)?|nombre|contacto|firmado|responsable|nom|signataire|interlocuteur"
+)
+_SAID = r"my name is|name's|i am|i['’]?m|this is|call me|me llamo|mi nombre es|je m['’]appelle|ich hei(?:ß|ss)e|mein name ist"
+_DID = r"(?:signed|written|completed|conducted|reported|led|prepared|approved|collected|entered|checked|reviewed|rated|coded) (?:by|as|for)|on behalf of|c/o"
+_ASKED = r"ask(?:ed)? for|contact|write to|speak (?:to|with)|spoke (?:to|with)|talk to|sent to|send to|call|thank|thanks to|bitte an|wenden sie sich an|escriba a|contacte (?:a|con)|pregunte por|pertenece a|contacter|demander|écrire à"
+_REGARDS = r"(?:kind |best |warm )?regards|best wishes|(?:yours )?sincerely|yours(?: faithfully| truly)?|cheers|thanks|thank you|mit freundlichen gr(?:ü|ue)(?:ß|ss)en|viele gr(?:ü|ue)(?:ß|ss)e|cordialement|bien à vous|atentamente|saludos"
+TITLES = {fold for t in _TITLE.replace("[ñn]", "n").split("|") for fold in (t.rstrip("?"), re.sub(r".\?$", "", t))}
+_CUE = (
+    rf"(?:\b(?:{_TITLE})\.?\s|\b(?:{_GREETING})[ ]|(?:^|[\n.;|(,]|\b)\s*(?:{_LABEL})\s?:\s|\b(?:{_SAID})\s|\b(?:{_DID})\s|\b(?:{_ASKED})\s|\b(?:{_REGARDS}),?[ ]?\n"
+    r"|(?:姓名|联系人|患者|签名|受访者|负责人|访谈员)[:：]|我叫|我是)\s*"
+)
+NAME_BEFORE = re.compile(f"{_CUE}$", re.I)
+NAME_CUED = re.compile(f"{_CUE}(?=[^\\W\\d_])", re.I)
+#: What stands behind a person's name.
+NAME_AFTER = re.compile(
+    r"\s?[<(]\s?[\w.+%-]+(?:\s?@|\s?[(\[{]at[)\]}]| at )|,?\s\(?(?:tel|phone|mobile|m[oó]vil|tél|mail|e-mail)\b|\s\((?:nhs|patient|participant|ssn|passport)\b|,\s(?:ssn|passport|nhs)\b"
+    r"|\s(?:wrote|said|told|called|rang|phoned|emailed|asked|lives|moved|wohnt|schrieb|sagte|vive|escribió|dijo|llamó|habite|écrit|appelle)\b|\s?(?:先生|女士|小姐|医生|教授|老师|同学|的(?:证件|身份证|护照|电话|手机|邮箱|地址|住址))",
+    re.I,
+)
+#: What shows that a name is cited, or stands in that of a test, place or institution.
+CITED_AFTER = re.compile(r"\s(?:et al|u\. ?a\.)|['’]?s?\s\(?(?:19|20)\d\d[a-z]?\b|['’]?s?\s?[(（](?:19|20)\d\d|\s(?:and|und|y|e|et|&)\s[^\W\d_][\w’'-]+\s\(?(?:19|20)\d\d", re.I)
+CITED_BEFORE = re.compile(r"[^\W\d_][\w’'-]+\s(?:and|und|y|e|et|&)\s$", re.I)
+_THING = (
+    r"inventory|diary|form|test|scale|index|battery|checklist|questionnaire|survey|task|theory|method|effect|model|paradigm|university|hospital|clinic|institute|school|college|centre|center|foundation|trust|"
+    r"road|street|avenue|lane|hill|house|park|bridge|station|library|press|fragebogen|skala|inventar|universität|klinik|schule|escala|cuestionario|universidad|hospital|échelle|questionnaire|université"
+)
+THING_AFTER = re.compile(rf"[’']?s?[ ](?:(?!(?:on|in|of|at|to|for|the|a|an|and)\b)(?-i:[A-Z])[\w-]*[ ]){{0,2}}(?:{_THING})\b", re.I)
+THING_BEFORE = re.compile(r"\b(?:university of|universit(?:ät|y|é)(?: de)?|universidad de|escala(?: de)?|échelle(?: de)?|inventario(?: de)?|test(?: de)?|questionnaire(?: de)?)\s$", re.I)
+PLACE_BEFORE = re.compile(r"\b(?:in|at|near|from|bei|aus|nach|desde|across|around|outside)\s$", re.I)
+_ID_BEFORE = re.compile(rf"(?:{_ID_SAID}|(?:身份证|护照|证件|病历)(?:号码?)?(?:为|是|[:：])?\s?)$", re.I)
+_NO_ID = re.compile(r"\b(?:serial|look like|barcode|protocol|grant|batch|order|codes?|firmware|version|bus|device|model|sheet|isbn|issn|trial|registration|study|to|doi:\S*)(?:\s(?:no|nr)\.?|\snumber|\sran from)?\s*[:#]?\s*$", re.I)
+_SURE_ID = re.compile(r"MRN-?\d{5,9}|[A-Z]{2}(?:[\s-]?\d{2}){3}[\s-]?[A-Z]|H\d{6}/\d{2}|X[A-Z]?\d{7,8}|X[A-Z] \d{3} \d{3}|\d{2}\.?\d{3}\.?\d{3}-[A-Z]|\d{3}([-.\s])\d{2}\1\d{4}", re.I)
 _PHONE_BEFORE = re.compile(
-    r"(?:tel\.?|phone|call|rang from|number is|new number|old one|me on|致电|llame al|tél\.? ?:|unter|erreichbar|ext\.|mail\S* /|\S+ /|\n|^)\s*[:(]?\s*$", re.I
+    r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|ring|rang|text|sms|number|hotline|me on|us on|ext|telefon(?:isch)?|handy|unter|erreichbar|teléfono|móvil|llame al?|tél|téléphone|appelez|portable|numéro)\b\.?"
+    r"(?:\s(?:on|at|from|is|under|unter|al|au|me|us|no\.?))*|电话|致电|手机)\s*[:：(]?\s*$",
+    re.I,
 )
 
 
-def captioned(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the items that captions or unmistakable forms show, without overlaps."""
-    shapes = shape_spans(text)
-    found: list[tuple[int, int, str]] = [(a, b, k) for k in ("email", "address") for a, b in shapes[k]]
+def in_shapes(text: str, shapes: dict[str, list[tuple[int, int]]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(items, open spans) among the shapes of a text: addresses of mail and
+    streets are taken for items; numbers are where a word announces them, are
+    none where a word says what else they are, and else stay open."""
+    found = [(a, b, k) for k in ("email", "address") for a, b in shapes[k]]
+    beside = {x for a, b, _ in found for x in (a, b)}
+    unsure: list[tuple[int, int, str]] = []
     for a, b in shapes["id_number"]:
-        before = text[max(0, a - 24) : a]
+        before = text[max(0, a - 40) : a]
         if _ID_BEFORE.search(before) or _SURE_ID.fullmatch(text[a:b]) and not _NO_ID.search(before):
             found.append((a, b, "id_number"))
+        elif not _NO_ID.search(before):
+            unsure.append((a, b, "id_number"))
     for a, b in shapes["phone"]:
-        before = text[max(0, a - 24) : a]
-        if len(set(_DIGIT.findall(text[a:b]))) > 1 and not _ID_BEFORE.search(before) and not _NO_ID.search(before) and _PHONE_BEFORE.search(before):
+        before = text[max(0, a - 40) : a]
+        if len(set(_DIGIT.findall(text[a:b]))) == 1 or _ID_BEFORE.search(before) or _NO_ID.search(before):
+            continue
+        gap = re.search(r"[\s/,;:|(–-]{0,4}(?:(?:\b(?:old|new|other|former|or|and|und|oder|y|o|et|ou)\b)(?:\sone)?[\s/,;:|(–-]{1,3}){0,2}$", before)
+        next_to = (gap.end() > gap.start() and a - len(gap.group()) in beside) or any(b + k in beside for k in range(1, 4))
+        if _PHONE_BEFORE.search(before) or text[a] == "+" or next_to:
             found.append((a, b, "phone"))
-    for caption in NAME_CAPTIONS:
-        for m in caption.finditer(text):
-            a, b = m.span("name")
-            words = re.findall(r"[^\W\d_]+", text[a:b])
-            if re.match(r"(?:frau|herr|ms|mrs|mr|dr|prof|monsieur|madame)\b", text[a:b], re.I):
-                continue
-            if 1 <= len(words) <= 7 and b > a and not re.search(r"[^\W\d_]{3,}\. |  ", text[a:b]):
-                found.append((a, b, "name"))
-    out: list[tuple[int, int, str]] = []
-    for a, b, k in sorted(set(found), key=lambda x: (x[0], -x[1])):
-        if not out or a >= out[-1][1]:
-            out.append((a, b, k))
-    return out
+            beside |= {a, b}
+        else:
+            unsure.append((a, b, "phone"))
+    return found, unsure
+
+
+LISTED = re.compile(r"(?:[;,]|[;,]?\s(?:and|und|y|et|or|&)|、)\s?$", re.I)
+
+
+def name_cue(text: str, a: int, b: int, tokens: int, after_name: bool = False) -> bool | None:
+    """Whether the name-like run text[a:b] of so many words is a person's name;
+    None if no cue tells. after_name: a name ends before what LISTED means."""
+    before, after = text[max(0, a - 40) : a], text[b : b + 60]
+    if CITED_AFTER.match(after) or CITED_BEFORE.search(before) and CITED_AFTER.match(after) or THING_AFTER.match(after) or THING_BEFORE.search(before):
+        return False
+    if tokens == 1 and PLACE_BEFORE.search(before):
+        return False
+    if NAME_BEFORE.search(before) or NAME_AFTER.match(after) or after_name and tokens > 1:
+        return True
+    return None
 
 
 _CITED = re.compile(r"([^\W\d_]{4,})(?:[ ]et[ ]al\.?|[ ](?:and|und|y|et|e)[ ]([^\W\d_]{4,}))?[ ]\(\d{4}[a-z]?\)", re.I)

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -328,36 +329,143 @@ def test_empty_mixture(spark):
 
 
 def _corpus(n, seed):
+    """(text, items) of made-up texts: names stand behind cues in some sentences and without any in others."""
     rng = random.Random(seed)
     part = lambda: rng.choice(["bran", "dol", "fer", "gim", "hul", "kes", "lom", "nar", "pol", "rus"]) + rng.choice(["ave", "ing", "ott", "ume", "iven"]) + rng.choice(["ley", "ford", "man", "ski", "dahl"])
     given_ = lambda: rng.choice("Anna Ben Carla Dev Eva Finn Gita Hugo Ines Jon".split())
-    name = lambda: f"{given_()} {part().title()}"
+    name = lambda: ("name", f"{given_()} {part().title()}")
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    phone = lambda: rng.choice([f"+44 20 7946 0{digits(3)}", f"312-555-0{digits(3)}", f"07700 900{digits(3)}"])
-    mail = lambda: rng.choice(["{0}@mail.example", "{0} at mail dot example", "{0}(at)mail(dot)example(dot)org"]).format(part())
+    phone = lambda: ("phone", rng.choice([f"+44 20 7946 0{digits(3)}", f"312-555-0{digits(3)}", f"07700 900{digits(3)}"]))
+    mail = lambda: ("email", rng.choice(["{0}@mail.example", "{0} at mail dot example", "{0}(at)mail(dot)example(dot)org"]).format(part()))
     plain = ["The task took nine minutes.", "Scores rose with age.", "We report means by group.", "Study codes ran from P12-3 to P45-6.", "Each block held 12 trials.", "Ethical clearance was granted under protocol IRB 2016-0501."]
     made = [
-        lambda: f"Consent signed by {name()}, SSN 9{digits(2)}-{digits(2)}-{digits(4)}.", lambda: f"Please call {phone()} and ask for {name()} before the visit.", lambda: f"Questions may be sent to {name()} ({mail()}).",
-        lambda: f"The kit was posted to {digits(2)} {part().title()} Road, {part().title()}.", lambda: f"{part().title()} et al. (2011) found the reverse.", lambda: f"The {part().title()} Sleep Diary was given twice.",
-        lambda: f"Patient number {digits(3)} {digits(3)} {digits(4)} was left on the sheet of {name()}.",
+        lambda: ["Consent signed by ", name(), ", SSN ", ("id_number", f"9{digits(2)}-{digits(2)}-{digits(4)}"), "."], lambda: ["Please call ", phone(), " and ask for ", name(), " before the visit."],
+        lambda: ["Questions may be sent to ", name(), " (", mail(), ")."], lambda: ["The kit was posted to ", ("address", f"{rng.randint(10, 99)} {part().title()} Road, {part().title()}"), "."],
+        lambda: [f"{part().title()} et al. (2011) found the reverse."], lambda: [f"The {part().title()} Sleep Diary was given twice."], lambda: ["Students from ", part().title(), " came late."],
+        lambda: ["Patient number ", ("id_number", f"{digits(3)} {digits(3)} {digits(4)}"), " was left on the sheet of ", name(), "."], lambda: ["Both ", name(), " and ", name(), " missed the second session."],
     ]
-    return [" ".join(rng.choice(made)() if rng.random() < 0.5 else rng.choice(plain) for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    out = []
+    for _ in range(n):
+        text, found = "", []
+        for _ in range(rng.randint(2, 6)):
+            text += " " if text else ""
+            for x in rng.choice(made)() if rng.random() < 0.5 else [rng.choice(plain)]:
+                if isinstance(x, tuple):
+                    found.append((len(text), len(text) + len(x[1]), x[0]))
+                text += x if isinstance(x, str) else x[1]
+        out.append((text, found))
+    return out
 
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.train(_corpus(900, 1))
+    return pii.train([t for t, _ in _corpus(900, 1)])
 
 
-def test_held_out_accuracy(field):
-    texts, score = _corpus(300, 2), defaultdict(Counter)
-    for text, found in zip(texts, pii.find(field, texts)):
-        want, got = set(pii_rules.captioned(text)), set(found)
+def _score(texts, model):
+    score = defaultdict(Counter)
+    for (text, items), found in zip(texts, pii.find(model, [t for t, _ in texts])):
         for kind in pii_rules.KINDS:
-            w, g = {x for x in want if x[2] == kind}, {x for x in got if x[2] == kind}
+            w, g = {x for x in items if x[2] == kind}, {x for x in found if x[2] == kind}
             score[kind].update(hit=len(w & g), wrong=len(g - w), missed=len(w - g))
-    for kind, c in score.items():
-        assert c["hit"] >= 0.93 * (c["hit"] + c["missed"]) and c["hit"] >= 0.93 * (c["hit"] + c["wrong"]), (kind, c)
+    return score
+
+
+def test_held_out_accuracy(field):
+    for kind, c in _score(_corpus(300, 2), field).items():
+        assert c["hit"] >= 0.95 * (c["hit"] + c["missed"]) and c["hit"] >= 0.95 * (c["hit"] + c["wrong"]), (kind, c)
+
+
+def test_no_cue_holds_words_of_the_test_tables():
+    """What stands beside a name in the made-up texts above and in no cue is learned from the texts."""
+    text = "Both Anna Branaveley and Ben Dolinford missed the second session."
+    assert pii_rules.name_cue(text, 5, 20, 2) is None
+
+
+#: Written and labelled by hand for this test: [n name], [e e-mail], [p phone], [i id number], [a address].
+NEW_SENTENCES = r"""
+Please thank [n Lena Fischer] for sending the transcripts so quickly.
+[n Samuel Okafor] reviewed the codebook and flagged two items.
+Our coordinator [n Priya Raman] will be away until Monday.
+The samples were logged by [n Tomasz Kowalczyk] on the second day.
+Dear Dr [n Whitfield], I attach the revised consent form.
+Best wishes,\n[n Hannah Lindqvist]\n[p +46 8 123 456 78]
+You can reach [n Marco Bellini] at [e marco.bellini@unimail.example] or on [p 020 7946 0321].
+Contact: [n Aisha Bangura], phone [p (312) 555-0182].
+I spoke with [n Kim Seo-yeon] and [n Li Wei] about the translation.
+Participant 14 said that her daughter [n Ann Kim] had filled in the diary.
+Her passport number is [i 533380006]; please remove it from the file.
+Passport no. [i C01X00T47] was shown at the door.
+Social security number [i 078-05-1120] appears on page two.
+Patient number [i 943 476 5919] should not be in this table.
+National Insurance [i QQ 12 34 56 C] was typed into the comments field.
+Send the forms to [a 1600 Pennsylvania Boulevard NW, Washington].
+She moved to [a 14 Elm Grove, Oxford OX4 1AB] last spring.
+The parcel went to [a 221B Baker Street, London] by mistake.
+Write to [e j.doe+lab@example.org] if the link is broken.
+My address is [e jane dot doe at example dot org].
+Frau [n Ingrid Bauer] erreichen Sie unter [p 030 23125 555].
+Die Unterlagen gingen an [a Lindenstraße 12, 10969 Berlin].
+La señora [n Carmen Ortega] vive en [a Calle Mayor, 7, 28013 Madrid].
+Monsieur [n Luc Moreau] habite [a 12, rue Victor, 75004 Paris].
+联系人：[n 王小明]，电话 [p +86 10 5555 0199]。
+Smith and Jones (2015) reported the same pattern.
+According to Baddeley et al. (2003), the span is shorter.
+We used the Beck Depression Inventory and the Stroop Test.
+Participants came from Leeds, Sheffield and York.
+The University of Manchester approved protocol 2019-1187.
+The device serial no. 4478123 was replaced in week 3.
+Mean age was 34.2 years (SD = 7.1), range 18 to 65.
+Trial NCT01234567 was registered before recruitment.
+Each session lasted 45 minutes; 1200 trials were run in total.
+""".strip().split("\n")
+
+
+def _marked(line):
+    text, items = "", []
+    kinds = dict(zip("nepia", ("name", "email", "phone", "id_number", "address")))
+    for plain, kind, inner in re.findall(r"([^\[]*)(?:\[([nepia]) ([^\]]*)\])?", line.replace("\\n", "\n")):
+        text += plain
+        if kind:
+            items.append((len(text), len(text) + len(inner), kinds[kind]))
+            text += inner
+    return text, items
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_new_sentences(spark):
+    """The field fitted to the test tables, on sentences that are none of theirs."""
+    model = pii.train(pii.sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text"))
+    score = _score([_marked(x) for x in NEW_SENTENCES], model)
+    print({k: dict(c) for k, c in score.items()})
+    total = sum(score.values(), Counter())
+    assert total["hit"] >= 0.8 * (total["hit"] + total["missed"]) and total["hit"] >= 0.8 * (total["hit"] + total["wrong"]), score
+
+
+def test_skip_edges_link_repeats_short_names_and_misspellings():
+    coder = pii.Coder.learn(["We met in the lab and then we went home and he rang us"] * 9, Counter())
+    pairs = lambda text: {(c.tokens[i], c.tokens[j]) for c in [coder.encode([text])] for i, j in pii.skip_edges(c)}
+    assert pairs("Kim Brandover and Li met. Then Kim went. Li rang Brandovr and Brandover's home.") == {("Kim", "Kim"), ("Li", "Li"), ("Brandover", "Brandovr"), ("Brandovr", "Brandover")}
+    assert ("王", "王") in pairs("王小明 met us. 王小明 went home. 王大山 rang.") and ("小", "小") in pairs("王小明 and 王小明")
+    assert pairs("Bran Dolling met Gimmer Tallow") == set() == pairs("")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=4, max_size=7), max_size=8))
+def test_similar_words_are_one_letter_apart(words):
+    number = pii.similar(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:i]):
+            if a == b or number[i] == j and min(len(a), len(b)) >= 5 and number[j] == j:
+                assert number[i] == number[j]
+                assert a == b or _osa(a, b) <= 2
+
+
+def test_a_saved_field_finds_the_same(field, tmp_path):
+    pii.save_field(field, f"{tmp_path}/field")
+    back = pii.load_field(f"file://{tmp_path}/field")
+    texts = [t for t, _ in _corpus(60, 4)] + ["", "\n", "王小明" * 3]
+    assert pii.find(back, texts) == pii.find(field, texts) and os.path.getsize(f"{tmp_path}/field") < 5e6
 
 
 def test_beliefs_and_labels_are_exact():
