@@ -142,10 +142,10 @@ def analyze_trends(spark, a):
 
 def _sampled(spark, a):
     """(corpus size, parsed articles with their text) of a systematic sample of the folder."""
-    listed = xml_corpus.list_corpus(spark, a.corpus_dir).select("xml_path")
+    listed = settle(xml_corpus.list_corpus(spark, a.corpus_dir).select("xml_path"), "listed")
     chosen = sampling.systematic(listed, a.sample_size, ["xml_path"])
-    files = xml_corpus.read_corpus(spark, a.corpus_dir).join(chosen, "xml_path", "left_semi").withColumn("raw", F.col("xml_text"))
-    return listed.count(), parse_articles(files).cache()
+    files = xml_corpus.read_files(chosen).withColumn("raw", F.col("xml_text"))
+    return listed.count(), settle(parse_articles(files), "parsed")
 
 
 def validate_corpus_filter(spark, a):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,20 +34,31 @@ def local_name(path: Column) -> Column:
     return F.when(path.startswith("file:"), canonical_path(path)).otherwise(path)
 
 
-def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.xml")
+def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(xml_path, n_bytes) of the folder's XML files, subfolders left out,
+    without reading the files; in no order. One task lists the folder (a flat
+    folder's listing is one request after another) and hands its entries on;
+    files without bytes are files too."""
+    ensure_corpus(spark, folder)
 
+    def look(batches):
+        for b in batches:
+            for uri in b["folder"]:
+                fs, base = open_fs(uri)
+                prefix = "" if uri.startswith("file:") else uri[: len(uri) - len(base)] if uri.endswith(base) else ""
+                found = [(prefix + f.path, f.size) for f in fs.get_file_info(FileSelector(base)) if f.base_name.endswith(".xml") and f.type == FileType.File]
+                for i in range(0, len(found), 10_000):
+                    yield pd.DataFrame(found[i : i + 10_000], columns=["xml_path", "n_bytes"])
 
-def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(xml_path, xml_text) of the folder's XML files, subfolders left out; in no order."""
-    ensure_corpus(spark, folder)
-    return _files(spark, folder).select(local_name(F.col("path")).alias("xml_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("xml_text"))
+    ship(spark)
+    return spark.createDataFrame([(folder.rstrip("/"),)], "folder string").coalesce(1).mapInPandas(look, "xml_path string, n_bytes bigint")
 
 
-def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(xml_path, n_bytes) without reading the files."""
-    ensure_corpus(spark, folder)
-    return _files(spark, folder).select(local_name(F.col("path")).alias("xml_path"), F.col("length").alias("n_bytes"))
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(xml_path, xml_text) of the folder's XML files; the paths are spread over
+    the cluster, and tasks read the files."""
+    spread = list_corpus(spark, folder).select("xml_path").repartition(8 * spark.sparkContext.defaultParallelism)
+    return read_files(spread)
 
 
 def corpus_size(spark: SparkSession, folder: str) -> int:
