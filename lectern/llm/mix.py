@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .lowest import MAX_GROUPS, take_lowest, uniform
 
 
@@ -77,7 +78,7 @@ def mix(sizes: DataFrame, key: str, report: DataFrame, weight: str = "n_tokens",
     factor = inclusion(sizes, report, weight)
     p = F.least(F.greatest(F.coalesce("factor", F.lit(0.0)) * F.col(weight), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = uniform(key, seed=seed)
-    about = report.select("source", "copies", "rest").join(factor, "source", "left")
+    about = settle(report.select("source", "copies", "rest").join(factor, "source", "left"), "chances")
     docs = sizes.join(F.broadcast(about), "source").select(
         key, "source", F.col("n_tokens").cast("double").alias("n_tokens"), ((u / (1 - u)) / (p / (1 - p))).alias("_rank"), "copies"
     )

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import uncollected
+
 WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(1, 6)
 NAMES = {0: "cut", WORD: "word", CLAUSE: "clause", SENTENCE: "sentence", LINE: "line", PARAGRAPH: "paragraph"}
 _ATOM = re.compile(r"\S+\s*|\s+")
@@ -136,7 +138,8 @@ def split_texts(texts: DataFrame, key: str, column: str, limits: DataFrame, by:
         for b in batches:
             rows: list[tuple] = []
             for k, text, limit, overlap in zip(b[key], b["_text"], b["max_chars"], b["overlap_chars"]):
-                found, run = split(text, int(limit), int(overlap)), longest_run(text)
+                with uncollected():
+                    found, run = split(text, int(limit), int(overlap)), longest_run(text)
                 rows += [(k, len(found), i, s, own, e, kind, run, text[s:e]) for i, (s, own, e, kind) in enumerate(found, 1)]
                 if len(rows) > 1000:
                     yield pd.DataFrame(rows, columns=columns)
