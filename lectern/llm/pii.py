@@ -534,7 +534,7 @@ def _fit(model: Field, c: Coded, gold: np.ndarray, unsure: list, passes: int, us
             flat = rows.ravel()
             real = flat < n
             own = flat[real]
-            batches.append((rows.shape, flat, real, own, [np.unique(x[own], return_inverse=True) for x in ids], bool(loose[own].any())))
+            batches.append((rows.shape, flat, real, own, [_grouped(x[own]) for x in ids], bool(loose[own].any())))
     blank = np.r_[0.0, np.full(N_LABELS - 1, -1e4)]
     moves = np.zeros((N_LABELS, N_LABELS))
     grown = [np.full_like(w, 1e-6) for w in weights] + [np.full_like(moves, 1e-6)]
@@ -543,7 +543,7 @@ def _fit(model: Field, c: Coded, gold: np.ndarray, unsure: list, passes: int, us
             shape, flat, real, own, known, any_loose = batches[q]
             scores = np.tile(blank, (len(flat), 1))
             mine = np.zeros((len(own), N_LABELS))
-            for w, (seen, place) in zip(weights, known):
+            for w, (seen, place, _, _) in zip(weights, known):
                 mine += w[seen][place]
             scores[real] = mine
             post, pairs, _ = beliefs(scores.reshape(*shape, N_LABELS), model.moves)
@@ -557,8 +557,8 @@ def _fit(model: Field, c: Coded, gold: np.ndarray, unsure: list, passes: int, us
                 np.add.at(wanted, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
                 diff = -post.reshape(-1, N_LABELS)[real]
                 diff[np.arange(len(own)), gold[own]] += 1
-            for w, g, (seen, place) in zip(weights, grown, known):
-                step = np.stack([np.bincount(place, diff[:, k], len(seen)) for k in range(N_LABELS)], axis=1) - SHRINK * len(own) * w[seen]
+            for w, g, (seen, _, order, starts) in zip(weights, grown, known):
+                step = np.add.reduceat(diff[order], starts, axis=0) - SHRINK * len(own) * w[seen]
                 g[seen] += step**2
                 w[seen] += STEP * step / np.sqrt(g[seen])
             step = np.where(np.isinf(ok), 0, wanted - pairs)
@@ -567,6 +567,13 @@ def _fit(model: Field, c: Coded, gold: np.ndarray, unsure: list, passes: int, us
             model.moves = np.where(np.isinf(ok), -np.inf, moves)
 
 
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the place of each value among them, an order by value and where each value starts in it."""
+    seen, place = np.unique(x, return_inverse=True)
+    order = np.argsort(place, kind="stable").astype(np.int32)
+    return seen, place.astype(np.int32), order, np.searchsorted(place[order], np.arange(len(seen)))
+
+
 def _blurred(coder: Coder, c: Coded, rng) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Channels and context of the sample in which some words and endings are
     unknown, so that the field learns what to make of unknown ones."""
