@@ -620,7 +620,8 @@ def similar(words: list[str]) -> list[int]:
     for w in words:
         keys = [w] if len(w) < 5 else [w, *(w[:i] + "_" + w[i + 1 :] for i in range(len(w))), *(w[:i] + w[i + 1 :] for i in range(len(w)))]
         n = next((known[k] for k in keys if k in known), len(out))
-        for k in keys:
+        # only the first of its like lends its keys, so that likeness isn't passed on
+        for k in keys if n == len(out) else [w]:
             known.setdefault(k, n)
         out.append(n)
     return out
