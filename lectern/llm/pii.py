@@ -615,15 +615,17 @@ def similar(words: list[str]) -> list[int]:
     """A number for each word, the same for words that are equal or one letter
     apart (from five letters on): they share a word with one letter left out.
     Linear in the words."""
+    same: dict[str, int] = {}
     known: dict[str, int] = {}
     out = []
     for w in words:
-        keys = [w] if len(w) < 5 else [w, *(w[:i] + "_" + w[i + 1 :] for i in range(len(w))), *(w[:i] + w[i + 1 :] for i in range(len(w)))]
-        n = next((known[k] for k in keys if k in known), len(out))
-        # only the first of its like lends its keys, so that likeness isn't passed on
-        for k in keys if n == len(out) else [w]:
-            known.setdefault(k, n)
-        out.append(n)
+        if w not in same:
+            keys = [] if len(w) < 5 else [w, *(w[:i] + "_" + w[i + 1 :] for i in range(len(w))), *(w[:i] + w[i + 1 :] for i in range(len(w)))]
+            n = same[w] = next((known[k] for k in keys if k in known), len(out))
+            if n == len(out):  # only the first of its like lends its keys, so that likeness isn't passed on
+                for k in keys:
+                    known.setdefault(k, n)
+        out.append(same[w])
     return out
 
 
