@@ -145,6 +145,26 @@ def test_segments_find_all_near_words(spark, monkeypatch, hot):
     assert want <= got
 
 
+def _joins_on_key(rows):
+    """The joins on a segment or on initials, as they ran."""
+    rows.collect()
+    ran = rows._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in ran
+    return re.findall(r"(\w+Join) \[key#", ran.partition("== Initial Plan ==")[0])
+
+
+def test_what_is_cut_from_words_is_not_broadcast(spark, tmp_path):
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    words = stored("words", [("brimvale", 2), ("brimvael", 1), ("dorkenfeld", 2)], "word string, forms long")
+    assert _joins_on_key(names.near_words(words)) == ["SortMergeJoin"]
+    known = stored("known", [("v", "e", ["brimvale"], "bu", "")], "value string, entity string, words array<string>, initials string, mark string")
+    alone = stored("alone", [("BUAL", "bual")], "value string, mark string")
+    assert _joins_on_key(names.abbreviated(alone, known)) == ["SortMergeJoin"]
+
+
 # ---- splitting
 
 TEXTS = st.text(st.sampled_from("ab .,!?\n\r\té字。；— ́"), max_size=400)
